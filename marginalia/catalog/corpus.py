@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia import schema as S
+from marginalia.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -187,7 +188,7 @@ MUTATED = "CASE WHEN substr(e.h, 1, 1) < '8' THEN e.h ELSE concat(substr(e.h, 1,
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes with their lines: ``doc_id, fecha, lines`` (index, date, clean text, digest)."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     day = F.expr("date_add(DATE '1990-01-01', CAST(doc_id * 37 % 730 AS INT))")
     fecha = F.date_format(day, "dd/MM/yyyy")
     kept = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")

@@ -2,37 +2,40 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from marginalia.catalog import corpus as C
 from marginalia.catalog.registry import query
 from marginalia.functions.paths import resolve_sql
-from marginalia.functions.variants import schema_valid
 from marginalia.operators import contract, project as P, rules as R, walk as W
-from marginalia.schema import ACTION, CORE_EVENT_FIELDS, FORBIDDEN_KEYS, SCORED_PATHS, TARGET, rule_rows
+from marginalia.session import once
+from marginalia.schema import CORE_EVENT_FIELDS, FORBIDDEN_KEYS, SCORED_PATHS, TARGET, rule_rows
 
 
 def gold(spark, sf):
-    return C.gold_notes(spark, sf).withColumn("v", F.try_parse_json("gold_json"))
+    return once(C.gold_notes(spark, sf), v=F.try_parse_json("gold_json")).drop("gold_json")
 
 
 def source(spark, sf):
-    return C.source_notes(spark, sf).withColumn("v", F.try_parse_json("source_json"))
+    return once(C.source_notes(spark, sf), v=F.try_parse_json("source_json")).drop("source_json")
 
 
 def pred(spark, sf):
-    return C.pred_notes(spark, sf).withColumn("v", F.try_parse_json("raw_text"))
+    return once(C.pred_notes(spark, sf), v=F.try_parse_json("raw_text")).drop("raw_text")
 
 
-def tree(name: str, table: str, column: str, where: str = "") -> str:
+def tree(name: str, table: str, column: str) -> str:
     """CTE of all JSON nodes: note, path, wildcard pattern, type and text."""
     return f"""
-{name} AS MATERIALIZED (SELECT t.nota_id, substr(j.fullkey, 3) AS path,
-    regexp_replace(substr(j.fullkey, 3), '\\[\\d+\\]', '[]', 'g') AS pat,
-    CASE j.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null'
+{name} AS MATERIALIZED (SELECT nota_id, substr(fullkey, 3) AS path,
+    regexp_replace(substr(fullkey, 3), '\\[\\d+\\]', '[]', 'g') AS pat,
+    CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null'
       WHEN 'BOOLEAN' THEN 'boolean' ELSE 'integer' END AS type,
-    j.atom ->> '$' AS val, j.key, j.atom
-  FROM {table} t, json_tree(t.{column}) j {where})"""
+    atom ->> '$' AS val, key, atom
+  FROM (SELECT nota_id, unnest((SELECT list(struct_pack(fullkey := j.fullkey, type := j.type, atom := j.atom, key := j.key))
+    FROM json_tree(t.{column}) j), recursive := true) FROM {table} t))"""
 
 
 def pointer_of(path: str) -> str:
@@ -83,21 +86,19 @@ def _(spark, sf):
 
 
 def _rules_sql() -> str:
-    """Rule table as VALUES: wildcard path, JSON types, keys."""
-    rows = []
-    for path, types, enum, const, pattern, minimum, min_items, required, known, closed in rule_rows(TARGET):
-        pat = path.lstrip("/").replace("/*", "[]").replace("/", ".")
-        lists = [", ".join("'" + x.replace("'", "''") + "'" for x in xs) for xs in (types, enum or [], required, known)]
-        rows.append(
-            f"('{pat}', [{lists[0]}], [{lists[1]}]::VARCHAR[], {'NULL' if const is None else repr(const)}, "
-            f"{'NULL' if pattern is None else repr(pattern).replace(chr(92) * 2, chr(92))}, "
-            f"{'NULL' if minimum is None else minimum}, {'NULL' if min_items is None else min_items}, "
-            f"[{lists[2]}]::VARCHAR[], [{lists[3]}]::VARCHAR[], {str(closed).lower()})"
-        )
-    return (
-        "\nrules(rp, types, enums, const_value, pattern, minimum, min_items, required, known, closed) AS (VALUES "
-        + ",\n".join(rows) + ")"
-    )
+    """Rule table for DuckDB, from one JSON text: wildcard path, JSON types, keys."""
+    rows = [
+        {"rp": path.lstrip("/").replace("/*", "[]").replace("/", "."), "types": types, "enums": enum or [],
+         "const_value": const, "pattern": pattern, "minimum": minimum, "min_items": min_items,
+         "required": required, "known": known, "closed": closed}
+        for path, types, enum, const, pattern, minimum, min_items, required, known, closed in rule_rows(TARGET)
+    ]
+    shape = json.dumps([{
+        "rp": "VARCHAR", "types": ["VARCHAR"], "enums": ["VARCHAR"], "const_value": "VARCHAR", "pattern": "VARCHAR",
+        "minimum": "BIGINT", "min_items": "BIGINT", "required": ["VARCHAR"], "known": ["VARCHAR"], "closed": "BOOLEAN",
+    }])
+    text = json.dumps(rows, ensure_ascii=False).replace("'", "''")
+    return f"\nrules AS MATERIALIZED (SELECT r.* FROM (SELECT unnest(from_json('{text}', '{shape}')) AS r))"
 
 
 RULED = C.with_notes(C.SOURCE_SQL, tree("nodes", "source", "source_json"), _rules_sql()) + """,
@@ -271,7 +272,7 @@ def _(spark, sf):
     ).alias("messages")))
     notes = C.source_notes(spark, sf)
     text = F.when(F.col("doc_id") % 2 == 0, F.col("source_json")).otherwise(chat)
-    rows = notes.select(F.concat(F.lit("f"), F.col("doc_id") % 4).alias("file"), F.try_parse_json(text).alias("v"))
+    rows = once(notes, v=F.try_parse_json(text)).select(F.concat(F.lit("f"), F.col("doc_id") % 4).alias("file"), "v")
     return contract.null_contract_files(rows)
 
 

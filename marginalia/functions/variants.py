@@ -37,12 +37,11 @@ def as_text(v: str) -> str:
 
 def scalar_type(v: str) -> str:
     """JSON type of a scalar; a number without fraction is an integer."""
-    kind = f"schema_of_variant({v})"
     number = f"try_variant_get({v}, '$', 'double')"
+    known = "map('STRING', 'string', 'VOID', 'null', 'BOOLEAN', 'boolean', 'BIGINT', 'integer')"
     return (
-        f"CASE WHEN {kind} = 'STRING' THEN 'string' WHEN {kind} = 'VOID' THEN 'null' "
-        f"WHEN {kind} = 'BOOLEAN' THEN 'boolean' WHEN {kind} = 'BIGINT' THEN 'integer' "
-        f"WHEN {number} = floor({number}) THEN 'integer' ELSE 'number' END"
+        f"coalesce(try_element_at({known}, schema_of_variant({v})), "
+        f"CASE WHEN {number} = floor({number}) THEN 'integer' ELSE 'number' END)"
     )
 
 

@@ -60,7 +60,7 @@ def violation_context(violations: DataFrame, keep: Sequence[str], shown: int = 5
     per field before the shuffle, so a large field is never gathered.
     """
     key = [*keep, "event_index", "field"]
-    leaves = walk(violations.withColumnRenamed("pointer", "at"), "v", [*key, "at"]).where(is_leaf() & (F.col("type") != "null"))
+    leaves = walk(violations.withColumnRenamed("pointer", "at"), "v", [*key, "at"], ("pointer",)).where(is_leaf() & (F.col("type") != "null"))
     order = Window.partitionBy(*key).orderBy("leaf")
     first = (
         leaves.select(*key, F.concat("at", "pointer").alias("leaf"))
@@ -75,7 +75,7 @@ def violation_context(violations: DataFrame, keep: Sequence[str], shown: int = 5
 def false_event_leaves(df: DataFrame, value: str, keep: Sequence[str]) -> DataFrame:
     """The strict variant: every non-null leaf of a false event except the flag, ids included."""
     events = df.select(*keep, F.posexplode(F.expr(events_sql(value))).alias("event_index", "e"))
-    leaves = walk(events.where(F.expr(is_false_event("e"))), "e", [*keep, "event_index"])
+    leaves = walk(events.where(F.expr(is_false_event("e"))), "e", [*keep, "event_index"], ("path",))
     broken = is_leaf() & (F.col("path") != EVENT_FLAG) & (F.col("type") != "null")
     return leaves.where(broken).select(*keep, "event_index", "path", leaf_text().alias("value"))
 

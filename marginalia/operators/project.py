@@ -11,6 +11,7 @@ from marginalia.functions.variants import projected, schema_valid
 from marginalia.operators import contract
 from marginalia.operators.rules import schema_findings
 from marginalia.operators.walk import forbidden_paths, walk
+from marginalia.session import materialize, once
 from marginalia.schema import CORE_EVENT_FIELDS, TARGET, Node, ddl, walk_schema
 
 EVENT_POINTER = "/extraccion/eventos_protesta/*"
@@ -19,7 +20,7 @@ FALSE_EVENT_RULE = {EVENT_POINTER: (contract.EVENT_FLAG, CORE_EVENT_FIELDS)}
 
 def project(df: DataFrame, source: str, node: Node = TARGET, out: str = "projected") -> DataFrame:
     """Adds the projected record as VARIANT, false events already blanked. Narrow."""
-    return df.withColumn(out, projected(source, node, FALSE_EVENT_RULE))
+    return once(df, **{out: projected(source, node, FALSE_EVENT_RULE)})
 
 
 def typed(value: str, node: Node = TARGET) -> Column:
@@ -35,7 +36,7 @@ def dropped_paths(df: DataFrame, source: str, node: Node = TARGET) -> DataFrame:
     """
     known = [p for p, _ in walk_schema(node)]
     records = [p for p, n in walk_schema(node) if n.kind == "object"]
-    keys = walk(df, source, []).where(
+    keys = walk(df, source, [], ("pattern", "parent_pattern")).where(
         F.col("key").isNotNull() & F.col("parent_pattern").isin(records) & ~F.col("pattern").isin(known)
     )
     return keys.groupBy(F.col("pattern").alias("path")).agg(F.count("*").alias("dropped"))
@@ -68,12 +69,16 @@ def judge(df: DataFrame, source: str, node: Node = TARGET) -> DataFrame:
     Adds ``projected``, ``source_violations``, ``projected_violations``, ``invariant_errors``,
     ``schema_ok`` and ``valid``. No shuffle: valid rows go straight to the sink.
     """
+    checks = F.struct(
+        contract.violation_count(source).alias("source_violations"),
+        contract.violation_count("projected").alias("projected_violations"),
+        row_invariants("projected").alias("invariant_errors"),
+        schema_valid("projected", node).alias("schema_ok"),
+    )
     return (
-        project(df, source, node)
-        .withColumn("source_violations", contract.violation_count(source))
-        .withColumn("projected_violations", contract.violation_count("projected"))
-        .withColumn("invariant_errors", row_invariants("projected"))
-        .withColumn("schema_ok", schema_valid("projected", node))
+        once(project(df, source, node), __checks=checks)
+        .select("*", "__checks.*")
+        .drop("__checks")
         .withColumn(
             "valid",
             (F.col("source_violations") == 0) & (F.col("projected_violations") == 0)
@@ -88,7 +93,9 @@ def row_errors(judged: DataFrame, source: str, key: str, node: Node = TARGET, sh
     Order: source contract, projected contract, invariants, forbidden keys, schema. Only
     invalid rows are walked and only their messages are shuffled.
     """
-    bad = judged.where(~F.col("valid"))
+    needed = [key, source, "projected", "schema_ok", "invariant_errors"]
+    # five branches read the invalid rows, so they are computed once and kept
+    bad = materialize(judged.where(~F.col("valid")).select(*needed))
 
     def contract_rows(column: str, block: int, label: str) -> DataFrame:
         found = contract.false_event_violations(bad, column, [key])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from marginalia.functions.variants import schema_valid
 from marginalia.operators.walk import walk
 from marginalia.schema import Node, rule_table
+from marginalia.session import once
 
 KEYWORDS = ("type", "required", "additionalProperties", "enum", "const", "pattern", "minimum", "minItems")
 
@@ -21,7 +22,6 @@ def schema_findings(df: DataFrame, value: str, node: Node, keep: Sequence[str])
     """
     text = "try_variant_get(v, '$', 'string')"
     number = "try_variant_get(v, '$', 'double')"
-    keys = "try_variant_get(v, '$', 'array<string>')"
     type_ok = "(array_contains(types, type) OR (type = 'integer' AND array_contains(types, 'number')))"
     tests = {
         "type": (f"NOT {type_ok}", "concat(shown, ' is not of type ', array_join(types, ', '))"),
@@ -42,12 +42,12 @@ def schema_findings(df: DataFrame, value: str, node: Node, keep: Sequence[str])
             "concat(shown, ' is less than the minimum of ', minimum)",
         ),
         "minItems": (
-            f"min_items IS NOT NULL AND type = 'array' AND {number} < min_items",
+            "min_items IS NOT NULL AND type = 'array' AND size < min_items",
             "concat('has fewer than ', min_items, ' items')",
         ),
         "additionalProperties": (
-            f"closed AND type = 'object' AND size(array_except({keys}, known_keys)) > 0",
-            f"concat('unexpected keys: ', array_join(array_except({keys}, known_keys), ', '))",
+            "closed AND type = 'object' AND size(array_except(keys, known_keys)) > 0",
+            "concat('unexpected keys: ', array_join(array_except(keys, known_keys), ', '))",
         ),
     }
     single = ", ".join(
@@ -55,14 +55,14 @@ def schema_findings(df: DataFrame, value: str, node: Node, keep: Sequence[str])
         for kw, (test, message) in tests.items()
     )
     missing = (
-        f"CASE WHEN type = 'object' THEN transform(array_except(required, {keys}), "
+        "CASE WHEN type = 'object' THEN transform(array_except(required, keys), "
         "k -> named_struct('keyword', 'required', 'message', concat('\\'', k, '\\' is a required property'))) "
         "ELSE array() END"
     )
     shown = F.when(F.col("type").isin("object", "array"), F.col("type")).otherwise(F.expr("to_json(v)"))
     rules = rule_table(df.sparkSession, node).withColumnRenamed("pattern", "rule_pattern")
     found = (
-        walk(df, value, keep)
+        walk(df, value, keep, ("pointer", "pattern"))
         .join(F.broadcast(rules.withColumnRenamed("path", "pattern")), "pattern")
         .withColumn("shown", shown)
         .select(*keep, "pointer", "pattern", F.explode(F.expr(f"concat(array_compact(array({single})), {missing})")).alias("f"))
@@ -78,7 +78,7 @@ def validity_detail(df: DataFrame, value: str, node: Node, key: str, shown: int
     findings are shuffled: counted with map-side partial sums, and cut to the first
     ``shown`` per row by a ranked window whose group limit runs before the shuffle.
     """
-    flagged = df.select(key, value, schema_valid(value, node).alias("valid"))
+    flagged = once(df.select(key, value), valid=schema_valid(value, node))
     bad = flagged.where(~F.col("valid"))
     unreadable = F.col(value).isNull()
     findings = schema_findings(bad.where(~unreadable), value, node, [key])
@@ -106,7 +106,7 @@ def validity_detail(df: DataFrame, value: str, node: Node, key: str, shown: int
 
 def rule_coverage(df: DataFrame, value: str, node: Node, keep: Sequence[str]) -> DataFrame:
     """Per schema node: its rule and how many nodes of the data it governs."""
-    nodes = walk(df, value, keep).groupBy("pattern").agg(F.count("*").alias("nodes"))
+    nodes = walk(df, value, keep, ("pattern",)).groupBy("pattern").agg(F.count("*").alias("nodes"))
     rules = rule_table(df.sparkSession, node)
     return rules.join(
         nodes.withColumnRenamed("pattern", "path"), "path", "left"

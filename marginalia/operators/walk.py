@@ -1,7 +1,7 @@
 """Walk of arbitrary JSON: one row per node, leaf or container.
 
-The walk is a chain of narrow steps, one per nesting level, over a VARIANT column; a row
-whose node is finished passes through. Nothing is shuffled and no document is gathered.
+All nodes of a document are listed by one nested expression inside its row, each visited
+once, and then exploded. The walk is narrow: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -10,68 +10,75 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marginalia.functions.variants import entries, is_object, items, json_type
+from marginalia.functions.sqltext import bind
+from marginalia.functions.variants import entries, items, json_type
 from marginalia.schema import FORBIDDEN_KEYS, FORBIDDEN_PREFIX
 
-MAX_DEPTH = 16
+MAX_DEPTH = 12
+PATH_COLUMNS = ("path", "pointer", "pattern", "parent_pattern", "parent_path")
+NO_TEXT = "CAST(NULL AS STRING)"
+NO_KEYS = "CAST(NULL AS ARRAY<STRING>)"
+NO_SIZE = "CAST(NULL AS INT)"
 
 
-def _node(path: str, pointer: str, pattern: str, parent: str, parent_path: str, key: str, v: str) -> str:
-    return (
-        f"named_struct('path', {path}, 'pointer', {pointer}, 'pattern', {pattern}, 'parent_pattern', {parent}, "
-        f"'parent_path', {parent_path}, 'key', {key}, 'type', {json_type(v)}, 'v', {v}, 'open', true)"
-    )
+def _node(want: Sequence[str], key: str, v: str, **parts: str) -> str:
+    fields = ", ".join(f"'{c}', {parts[c] if c in want else NO_TEXT}" for c in PATH_COLUMNS)
+    return f"named_struct({fields}, 'key', {key}, 'type', {json_type(v)}, 'v', {v}, 'keys', {NO_KEYS}, 'size', {NO_SIZE}, 'open', true)"
 
 
-# A finished container keeps its key list or item count but drops its payload.
-_CLOSED = (
-    "named_struct('path', n.path, 'pointer', n.pointer, 'pattern', n.pattern, 'parent_pattern', n.parent_pattern, "
-    "'parent_path', n.parent_path, 'key', n.key, 'type', n.type, 'v', {summary}, 'open', false)"
-)
+def _finished(n: str, keys: str, size: str, v: str) -> str:
+    fields = ", ".join(f"'{c}', {n}.{c}" for c in (*PATH_COLUMNS, "key", "type"))
+    return f"named_struct({fields}, 'v', {v}, 'keys', {keys}, 'size', {size}, 'open', false)"
 
 
-def _expand() -> str:
-    quoted = "replace(replace(e.key, '~', '~0'), '/', '~1')"
+def _expand(want: Sequence[str]) -> str:
+    """SQL array replacing node ``n``: an open container becomes itself and its children."""
+    step = "replace(replace(e.key, '~', '~0'), '/', '~1')"
+    parent = {"parent_pattern": "n.pattern", "parent_path": "n.path"}
     member = _node(
-        "CASE WHEN n.path = '' THEN e.key ELSE concat(n.path, '.', e.key) END",
-        f"concat(n.pointer, '/', {quoted})",
-        f"concat(n.pattern, '/', {quoted})",
-        "n.pattern", "n.path", "e.key", "e.value",
+        want, "e.key", "e.value", path="CASE WHEN n.path = '' THEN e.key ELSE concat(n.path, '.', e.key) END",
+        pointer=f"concat(n.pointer, '/', {step})", pattern=f"concat(n.pattern, '/', {step})", **parent,
     )
     item = _node(
-        "concat(n.path, '[', i, ']')", "concat(n.pointer, '/', i)", "concat(n.pattern, '/*')",
-        "n.pattern", "n.path", "CAST(NULL AS STRING)", "x",
+        want, NO_TEXT, "x", path="concat(n.path, '[', i, ']')", pointer="concat(n.pointer, '/', i)",
+        pattern="concat(n.pattern, '/*')", **parent,
+    )
+    no_v = "CAST(NULL AS VARIANT)"
+    as_object = bind(
+        entries("n.v"), "m",
+        f"concat(array({_finished('n', 'map_keys(m)', NO_SIZE, no_v)}), transform(map_entries(m), e -> {member}))",
+    )
+    as_array = bind(
+        items("n.v"), "m", f"concat(array({_finished('n', NO_KEYS, 'size(m)', no_v)}), transform(m, (x, i) -> {item}))"
     )
-    keys = "to_variant_object(map_keys(" + entries("n.v") + "))"
-    count = "CAST(size(" + items("n.v") + ") AS VARIANT)"
     return (
-        f"CASE WHEN n.open AND n.type = 'object' THEN concat(array({_CLOSED.format(summary=keys)}), "
-        f"transform(map_entries({entries('n.v')}), e -> {member})) "
-        f"WHEN n.open AND n.type = 'array' THEN concat(array({_CLOSED.format(summary=count)}), "
-        f"transform({items('n.v')}, (x, i) -> {item})) "
-        "ELSE array(n) END"
+        f"CASE WHEN n.open AND n.type = 'object' THEN {as_object} "
+        f"WHEN n.open AND n.type = 'array' THEN {as_array} ELSE array(n) END"
     )
 
 
-def walk(df: DataFrame, value: str, keep: Sequence[str], max_depth: int = MAX_DEPTH) -> DataFrame:
+def walk(
+    df: DataFrame, value: str, keep: Sequence[str], want: Sequence[str] = PATH_COLUMNS, max_depth: int = MAX_DEPTH
+) -> DataFrame:
     """All nodes of a VARIANT column, beside the ``keep`` columns.
 
     Columns: ``path`` (``a.b[0]``), ``pointer`` (``/a/b/0``), ``pattern`` (``/a/b/*``),
-    ``parent_pattern``, ``parent_path``, ``key``, ``type`` and ``v``. For a leaf ``v`` is its
-    value; for an object the list of its keys, for an array its item count. Data nested
+    ``parent_pattern``, ``parent_path`` (of these only the wanted ones are filled), ``key``,
+    ``type``, ``v`` (of a leaf), ``keys`` (of an object) and ``size`` (of an array). Data nested
     deeper than ``max_depth`` fails the job instead of being cut.
     """
-    root = _node("''", "''", "''", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)", "__root")
-    nodes = df.where(F.col(value).isNotNull()).select(*keep, F.col(value).alias("__root"))
-    nodes = nodes.select(*keep, F.expr(root).alias("n"))
+    # parent columns are read off the parent's own path columns
+    needed = set(want)
+    needed |= {own for parent, own in (("parent_pattern", "pattern"), ("parent_path", "path")) if parent in want}
+    root = _node(needed, NO_TEXT, f"`{value}`", path="''", pointer="''", pattern="''", parent_pattern=NO_TEXT, parent_path=NO_TEXT)
+    nodes = df.select(*keep, F.expr(f"CASE WHEN `{value}` IS NOT NULL THEN array({root}) END").alias("nodes"))
+    level = f"flatten(transform(nodes, n -> {_expand(needed)}))"
     for _ in range(max_depth):
-        nodes = nodes.select(*keep, F.explode(F.expr(_expand())).alias("n"))
-    too_deep = F.col("n.open") & F.col("n.type").isin("object", "array")
-    checked = F.when(too_deep, F.raise_error(F.lit(f"nesting deeper than {max_depth} levels"))).otherwise(F.col("n.path"))
-    return nodes.select(
-        *keep, checked.alias("path"), "n.pointer", "n.pattern", "n.parent_pattern", "n.parent_path", "n.key",
-        "n.type", "n.v",
-    )
+        # the optimizer folds these projections into one
+        nodes = nodes.select(*keep, F.expr(level).alias("nodes"))
+    deep = "exists(nodes, n -> n.open AND n.type IN ('object', 'array'))"
+    whole = F.expr(f"CASE WHEN {deep} THEN raise_error('nesting deeper than {max_depth} levels') ELSE nodes END")
+    return nodes.select(*keep, F.inline(whole)).drop("open")
 
 
 def is_leaf() -> Column:
@@ -86,12 +93,12 @@ def leaf_text() -> Column:
 def flatten_leaves(df: DataFrame, value: str, keep: Sequence[str]) -> DataFrame:
     """Leaves as ``(path, type, value)``; a primitive root is called ``<root>``."""
     path = F.when(F.col("path") == "", F.lit("<root>")).otherwise(F.col("path")).alias("path")
-    return walk(df, value, keep).where(is_leaf()).select(*keep, path, "type", leaf_text().alias("value"))
+    return walk(df, value, keep, ("path",)).where(is_leaf()).select(*keep, path, "type", leaf_text().alias("value"))
 
 
 def pointer_leaves(df: DataFrame, value: str, keep: Sequence[str]) -> DataFrame:
     """Leaves as ``(pointer, type, value)`` with JSON pointers."""
-    return walk(df, value, keep).where(is_leaf()).select(*keep, "pointer", "type", leaf_text().alias("value"))
+    return walk(df, value, keep, ("pointer",)).where(is_leaf()).select(*keep, "pointer", "type", leaf_text().alias("value"))
 
 
 def forbidden_paths(
@@ -100,4 +107,4 @@ def forbidden_paths(
 ) -> DataFrame:
     """Pointers of all keys on the deny list, at any depth."""
     denied = F.col("key").isin(*names) | F.col("key").startswith(prefix)
-    return walk(df, value, keep).where(denied).select(*keep, "pointer", "pattern", "key")
+    return walk(df, value, keep, ("pointer", "pattern")).where(denied).select(*keep, "pointer", "pattern", "key")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -57,3 +57,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """
     small = df.select(F.lit(1).alias("one")).limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if small else df
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds costly columns so that each is evaluated once per row.
+
+    The optimizer copies an expression into every filter on its column that it pushes
+    down. A one-item explode keeps filters above it and costs no shuffle.
+    """
+    for name, column in columns.items():
+        df = df.select("*", F.explode(F.array(column)).alias(name))
+    return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Enough partitions for costly per-row work when the input has fewer splits than cores.
+
+    Large inputs have many splits already and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -78,7 +78,7 @@ def main() -> int:
         try:
             same, note, mine, theirs = check(spark, con, sf_dir, name, queries[name], oracles.get(name))
         except Exception as error:  # report and go on with the next query
-            same, note, mine, theirs = False, f"{type(error).__name__}: {str(error)[:1500]}", [], []
+            same, note, mine, theirs = False, f"{type(error).__name__}: {str(error)[:500]}", [], []
         print(("ok   " if same else "FAIL ") + name, note, flush=True)
         if not same:
             wrong.append(name)
