@@ -124,7 +124,7 @@ def event_json(x: str, mode: str = "target") -> str:
         '","nivel_institucional":"', pick(S.LEVEL, 30), '"', extra("razonamiento"), '}],"lugares":',
         q(_below(x, 31, "2", "'null'", _glue(
             '[{"lugar_id":"l1","nombre_textual":"l","categoria":"', pick(S.PLACE, 31), '","rol_en_evento":"',
-            pick(S.PLACE_ROLE, 32), '","localidad":"x","provincia":"", "pais":"AR","direccion_o_referencia":"S/D"}]'))),
+            pick(S.PLACE_ROLE, 32), '","localidad":"x","provincia":"","pais":"AR","direccion_o_referencia":"S/D"}]'))),
         *scope,
         ',"cantidad_participantes":{"hay_cantidad_mencionada":"', yes_no(6), '","valor":',
         q(_below(x, 7, "8", "'null'", f"concat('', ascii(substr({x}, 7, 1)) * 10)")),
