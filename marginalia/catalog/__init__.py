@@ -6,7 +6,7 @@ from importlib import import_module
 
 from marginalia.catalog.registry import ORACLES, QUERIES
 
-THEMES = ("select_queries", "walk_queries", "score_queries", "chat_queries")
+THEMES = ("select_queries", "walk_queries", "score_queries", "chat_queries", "io_queries")
 
 
 def _load() -> None:
