@@ -226,13 +226,15 @@ def _(spark, sf):
 
 
 def strata(spark, sf):
-    """Notes with event totals and their stratum; ``source|lang`` is the category to cover."""
-    notes = C.lines(spark, sf).select("doc_id", F.size("lines").alias("total"))
-    more = C.table(spark, sf, "documents").select("doc_id", F.concat_ws("|", "source", "lang").alias("category"))
-    has = (F.col("total") > 0).alias("has")
-    return notes.select("doc_id", "total", has).withColumn("bucket", X.event_bucket(F.col("total"))).withColumn(
-        "stratum", X.stratum_key(F.col("has"), F.col("total"))
-    ).join(more, "doc_id")
+    """Documents with their event totals and stratum; ``source|lang`` is the category to cover."""
+    kept = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
+    docs = C.table(spark, sf, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 9 == 2, 0).otherwise(kept).alias("total"), F.concat_ws("|", "source", "lang").alias("category")
+    )
+    has = F.col("total") > 0
+    return once(docs, bucket=X.event_bucket(F.col("total"))).withColumns(
+        {"has": has, "stratum": X.stratum_key(has, F.col("total"))}
+    )
 
 
 STRATA_SQL = "WITH" + C.LINES_SQL + """,
@@ -293,7 +295,7 @@ def _(spark, sf):
 
 def _split(spark, sf):
     rows = strata(spark, sf)
-    return SP.stratified(rows, SP.allocate(SP.strata_sizes(rows), ratio=0.1), "doc_id", 42)
+    return SP.stratified(rows, "doc_id", 42, ratio=0.1)
 
 
 @query("split_stratified", SPLIT_SQL + " SELECT doc_id, stratum, split FROM parted")

@@ -100,7 +100,7 @@ def _counted(side: str, other: str, node: Node, names: Names) -> str:
     else:
         x, y = names(), names()
         inside = _sum_items(
-            f"zip_with({side}, {other}, ({x}, {y}) -> CASE WHEN {x} IS NULL THEN 0 "
+            f"zip_with({side}, coalesce({other}, array()), ({x}, {y}) -> CASE WHEN {x} IS NULL THEN 0 "
             f"WHEN {y} IS NULL THEN {leaf_count(x, node.item, names)} "
             f"ELSE {_counted(x, y, node.item, names)} END)"
         )

@@ -55,16 +55,6 @@ def json_type(v: str) -> str:
 # --- validity against a schema ------------------------------------------------------
 
 
-def same_shape(value: str, node: Node) -> str:
-    """True when casting to the schema's type and back loses nothing.
-
-    Extra keys, missing keys and values of another type all change the text of the round
-    trip. Needs a schema whose records are closed and whose keys are all required.
-    """
-    typed = f"try_variant_get({value}, '$', {quote(ddl(node))})"
-    return f"coalesce(to_json(to_variant_object({typed})) = to_json({value}), false)"
-
-
 def _value_rules(value: str, node: Node, names: Names) -> list[str]:
     """Conditions on a typed value beyond its type; none if nothing can break."""
     rules: list[str] = []
@@ -102,14 +92,17 @@ def _fully_closed(node: Node) -> bool:
 def schema_valid(value: str, node: Node) -> Column:
     """Whether a VARIANT column satisfies the schema; false for SQL NULL.
 
-    One expression per row: a shape check by round trip, then the value rules on the
-    typed record. ``marginalia.operators.rules`` lists the single findings.
+    One expression per row. Casting to the schema's type and back must lose nothing: extra
+    keys, missing keys and values of another type all change the text of the round trip.
+    Then the value rules are tested on the typed record. Needs closed records whose keys are
+    all required. ``marginalia.operators.rules`` lists the single findings.
     """
     if not _fully_closed(node):
         raise ValueError("needs closed records with all keys required")
     typed = f"try_variant_get({value}, '$', {quote(ddl(node))})"
     values = " AND ".join(_value_rules("t", node, Names("w")))
-    return F.expr(f"{same_shape(value, node)} AND coalesce({bind(typed, 't', values)}, false)")
+    same_shape = f"to_json(to_variant_object(t)) = to_json({value})"
+    return F.expr(f"coalesce({bind(typed, 't', f'({values}) AND {same_shape}')}, false)")
 
 
 # --- projection onto a schema -------------------------------------------------------

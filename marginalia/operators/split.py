@@ -57,31 +57,48 @@ def allocate(strata: DataFrame, ratio: float | None = None, eval_size: int | Non
     return lowered.select("stratum", "size", checked.cast("long").alias("n_eval"))
 
 
-def cuts(rows: DataFrame, allocation: DataFrame, key: str, seed: int) -> DataFrame:
+def bucket_counts(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """``stratum, bucket, n``: rows per hash prefix, combined map-side and kept.
+
+    The prefix cuts each stratum into ``16 ** BUCKET_DIGITS`` even buckets, however large it is.
+    """
+    bucket = F.substring(order_hash(F.col(key), seed), 1, BUCKET_DIGITS).alias("bucket")
+    return materialize(rows.select("stratum", bucket).groupBy("stratum", "bucket").agg(F.count("*").alias("n")))
+
+
+def cuts(rows: DataFrame, counts: DataFrame, allocation: DataFrame, key: str, seed: int) -> DataFrame:
     """``stratum, cut_hash, cut_key``: the last eval row of every stratum that has one.
 
-    The hash prefix cuts each stratum into ``16 ** BUCKET_DIGITS`` even buckets. Counting
-    them (combined map-side) tells which one bucket holds the cut, and only that bucket's
-    rows are ranked: a stratum with a third of all rows still ranks 1/4096 of them.
+    The bucket counts tell which one bucket holds the cut, and only that bucket's rows are
+    ranked: a stratum with a third of all rows still ranks 1/4096 of them.
     """
-    hashed = rows.select(F.col(key).alias("k"), "stratum", order_hash(F.col(key), seed).alias("h"))
-    hashed = hashed.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     running = Window.partitionBy("stratum").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    counts = hashed.groupBy("stratum", "bucket").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(running))
-    holding = counts.join(allocation.select("stratum", "n_eval"), "stratum").where(
+    holding = counts.withColumn("upto", F.sum("n").over(running)).join(allocation.select("stratum", "n_eval"), "stratum").where(
         (F.col("n_eval") > F.col("upto") - F.col("n")) & (F.col("n_eval") <= F.col("upto"))
     ).select("stratum", "bucket", (F.col("n_eval") - (F.col("upto") - F.col("n"))).alias("place"))
-    near = hashed.join(broadcast_if_small(holding, MAX_CUTS), ["stratum", "bucket"])
+    hashed = rows.select(F.col(key).alias("k"), "stratum", order_hash(F.col(key), seed).alias("h"))
+    near = hashed.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS)).join(
+        broadcast_if_small(materialize(holding), MAX_CUTS), ["stratum", "bucket"]
+    )
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy("h", "k")))
     return ranked.where(F.col("r") == F.col("place")).select("stratum", F.col("h").alias("cut_hash"), F.col("k").alias("cut_key"))
 
 
-def stratified(rows: DataFrame, allocation: DataFrame, key: str, seed: int) -> DataFrame:
-    """Adds ``split``. The payload is not shuffled: each row is compared with its stratum's cut."""
-    at = broadcast_if_small(cuts(rows, allocation, key, seed), MAX_CUTS)
+def stratified(
+    rows: DataFrame, key: str, seed: int, ratio: float | None = None, eval_size: int | None = None
+) -> DataFrame:
+    """Adds ``split`` with exact sizes per stratum.
+
+    Two passes over the two key columns find each stratum's cut; then every row is compared
+    with the cut of its stratum. The payload is never shuffled, and the small tables between
+    the passes (one row per stratum, or per stratum and bucket) are kept.
+    """
+    counts = bucket_counts(rows, key, seed)
+    sizes = counts.groupBy("stratum").agg(F.sum("n").alias("size"))
+    found = materialize(cuts(rows, counts, allocate(sizes, ratio, eval_size), key, seed))
     h = order_hash(F.col(key), seed)
     inside = (h < F.col("cut_hash")) | ((h == F.col("cut_hash")) & (F.col(key) <= F.col("cut_key")))
-    return rows.join(at, "stratum", "left").withColumn(
+    return rows.join(broadcast_if_small(found, MAX_CUTS), "stratum", "left").withColumn(
         "split", F.when(F.coalesce(inside, F.lit(False)), "eval").otherwise("train")
     ).drop("cut_hash", "cut_key")
 

@@ -23,16 +23,24 @@ NO_SIZE = "CAST(NULL AS INT)"
 
 def _node(want: Sequence[str], key: str, v: str, **parts: str) -> str:
     fields = ", ".join(f"'{c}', {parts[c] if c in want else NO_TEXT}" for c in PATH_COLUMNS)
-    return f"named_struct({fields}, 'key', {key}, 'type', {json_type(v)}, 'v', {v}, 'keys', {NO_KEYS}, 'size', {NO_SIZE}, 'open', true)"
+    return f"named_struct({fields}, 'key', {key}, 'type', {json_type(v)}, 'v', {v}, 'keys', {NO_KEYS}, 'size', {NO_SIZE})"
 
 
-def _finished(n: str, keys: str, size: str, v: str) -> str:
-    fields = ", ".join(f"'{c}', {n}.{c}" for c in (*PATH_COLUMNS, "key", "type"))
-    return f"named_struct({fields}, 'v', {v}, 'keys', {keys}, 'size', {size}, 'open', false)"
+def _finished() -> str:
+    """Node ``n`` as reported: a container has its key list or item count but no payload."""
 
+    def container(keys: str, size: str) -> str:
+        fields = ", ".join(f"'{c}', n.{c}" for c in (*PATH_COLUMNS, "key", "type"))
+        return f"named_struct({fields}, 'v', CAST(NULL AS VARIANT), 'keys', {keys}, 'size', {size})"
 
-def _expand(want: Sequence[str]) -> str:
-    """SQL array replacing node ``n``: an open container becomes itself and its children."""
+    return (
+        f"CASE n.type WHEN 'object' THEN {container('map_keys(' + entries('n.v') + ')', NO_SIZE)} "
+        f"WHEN 'array' THEN {container(NO_KEYS, 'size(' + items('n.v') + ')')} ELSE n END"
+    )
+
+
+def _children(want: Sequence[str]) -> str:
+    """SQL array of the nodes right below node ``n``; empty for a leaf."""
     step = "replace(replace(e.key, '~', '~0'), '/', '~1')"
     parent = {"parent_pattern": "n.pattern", "parent_path": "n.path"}
     member = _node(
@@ -43,17 +51,9 @@ def _expand(want: Sequence[str]) -> str:
         want, NO_TEXT, "x", path="concat(n.path, '[', i, ']')", pointer="concat(n.pointer, '/', i)",
         pattern="concat(n.pattern, '/*')", **parent,
     )
-    no_v = "CAST(NULL AS VARIANT)"
-    as_object = bind(
-        entries("n.v"), "m",
-        f"concat(array({_finished('n', 'map_keys(m)', NO_SIZE, no_v)}), transform(map_entries(m), e -> {member}))",
-    )
-    as_array = bind(
-        items("n.v"), "m", f"concat(array({_finished('n', NO_KEYS, 'size(m)', no_v)}), transform(m, (x, i) -> {item}))"
-    )
     return (
-        f"CASE WHEN n.open AND n.type = 'object' THEN {as_object} "
-        f"WHEN n.open AND n.type = 'array' THEN {as_array} ELSE array(n) END"
+        f"CASE n.type WHEN 'object' THEN transform(map_entries({entries('n.v')}), e -> {member}) "
+        f"WHEN 'array' THEN transform({items('n.v')}, (x, i) -> {item}) ELSE slice(array(n), 1, 0) END"
     )
 
 
@@ -71,14 +71,19 @@ def walk(
     needed = set(want)
     needed |= {own for parent, own in (("parent_pattern", "pattern"), ("parent_path", "path")) if parent in want}
     root = _node(needed, NO_TEXT, f"`{value}`", path="''", pointer="''", pattern="''", parent_pattern=NO_TEXT, parent_path=NO_TEXT)
-    nodes = df.select(*keep, F.expr(f"CASE WHEN `{value}` IS NOT NULL THEN array({root}) END").alias("nodes"))
-    level = f"flatten(transform(nodes, n -> {_expand(needed)}))"
-    for _ in range(max_depth):
-        # the optimizer folds these projections into one
-        nodes = nodes.select(*keep, F.expr(level).alias("nodes"))
-    deep = "exists(nodes, n -> n.open AND n.type IN ('object', 'array'))"
-    whole = F.expr(f"CASE WHEN {deep} THEN raise_error('nesting deeper than {max_depth} levels') ELSE nodes END")
-    return nodes.select(*keep, F.inline(whole)).drop("open")
+    start = f"named_struct('done', slice(array({root}), 1, 0), 'front', array({root}))"
+    state = df.select(*keep, F.expr(f"CASE WHEN `{value}` IS NOT NULL THEN {start} END").alias("state"))
+    level = bind(
+        "state", "s",
+        f"CASE WHEN size(s.front) = 0 THEN s ELSE named_struct('done', concat(s.done, transform(s.front, n -> {_finished()})), "
+        f"'front', flatten(transform(s.front, n -> {_children(needed)}))) END",
+    )
+    for _ in range(max_depth + 1):
+        # one nesting level each; the optimizer folds these projections into one
+        state = state.select(*keep, F.expr(level).alias("state"))
+    deep = f"raise_error('nesting deeper than {max_depth} levels')"
+    whole = bind("state", "s", f"CASE WHEN size(s.front) > 0 THEN {deep} ELSE s.done END")
+    return state.select(*keep, F.inline(F.expr(whole)))
 
 
 def is_leaf() -> Column:
