@@ -337,4 +337,4 @@ def _(spark, sf):
     parts = _split(spark, sf)
     whole = parts.where("split = 'train'").unionByName(parts.where("split = 'eval'"))
     counts = stats.distribution(whole, "category")
-    return counts.crossJoin(F.broadcast(C.table(spark, sf, "documents").agg(F.count("*").alias("all_rows"))))
+    return counts.withColumn("all_rows", C.table(spark, sf, "documents").agg(F.count("*")).scalar())

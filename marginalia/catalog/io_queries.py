@@ -83,8 +83,8 @@ def _(spark, sf):
 def _(spark, sf):
     good, bad = R.scan_jsonl_tolerant(spark, _event_lines(spark, sf))
     users = good.select(F.expr("try_variant_get(v, '$.user', 'bigint')").alias("u")).groupBy("u").agg(F.count("*").alias("n"))
-    return users.agg(F.sum("n").alias("readable"), F.count("u").alias("users")).crossJoin(
-        F.broadcast(bad.agg(F.count("*").alias("broken")))
+    return users.agg(F.sum("n").alias("readable"), F.count("u").alias("users")).withColumn(
+        "broken", bad.agg(F.count("*")).scalar()
     )
 
 
@@ -192,7 +192,7 @@ def _(spark, sf):
         F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"), F.min(F.md5("line")).alias("low"), F.max(F.md5("line")).alias("high")
     )
     keyed = requests(spark, sf, "k").agg(F.sum(F.length("line")).alias("keyed"))
-    return plain.crossJoin(F.broadcast(keyed)).withColumn("key_chars", F.col("keyed") - F.col("chars")).drop("keyed")
+    return plain.withColumn("key_chars", keyed.scalar() - F.col("chars"))
 
 
 @query("manifest_struct", """SELECT count(*) AS n, sum(length(concat('{"custom_id":"doc_', doc_id, '","row_index":', doc_id, ',"txt_file":"doc_', doc_id, '","fecha":"05/01/1990"}')))::BIGINT AS chars,
@@ -393,7 +393,7 @@ def _(spark, sf):
     written = spark.read.parquet(f"{base}/out").agg(F.count("*").alias("written"))
     errors = spark.read.parquet(f"{base}/errors").agg(F.count("*").alias("errors"))
     left = remaining(spark, known, f"{base}/out").agg(F.count("*").alias("remaining"))
-    return written.crossJoin(F.broadcast(errors)).crossJoin(F.broadcast(left))
+    return written.withColumn("errors", errors.scalar()).withColumn("remaining", left.scalar())
 
 
 # --- export ---------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from marginalia.catalog.walk_queries import LEAF, tree
 from marginalia.operators import errors as E, leafjoin, score as S
 from marginalia.operators.advice import DEFAULT_REASON, REASONS, ACTIONS
 from marginalia.schema import HEADLINE_PATH, SCORED_PATHS, TOTAL_PATH
+from marginalia.session import materialize
 
 KEY = "nota_id"
 
@@ -305,8 +306,6 @@ metrics AS (UNPIVOT wide ON schema_validity, f1_precision, f1_recall, f1_global,
 
 def _metrics(spark, sf):
     """Long metric table of four runs; few rows, so it is written once and then reused."""
-    from marginalia.session import materialize
-
     return materialize(S.headline_metrics(materialize(notes(spark, sf).drop("pv")), ["run"]))
 
 
@@ -408,7 +407,7 @@ def _(spark, sf):
 @query("best_worst_2", PAIRS_SQL + f""" SELECT * FROM (SELECT {EXAMPLE_COLUMNS}, row_number() OVER (ORDER BY f1 DESC, nota_id) AS rank, 'best' AS side FROM scored QUALIFY rank <= 2)
     UNION ALL SELECT * FROM (SELECT {EXAMPLE_COLUMNS}, row_number() OVER (ORDER BY f1, nota_id DESC) AS rank, 'worst' AS side FROM scored QUALIFY rank <= 2)""")
 def _(spark, sf):
-    return E.best_worst(_examples(spark, sf), KEY)
+    return E.best_worst(materialize(_examples(spark, sf)), KEY)
 
 
 @query("hallucinated_worst", PAIRS_SQL + """ SELECT count(*) FILTER (NOT gold_tiene AND pred_tiene) AS hallucinated FROM (
@@ -527,7 +526,8 @@ cells AS (SELECT count(*) FILTER (pred_tiene AND NOT gold_tiene) AS fp, count(*)
     UNION ALL SELECT 2, 'Delimitación y conteo de eventos', format('Gold total={}, pred total={}, delta={}; {} notas tienen eventos de más y {} eventos de menos.', g, p, p - g, more, less) FROM cells
     UNION ALL SELECT r + 2, format('Codebook/examples para `{}`', path), format('accuracy={:.4f}, error_rate={:.4f}, support={}, fp={}, fn={}.', accuracy, error_rate, support, fp, fn) FROM top WHERE r <= 5""")
 def _(spark, sf):
-    scored = notes(spark, sf).where("scored")
+    # three report parts read the slim per-note table
+    scored = materialize(notes(spark, sf).where("scored").select("run", "scored", "paths", "gold_tiene", "pred_tiene", "gold_total", "pred_total"))
     per_path = S.path_accuracy_total(S.path_accuracy(scored))
     confusion = S.confusion_counts(scored, F.col("gold_tiene"), F.col("pred_tiene"))
     none = spark.range(0).selectExpr("id AS violation_count", "id AS sd_violation_count")

@@ -272,7 +272,7 @@ def usage_totals(good: DataFrame) -> DataFrame:
 def ingest_counts(good: DataFrame, errors: DataFrame) -> DataFrame:
     """One row: ``ok, errors, exit_code``."""
     ok = good.agg(F.count("*").alias("ok"))
-    return ok.crossJoin(F.broadcast(errors.agg(F.count("*").alias("errors")))).withColumn(
+    return ok.withColumn("errors", errors.agg(F.count("*")).scalar()).withColumn(
         "exit_code", F.when(F.col("errors") == 0, 0).otherwise(2)
     )
 

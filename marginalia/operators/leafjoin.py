@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from marginalia.operators.walk import walk
+from marginalia.session import materialize
 
 
 def _side(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
@@ -28,7 +29,8 @@ def leaf_pairs(gold: DataFrame, gold_value: str, pred: DataFrame, pred_value: st
     g, p = _side(gold, gold_value, key, "gold"), _side(pred, pred_value, key, "pred")
     pairs = g.join(p, [key, "path"], "full")
     parent = F.coalesce("gold_parent", "pred_parent")
-    pairs = pairs.withColumn("parent", parent).withColumn("is_slot", F.col("path").endswith("]"))
+    # three branches read the pairs, so the walks and their join run once
+    pairs = materialize(pairs.withColumn("parent", parent).withColumn("is_slot", F.col("path").endswith("]")))
     kinds = pairs.select(
         F.col(key).alias("__k"), F.col("path").alias("__p"),
         F.col("gold_type").alias("gold_at_parent"), F.col("pred_type").alias("pred_at_parent"),

@@ -198,12 +198,10 @@ def token_timing(notes: DataFrame, total_seconds: float, by: Sequence[str] = ())
 
 
 def elapsed_share(notes: DataFrame, total_seconds: float) -> DataFrame:
-    """Wall time attributed by tokens; the total is one broadcast row."""
+    """Wall time attributed by tokens; the total is a scalar subquery."""
     tokens = F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))
-    whole = notes.agg(F.sum(tokens).alias("__all"))
-    return notes.crossJoin(F.broadcast(whole)).withColumn(
-        "elapsed_seconds", rounded(F.lit(total_seconds) * ratio(tokens, F.col("__all")), 3)
-    ).drop("__all")
+    whole = notes.agg(F.sum(tokens)).scalar()
+    return notes.withColumn("elapsed_seconds", rounded(F.lit(total_seconds) * ratio(tokens, whole), 3))
 
 
 def token_histogram(notes: DataFrame, column: str = "output_tokens") -> DataFrame:

@@ -32,12 +32,9 @@ def slice_offset(df: DataFrame, order: str, start: int, dense: bool = False) ->
     if dense:
         return df.where(F.col(order) >= start)
     head = df.select(order).orderBy(order).limit(start)
-    last_skipped = head.agg(F.max(order).alias("__last"), F.count("*").alias("__n"))
-    return (
-        df.join(F.broadcast(last_skipped), F.col(order) > F.col("__last"))
-        .where(F.col("__n") == start)
-        .drop("__last", "__n")
-    )
+    # null, and so no row, where the table has no more than the skipped head
+    last_skipped = head.agg(F.when(F.count("*") == start, F.max(order)))
+    return df.where(F.col(order) > last_skipped.scalar())
 
 
 def limit_rows(df: DataFrame, order: str, n: int) -> DataFrame:

@@ -172,7 +172,7 @@ def set_checks(rows: DataFrame, all_rows: DataFrame, key: str) -> DataFrame:
     """One row: sizes add up, and no id is in both parts."""
     sides = rows.groupBy(key).agg(F.count_distinct("split").alias("sides"), F.count("*").alias("n"))
     got = sides.agg(F.sum("n").alias("split_rows"), F.count_if(F.col("sides") > 1).alias("overlap"))
-    return got.crossJoin(F.broadcast(all_rows.agg(F.count("*").alias("all_rows")))).withColumn(
+    return got.withColumn("all_rows", all_rows.agg(F.count("*")).scalar()).withColumn(
         "ok", (F.col("overlap") == 0) & (F.col("split_rows") == F.col("all_rows"))
     )
 
