@@ -289,6 +289,8 @@ def build_spaces(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
         seen = np.zeros(len(ids) + 1)
         for r in counts:
             seen[r.word] = r.n
+        if not seen[-1]:  # no documents
+            return
         longest = max(len(i.own) for i in items)
         if longest > 2 * block:
             raise ValueError(f"an item has {longest} words; block must be at least half of that")

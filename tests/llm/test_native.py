@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def no_python(df):
-    return not re.search("Python|Pandas|Arrow|ExistingRDD", df._jdf.queryExecution().executedPlan().toString())
+    return not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
 
 
 # --- sharding
