@@ -181,13 +181,11 @@ def _latent_space(texts: DataFrame, space: Space, rank: int, block: int) -> Spac
     test = np.random.default_rng(3).standard_normal((len(space.weight), rank)).astype(np.float32)
     parts = texts.mapInArrow(_sketch(space, test, block), "row long, sums array<double>")
     total, norm = np.zeros(test.shape), 0.0
-    summed = parts.select("row", F.posexplode("sums")).groupBy("row", "pos").agg(F.sum("col").alias("s"))
-    for r in summed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("v")).collect():
-        v = np.array([x.s for x in r.v])
-        if r.row < 0:
-            norm = v[0]
+    for r in parts.groupBy("row").agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(rank)]).collect():
+        if r[0] < 0:
+            norm = r[1]
         else:
-            total[r.row] = v
+            total[r[0]] = r[1:]
     boost = max(norm, 1.0) / max(float((items**2).sum()), 1e-9)
     total += boost * (items.T @ (items @ test))
     inner = test.T @ total
@@ -209,6 +207,8 @@ class Finder:
         rare = lambda own: [w for w in own if space.column[w] >= 0]
         self.rare = [rare(i.own) for i in space.items]
         self.answer = [rare(i.answer) or i.answer for i in space.items]
+        # a passage with fewer distinctive words passes the order check for no item
+        self.least = max(1, min(int(np.ceil(LOOSE * len(set(r)))) for r in self.rare))
         self.masks = [(_places(r), _places(a), _places(i.own)) for r, a, i in zip(self.rare, self.answer, space.items)]
 
     def __call__(self, text: str | None) -> list[tuple[int, float, int, int]]:
@@ -225,12 +225,14 @@ class Finder:
             lo, hi = starts[at], starts[at + 256] if at + 256 < len(starts) else len(c)
             part = space.basis[c[lo:hi]] * space.weight[c[lo:hi], None]
             sums[rows[starts[at : at + 256]]] = np.add.reduceat(part, starts[at : at + 256] - lo, axis=0)
-        for at in range(0, len(sums) - 2, 256):
-            w = sums[at : at + 258]
-            w = w[:-2] + w[1:-1] + w[2:]
+        held = np.bincount(rows, minlength=len(sums))
+        worth = np.flatnonzero(held[:-2] + held[1:-1] + held[2:] >= self.least)
+        for at in range(0, len(worth), 256):
+            own = worth[at : at + 256]
+            w = sums[own] + sums[own + 1] + sums[own + 2]
             near = (w @ space.latent.T) / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
             for k, i in zip(*np.nonzero(near >= self.cosine)):
-                span = slice((at + int(k)) * block, (at + int(k) + 3) * block)
+                span = slice(int(own[k]) * block, (int(own[k]) + 3) * block)
                 length = self._check(ids[span], columns[span], int(i))
                 if length:
                     found[int(i)] = max(found.get(int(i), (0.0, 0)), (float(near[k, i]), length))
