@@ -43,15 +43,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words that a document of a smaller doc_id has; emptied documents go."""
-    found = repeated_passages(docs, window=50, with_text=True).where("n_removed > 0")
-    cut = found.groupBy(F.col("doc_id").alias("cut_id"), F.col("n_words").alias("words")).agg(
-        F.min("kept_text").alias("kept_text"), F.max("n_removed").alias("gone"))
-    single = F.size(F.array_remove(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), ""))
-    joined = docs.join(cut, (F.col("doc_id") == F.col("cut_id")) & (single == F.col("words")), "left")
-    joined = joined.where("gone IS NULL OR gone < words")
-    text = F.coalesce("kept_text", "text")
-    changed = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text")).cast("long")}
-    return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    found = repeated_passages(docs, window=50, with_rows=True).where("n_removed = 0 OR n_removed < n_words")
+    changed = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("row.n_chars")).cast("long")}
+    return found.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,11 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from marginalia.llm.common import hash_words, ngram_hashes, signed, words
 from marginalia.session import materialize
 
 
+#: Places of the map that says which texts may need a join: 2**22 bits are 1 MB to broadcast.
+MAP_BITS = 22
+
+
 def anchors(h: np.ndarray, window: int, part: int) -> np.ndarray:
     """Positions of the smallest part hash of each window, each position once."""
     g = ngram_hashes(h, part)
@@ -90,7 +95,7 @@ def cut(text: str, keep: np.ndarray) -> str:
     return "\n".join(lines)
 
 
-def _finish(window: int, with_text: bool):
+def _finish(window: int, with_rows: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -100,24 +105,42 @@ def _finish(window: int, with_text: bool):
                 removed = len(own) - int(keep.sum())
                 kept = own if not removed else [w for w, k in zip(own, keep) if k]
                 rows.append((len(own), removed, hashlib.sha256(b" ".join(kept)).hexdigest(),
-                             (cut(text, keep) if removed else text) if with_text else None))
+                             (cut(text, keep) if removed else text) if with_rows else None))
             arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *arrays], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            more = [arrays[3], batch.column("row")] if with_rows else []
+            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "row"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays[:3], *more], names=names[: 4 + len(more)])
 
     return run
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows whose mark occurs under more than one text; adds ``first_doc``, the smallest doc_id with it."""
-    shared = rows.groupBy("mark").agg(
-        F.min("doc_id").alias("first_doc"), F.min("digest").alias("low"), F.max("digest").alias("high"),
-        F.max("doc_id").alias("last_doc")).where("low <> high OR first_doc <> last_doc").select("mark", "first_doc")
-    return rows.join(shared, "mark")
+    """Rows whose mark occurs in more than one text; adds ``first_doc``, the smallest doc_id with it."""
+    shared = rows.groupBy("mark").agg(F.min("doc_id").alias("first_doc"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    return rows.join(shared.where("low <> high").select("mark", "first_doc"), "mark")
+
+
+def _exploded(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "digest", F.explode(F.arrays_zip("marks", "places")).alias("a")).select(
+        "doc_id", "digest", F.col("a.marks").alias("mark"), F.col("a.places").alias("place"))
 
 
-def repeated_passages(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256)`` per row, with ``kept_text`` where asked for.
+def _maybe_in(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Adds ``maybe``: false where ``(doc_id, digest)`` is surely none of ``keys``.
+
+    The keys set bits of a map of fixed size, which alone is broadcast, so that texts that
+    need no join are never shuffled. With very many keys it tells little and nothing is lost.
+    """
+    place = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(1 << MAP_BITS))
+    at = lambda df: df.withColumn("word", F.shiftright(place, 6)).withColumn("bit", (place % 64).cast("int"))
+    bits = at(keys).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    known = at(docs).join(F.broadcast(bits), "word", "left")
+    return known.withColumn("maybe", F.coalesce(F.getbit("bits", F.col("bit")) == 1, F.lit(False))).drop("word", "bit", "bits")
+
+
+def repeated_passages(docs: DataFrame, window: int = 50, with_rows: bool = False) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept_sha256)`` per row; ``with_rows`` adds ``kept_text``
+    and the input row as the struct ``row``.
 
     A word goes if a window of ``window`` words that covers it also starts in a document of a
     smaller doc_id; windows are judged on the input. Equal texts are judged once: all but the
@@ -127,29 +150,32 @@ def repeated_passages(docs: DataFrame, window: int = 50, with_text: bool = False
     an empty result; other columns are ignored.
     """
     part = max(1, window // 2)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    whole_row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_rows else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *whole_row)
     docs = docs.withColumn("digest", F.xxhash64(F.lit(7), "text"))
-    full = F.md5(F.encode("text", "UTF-8"))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     spec = "doc_id long, digest long, marks array<long>, places array<int>"
-    slim = known.select("doc_id", "digest", full.alias("md5"))
+    key = ["doc_id", "digest"]
+    slim = known.select(*key, F.md5(F.encode("text", "UTF-8")).alias("md5"))
     leads = slim.groupBy("md5").agg(F.min(F.struct("doc_id", "digest")).alias("lead"), F.max("doc_id").alias("last"))
-    copies = materialize(slim.join(leads.where("lead.doc_id < last"), "md5").where("doc_id > lead.doc_id")
-                         .select("doc_id", "digest").distinct())
-
-    found = known.select("doc_id", "digest", "text").mapInArrow(_anchors(window, part), spec)
-    found = found.join(copies, ["doc_id", "digest"], "left_anti")
-    level = materialize(found.where("size(marks) > 0").select(
-        "doc_id", "digest", F.explode(F.arrays_zip("marks", "places")).alias("a")).select(
-        "doc_id", "digest", F.col("a.marks").alias("mark"), F.col("a.places").alias("place")).distinct())
-    survivors = _repeated(level).groupBy("doc_id", "digest").agg(F.collect_list("place").alias("places"))
-
-    wider = docs.join(survivors, ["doc_id", "digest"]).select("doc_id", "digest", "text", "places").mapInArrow(_extend(window, part), spec)
-    level = wider.select("doc_id", "digest", F.explode(F.arrays_zip("marks", "places")).alias("a")).select(
-        "doc_id", "digest", F.col("a.marks").alias("mark"), F.col("a.places").alias("place"))
-    gone = _repeated(materialize(level)).where("doc_id > first_doc").groupBy("doc_id", "digest").agg(
-        F.collect_set("place").alias("places")).withColumn("whole", F.lit(False))
-    verdicts = gone.unionByName(copies.select("doc_id", "digest", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("whole")))
-    out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    result = docs.join(verdicts, ["doc_id", "digest"], "left").select("doc_id", "text", "places", "whole").mapInArrow(_finish(window, with_text), out)
-    return result if with_text else result.drop("kept_text")
+    copies = materialize(slim.join(leads.where("lead.doc_id < last"), "md5").where("doc_id > lead.doc_id").select(*key).distinct())
+
+    marked = _maybe_in(known, copies)
+    single = marked.where("NOT maybe").unionByName(marked.where("maybe").join(copies, key, "left_anti"))
+    found = materialize(single.select(*key, "text").mapInArrow(_anchors(window, part), spec).where("size(marks) > 0"))
+    survivors = materialize(_repeated(_exploded(found)).groupBy(*key).agg(F.collect_set("place").alias("places")))
+
+    wider = _maybe_in(known, survivors).where("maybe").join(survivors, key).select(*key, "text", "places")
+    wider = materialize(wider.mapInArrow(_extend(window, part), spec))
+    gone = _repeated(_exploded(wider)).where("doc_id > first_doc").groupBy(*key).agg(F.collect_set("place").alias("places"))
+    verdicts = materialize(gone.withColumn("whole", F.lit(False)).unionByName(
+        copies.select(*key, F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("whole"))))
+
+    rows = ["row"] if with_rows else []
+    judged = _maybe_in(docs, verdicts)
+    same = judged.where("NOT maybe").select("doc_id", "text", F.lit(None).cast("array<int>").alias("places"), F.lit(False).alias("whole"), *rows)
+    other = judged.where("maybe").join(verdicts, key, "left").select("doc_id", "text", "places", "whole", *rows)
+    out = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_rows)
+    if with_rows:
+        out = out.add("row", docs.schema["row"].dataType)
+    return same.unionByName(other).mapInArrow(_finish(window, with_rows), out)

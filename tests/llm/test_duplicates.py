@@ -100,7 +100,7 @@ def test_repeated_passages_equal_brute_force(spark, edge_docs, window):
 def test_kept_text_keeps_lines(spark):
     a = " ".join(f"w{i}" for i in range(60))
     docs = spark.createDataFrame([(1, f"head\n{a}\ntail"), (2, f"own  line\n{a}\nmore"), (3, "as  it is")], "doc_id long, text string")
-    found = {r.doc_id: r.kept_text for r in repeated_passages(docs, 50, with_text=True).collect()}
+    found = {r.doc_id: r.kept_text for r in repeated_passages(docs, 50, with_rows=True).collect()}
     assert found == {1: f"head\n{a}\ntail", 2: "own  line\nmore", 3: "as  it is"}
 
 
