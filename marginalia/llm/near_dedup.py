@@ -171,10 +171,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, position
             for start in range(0, positions, chunk) for out in range(min(chunk, positions - start))]
     keyed = classes.select("rep", "set_a", "size", F.explode(F.array(*keys)).alias("key"))
     pivots = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot < top").drop("top")
-    groups = keyed.join(pivots, "key").select("pivot", "rep", "set_a", "size").distinct()
+    # written first, so that the join shuffles both sides itself and splits a key that very many sets share
+    groups = keyed.join(materialize(pivots), "key").select("pivot", "rep", "set_a", "size").distinct()
     groups = materialize(groups)
 
-    blocks = groups.groupBy("pivot").agg(F.ceil(F.sum("size") / F.lit(block_shingles)).alias("nb"))
+    blocks = materialize(groups.groupBy("pivot").agg(F.ceil(F.sum("size") / F.lit(block_shingles)).alias("nb")))
     placed = groups.join(blocks, "pivot").withColumn("block", F.expr("CAST(pmod(xxhash64(rep), nb) AS int)"))
     others = F.expr("""CASE WHEN rep = pivot
         THEN flatten(transform(sequence(0, CAST(nb AS int) - 1), x -> transform(sequence(x, CAST(nb AS int) - 1), y -> struct(x AS i, y AS j))))

@@ -117,7 +117,8 @@ def _finish(window: int, with_rows: bool):
 def _repeated(rows: DataFrame) -> DataFrame:
     """Rows whose mark occurs in more than one text; adds ``first_doc``, the smallest doc_id with it."""
     shared = rows.groupBy("mark").agg(F.min("doc_id").alias("first_doc"), F.min("digest").alias("low"), F.max("digest").alias("high"))
-    return rows.join(shared.where("low <> high").select("mark", "first_doc"), "mark")
+    # written first, so that the join shuffles both sides itself and splits a mark that very many texts share
+    return rows.join(materialize(shared.where("low <> high").select("mark", "first_doc")), "mark")
 
 
 def _exploded(found: DataFrame) -> DataFrame:
