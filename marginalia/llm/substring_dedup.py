@@ -3,7 +3,9 @@
 Level 1 hashes windows of half the wanted length. Of every run of them that lies in one full
 window, the smallest hash stands for the run, so equal full windows have an equal anchor and
 few rows are shuffled. Level 2 extends only anchors that occur in more than one text to
-windows of twice the length.
+windows of twice the length. Anchors whose surroundings, wide enough for all their windows,
+equal those of a smaller doc_id are settled at once; only the others are looked at window by
+window. The smallest doc_id always keeps its windows, so every other one finds them.
 """
 
 from __future__ import annotations
@@ -38,29 +40,36 @@ def anchors(h: np.ndarray, window: int, part: int) -> np.ndarray:
 def _anchors(window: int, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, places = [], []
+            marks, wides, places = [], [], []
+            side = window - part
             for text in batch.column("text").to_pylist():
                 h = hash_words(words(text))
                 p = anchors(h, window, part)
+                g = ngram_hashes(h, part + 2 * side)
+                inside = (p >= side) & (p - side < len(g))
+                wide = g[np.where(inside, p - side, 0)] if inside.any() else np.zeros(len(p), np.uint64)
                 marks.append(signed(ngram_hashes(h, part)[p]) if len(p) else np.empty(0, np.int64))
+                wides.append(pa.array(signed(wide), mask=~inside))
                 places.append(p.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("digest"), pa.array(marks, pa.list_(pa.int64())),
-                 pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "digest", "marks", "places"])
+                 pa.array([w.to_pylist() for w in wides], pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
+                names=["doc_id", "digest", "marks", "wides", "places"])
 
     return run
 
 
 def _extend(window: int, part: int):
-    """Full windows around the anchors that survived."""
+    """Full windows around the anchors that survived, but for those that the settled anchors answer for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks, places = [], []
-            for text, survivors in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
+            reach = np.arange(window - part + 1)
+            for text, survivors, settled in zip(*(batch.column(c).to_pylist() for c in ("text", "places", "settled"))):
                 g = ngram_hashes(hash_words(words(text)), window)
-                near = np.asarray(survivors, np.int64)[:, None] - np.arange(window - part + 1)
-                p = np.unique(near[(near >= 0) & (near < len(g))])
+                near = np.asarray(survivors, np.int64)[:, None] - reach
+                p = np.setdiff1d(near[(near >= 0) & (near < len(g))], np.asarray(settled, np.int64)[:, None] - reach)
                 marks.append(signed(g[p]))
                 places.append(p.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -114,16 +123,18 @@ def _finish(window: int, with_rows: bool):
     return run
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows whose mark occurs in more than one text; adds ``first_doc``, the smallest doc_id with it."""
-    shared = rows.groupBy("mark").agg(F.min("doc_id").alias("first_doc"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+def _repeated(rows: DataFrame, mark: str, how: str = "inner") -> DataFrame:
+    """Adds ``first_doc``, the smallest doc_id with the same mark, to rows whose mark occurs in more than one text."""
+    shared = rows.where(F.col(mark).isNotNull()).groupBy(mark).agg(
+        F.min("doc_id").alias("first_doc"), F.min("digest").alias("low"), F.max("digest").alias("high"))
     # written first, so that the join shuffles both sides itself and splits a mark that very many texts share
-    return rows.join(materialize(shared.where("low <> high").select("mark", "first_doc")), "mark")
+    return rows.join(materialize(shared.where("low <> high").select(mark, "first_doc")), mark, how)
 
 
-def _exploded(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "digest", F.explode(F.arrays_zip("marks", "places")).alias("a")).select(
-        "doc_id", "digest", F.col("a.marks").alias("mark"), F.col("a.places").alias("place"))
+def _exploded(found: DataFrame, *fields: str) -> DataFrame:
+    """One row per place: array columns ``marks`` become a column ``mark`` each."""
+    zipped = found.select("doc_id", "digest", F.explode(F.arrays_zip(*fields)).alias("a"))
+    return zipped.select("doc_id", "digest", *[F.col(f"a.{c}").alias(c[:-1]) for c in fields])
 
 
 def _maybe_in(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -163,12 +174,19 @@ def repeated_passages(docs: DataFrame, window: int = 50, with_rows: bool = False
 
     marked = _maybe_in(known, copies)
     single = marked.where("NOT maybe").unionByName(marked.where("maybe").join(copies, key, "left_anti"))
-    found = materialize(single.select(*key, "text").mapInArrow(_anchors(window, part), spec).where("size(marks) > 0"))
-    survivors = materialize(_repeated(_exploded(found)).groupBy(*key).agg(F.collect_set("place").alias("places")))
-
-    wider = _maybe_in(known, survivors).where("maybe").join(survivors, key).select(*key, "text", "places")
-    wider = materialize(wider.mapInArrow(_extend(window, part), spec))
-    gone = _repeated(_exploded(wider)).where("doc_id > first_doc").groupBy(*key).agg(F.collect_set("place").alias("places"))
+    wide_spec = spec.replace("places", "wides array<long>, places")
+    found = materialize(single.select(*key, "text").mapInArrow(_anchors(window, part), wide_spec).where("size(marks) > 0"))
+    level = materialize(_repeated(_exploded(found, "marks", "wides", "places"), "mark").drop("mark", "first_doc"))
+    settled = F.col("doc_id") > F.col("first_doc")
+    survivors = materialize(_repeated(level, "wide", "left").groupBy(*key).agg(
+        F.collect_set("place").alias("places"), F.collect_set(F.when(settled, F.col("place"))).alias("settled")))
+
+    wider = _maybe_in(known, survivors).where("maybe").join(survivors, key).select(*key, "text", "places", "settled")
+    wider = materialize(wider.mapInArrow(_extend(window, part), spec).where("size(marks) > 0"))
+    gone = _repeated(_exploded(wider, "marks", "places"), "mark").where("doc_id > first_doc").select(*key, "place")
+    gone = gone.groupBy(*key).agg(F.collect_set("place").alias("places")).unionByName(
+        survivors.where("size(settled) > 0").select(*key, F.flatten(F.transform("settled", lambda p: F.sequence(p - (window - part), p))).alias("places")))
+    gone = gone.groupBy(*key).agg(F.flatten(F.collect_list("places")).alias("places"))
     verdicts = materialize(gone.withColumn("whole", F.lit(False)).unionByName(
         copies.select(*key, F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("whole"))))
 
