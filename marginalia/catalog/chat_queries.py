@@ -227,9 +227,9 @@ def _(spark, sf):
 
 def strata(spark, sf):
     """Documents with their event totals and stratum; ``source|lang`` is the category to cover."""
-    kept = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
+    kept = F.size(F.filter(F.split("text", "\n"), C.is_event_line))
     docs = C.table(spark, sf, "documents").select(
-        "doc_id", F.when(F.col("doc_id") % 9 == 2, 0).otherwise(kept).alias("total"), F.concat_ws("|", "source", "lang").alias("category")
+        "doc_id", kept.alias("total"), F.concat_ws("|", "source", "lang").alias("category")
     )
     has = F.col("total") > 0
     return once(docs, bucket=X.event_bucket(F.col("total"))).withColumns(

@@ -14,7 +14,7 @@ same text templates run in both engines; only list and date functions differ. Va
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marginalia import schema as S
 from marginalia.session import spread
@@ -146,7 +146,7 @@ def event_json(x: str, mode: str = "target") -> str:
                    '"voces_protagonistas":{"hay_voces_protagonistas":"Sí","citas":["a","b"]},'
                    '"control_extraccion":{"campos_inferidos":["x"],"requiere_revision_humana":false}') if raw else "''"
     return _glue(
-        '{"evento_id":"doc_', q("e.d"), "__evento_", q("lpad(concat('', e.i), 3, '0')"),
+        '{"evento_id":"doc_', q("e.d"), "__evento_", q("CASE WHEN e.i < 1000 THEN lpad(concat('', e.i), 3, '0') ELSE concat('', e.i) END"),
         '","evento_numero":', number, ',"es_evento_protesta":',
         q(f"CASE WHEN substr({x}, 14, 1) >= '2' THEN 'true' ELSE 'false' END"),
         q(f"CASE WHEN substr({x}, 14, 1) >= '2' THEN {details} ELSE {not_event} END"),
@@ -186,12 +186,17 @@ _CONTROL = r"""[\x00-\x1f"\\]"""
 MUTATED = "CASE WHEN substr(e.h, 1, 1) < '8' THEN e.h ELSE concat(substr(e.h, 1, 12), substr(md5(concat(e.t, '#')), 13, 20)) END"
 
 
+def is_event_line(line: Column) -> Column:
+    """A non-blank line is an event or plain prose, by its digest: so some notes have no event though all text is read."""
+    return (F.trim(line) != "") & (F.substring(F.md5(line), 20, 1) >= "4")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes with their lines: ``doc_id, fecha, lines`` (index, date, clean text, digest)."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     day = F.expr("date_add(DATE '1990-01-01', CAST(doc_id * 37 % 730 AS INT))")
     fecha = F.date_format(day, "dd/MM/yyyy")
-    kept = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    kept = F.filter(F.split("text", "\n"), is_event_line)
     numbered = F.transform(
         kept,
         lambda x, j: F.struct(
@@ -199,9 +204,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.regexp_replace(x, _CONTROL, " ").alias("t"), F.md5(x).alias("h"),
         ),
     )
-    return docs.withColumn("fecha", fecha).select(
-        "doc_id", "fecha", F.when(F.col("doc_id") % 9 == 2, F.slice(numbered, 1, 0)).otherwise(numbered).alias("lines")
-    )
+    return docs.withColumn("fecha", fecha).select("doc_id", "fecha", numbered.alias("lines"))
 
 
 def _render(notes: DataFrame, event: str, note: str, name: str) -> DataFrame:
@@ -247,8 +250,8 @@ def source_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES_SQL = r"""
 lines AS MATERIALIZED (
-  SELECT doc_id, fecha, CASE WHEN doc_id % 9 = 2 THEN list_slice(lines, 1, 0) ELSE lines END AS lines FROM (
-    SELECT doc_id, fecha, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''),
+  SELECT doc_id, fecha, lines FROM (
+    SELECT doc_id, fecha, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND substr(md5(x), 20, 1) >= '4'),
       lambda x, j: struct_pack(d := doc_id, i := j, f := fecha,
         t := regexp_replace(x, '[\x00-\x1f"\\]', ' ', 'g'), h := md5(x))) AS lines
     FROM (SELECT doc_id, text, strftime(DATE '1990-01-01' + CAST(doc_id * 37 % 730 AS INTEGER), '%d/%m/%Y') AS fecha

@@ -359,7 +359,7 @@ def _(spark, sf):
 
 
 @query("renumber_events", C.with_notes(C.PRED_SQL) + """ SELECT nota_id, n AS total, n > 0 AS has, n * (n + 1) // 2 AS numbers,
-    CASE WHEN n > 0 THEN nota_id || '__evento_' || lpad(CAST(n AS VARCHAR), 3, '0') ELSE '' END AS last_id, 'S/D' AS remark FROM (
+    CASE WHEN n > 0 THEN nota_id || '__evento_' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END ELSE '' END AS last_id, 'S/D' AS remark FROM (
     SELECT nota_id, CAST(json_array_length(raw_text, '$.extraccion.eventos_protesta') AS BIGINT) AS n FROM pred WHERE parse_valid)""")
 def _(spark, sf):
     # predictions repeat or drop events, so their stated numbers are off
@@ -443,7 +443,7 @@ def _(spark, sf):
     return cells.agg(F.count("*").alias("n"), F.sum(F.length("cell")).alias("chars"), F.min(F.md5("cell")).alias("low"), F.max(F.md5("cell")).alias("high"))
 
 
-@query("review_status", """SELECT CASE WHEN doc_id % 3 = 1 THEN 'Validado con edicion' ELSE 'Validado sin edicion' END AS status, CASE WHEN doc_id % 3 = 1 THEN 'Nico' ELSE '' END AS editor,
+@query("review_status", """SELECT CASE WHEN doc_id % 3 = 1 THEN 'Validado con edicion' ELSE 'Validado sin edicion' END AS status, CASE WHEN doc_id % 3 = 1 THEN 'S/D' ELSE '' END AS editor,
     CASE WHEN doc_id % 3 = 1 THEN 'a; b' ELSE '' END AS tags, count(*) AS n FROM documents GROUP BY ALL""")
 def _(spark, sf):
     rows = source(spark, sf).select(

@@ -522,9 +522,9 @@ def _(spark, sf):
 top AS (SELECT p.*, row_number() OVER (ORDER BY error_rate DESC, support DESC, no) AS r FROM per_path p JOIN pno USING (path) WHERE path <> '__aggregate__'),
 cells AS (SELECT count(*) FILTER (pred_tiene AND NOT gold_tiene) AS fp, count(*) FILTER (gold_tiene AND NOT pred_tiene) AS fn, count(*) AS n,
     sum(gold_total)::BIGINT AS g, sum(pred_total)::BIGINT AS p, count(*) FILTER (pred_total > gold_total) AS more, count(*) FILTER (pred_total < gold_total) AS less FROM scored)
-    SELECT 1 AS place, 'Hard negatives para `tiene_eventos_protesta`' AS target, format('Hay {} FP y {} FN en {} filas.', fp, fn, n) AS evidence FROM cells
-    UNION ALL SELECT 2, 'Delimitación y conteo de eventos', format('Gold total={}, pred total={}, delta={}; {} notas tienen eventos de más y {} eventos de menos.', g, p, p - g, more, less) FROM cells
-    UNION ALL SELECT r + 2, format('Codebook/examples para `{}`', path), format('accuracy={:.4f}, error_rate={:.4f}, support={}, fp={}, fn={}.', accuracy, error_rate, support, fp, fn) FROM top WHERE r <= 5""")
+    SELECT 1 AS place, 'Notes without events (`tiene_eventos_protesta`)' AS target, format('{} of the yes and {} of the no answers are wrong, in {} notes.', fp, fn, n) AS evidence FROM cells
+    UNION ALL SELECT 2, 'Number of events', format('{} events in gold, {} predicted, difference {}; too many in {} notes, too few in {}.', g, p, p - g, more, less) FROM cells
+    UNION ALL SELECT r + 2, format('Definition of `{}`', path), format('right {:.4f}, wrong {:.4f} of {}; fp {}, fn {}.', accuracy, error_rate, support, fp, fn) FROM top WHERE r <= 5""")
 def _(spark, sf):
     # three report parts read the slim per-note table
     scored = materialize(notes(spark, sf).where("scored").select("run", "scored", "paths", "gold_tiene", "pred_tiene", "gold_total", "pred_total"))

@@ -12,8 +12,10 @@ FIELD_SEPARATOR = " | "
 ITEM_SEPARATOR = " ; "
 EDITED = "Validado con edicion"
 UNEDITED = "Validado sin edicion"
-DEFAULT_EDITOR = "Nico"
+UNNAMED_EDITOR = "S/D"
 SHOWN_WIDTH = 60
+# Levels below a list of the source record: its records, their lists, the records in those, their fields.
+LIST_DEPTH = 4
 
 
 def scalar_at(variant: str, path: str) -> Column:
@@ -61,7 +63,7 @@ def flatten_variant_sql(v: str, depth: int, names: Names | None = None) -> str:
     return f"coalesce({fields}, {items}, {plain})"
 
 
-def list_at(variant: str, path: str, depth: int = 2) -> Column:
+def list_at(variant: str, path: str, depth: int = LIST_DEPTH) -> Column:
     """A list at a dotted path, items joined; empty where missing, null or no list."""
     x = "item"
     items = f"try_variant_get({variant}, {quote('$.' + path)}, 'array<variant>')"
@@ -79,10 +81,11 @@ def review_status(variant: str) -> Column:
     return F.when(edited, F.lit(EDITED)).otherwise(F.lit(UNEDITED))
 
 
-def review_editor(variant: str) -> Column:
+def review_editor(variant: str, unnamed: str = UNNAMED_EDITOR) -> Column:
+    """Who edited the note; ``unnamed`` where an edited note names nobody, empty where it was not edited."""
     edited = F.coalesce(_review(variant, "modificada", "boolean"), F.lit(False))
     user = F.nullif(_review(variant, "usuario_validador", "string"), F.lit(""))
-    return F.when(edited, F.coalesce(user, F.lit(DEFAULT_EDITOR))).otherwise(F.lit(""))
+    return F.when(edited, F.coalesce(user, F.lit(unnamed))).otherwise(F.lit(""))
 
 
 def review_tags(variant: str) -> Column:

@@ -107,7 +107,7 @@ def note_id_fallback(assistant_json: Column, user_text: Column, line_no: Column)
     gold_id = F.nullif(F.get_json_object(assistant_json, "$.nota.nota_id"), F.lit(""))
     first_line = F.split(user_text, r"\r\n|\r|\n").getItem(0)
     header = F.when(
-        first_line.startswith(HEADER), F.nullif(strip(F.substring(first_line, len(HEADER) + 1, 1_000_000_000)), F.lit(""))
+        first_line.startswith(HEADER), F.nullif(strip(F.substr(first_line, F.lit(len(HEADER) + 1))), F.lit(""))
     )
     return F.coalesce(gold_id, header, F.concat(F.lit("line_"), line_no.cast("string")))
 

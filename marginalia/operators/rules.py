@@ -67,7 +67,7 @@ def schema_findings(df: DataFrame, value: str, node: Node, keep: Sequence[str])
         .withColumn("shown", shown)
         .select(*keep, "pointer", "pattern", F.explode(F.expr(f"concat(array_compact(array({single})), {missing})")).alias("f"))
     )
-    path = F.when(F.col("pointer") == "", F.lit("<root>")).otherwise(F.substring("pointer", 2, 1_000_000))
+    path = F.when(F.col("pointer") == "", F.lit("<root>")).otherwise(F.substr("pointer", F.lit(2)))
     return found.select(*keep, path.alias("path"), "pattern", "f.keyword", "f.message")
 
 

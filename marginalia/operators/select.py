@@ -119,15 +119,17 @@ def over_limit(df: DataFrame, tokens: str, limit: int, prompt: Column | None = N
     return rows if prompt is None else rows.withColumn("prompt_first_chars", F.substring(prompt, 1, 120))
 
 
-def enum_match(df: DataFrame, value: str, members: DataFrame, member: str) -> DataFrame:
+def enum_match(df: DataFrame, value: str, members: DataFrame, member: str, order: str | None = None) -> DataFrame:
     """Left join of a text to the member it equals up to case, accents and spaces.
 
-    The collated key makes this an equi join. The member list is broadcast only while its
-    size is checked; a larger one is joined by shuffle.
+    The collated key makes this an equi join. Of several members with one key the first in
+    ``order``, else in text order, counts, so no row is doubled. The member list is broadcast
+    only while its size is checked; a larger one is joined by shuffle.
     """
     from marginalia.functions.text import norm_match
 
-    keyed = members.select(F.col(member).alias("matched"), norm_match(F.col(member)).alias("__k"))
+    keyed = members.groupBy(norm_match(F.col(member)).alias("__k")).agg(
+        F.min_by(F.col(member), F.struct(order or member, member)).alias("matched"))
     return df.withColumn("__v", norm_match(F.col(value))).join(
         broadcast_if_small(keyed, SHORT_LIST), F.col("__v") == F.col("__k"), "left"
     ).drop("__v", "__k")

@@ -14,7 +14,6 @@ NO_EVENTS = "<sin_eventos>"
 MIN_CATEGORY_COUNT = 3
 BUCKET_DIGITS = 3
 MAX_CUTS = 100_000
-MAX_CATEGORIES = 10_000
 
 
 def order_hash(key: Column, seed: int) -> Column:
@@ -118,10 +117,8 @@ def cover_categories(
     counted = (
         slim.select("split", F.explode("cats").alias("c")).groupBy("c")
         .agg(F.count("*").alias("n"), F.count_if(F.col("split") == "eval").alias("n_eval"))
-        .limit(MAX_CATEGORIES + 1).collect()
+        .collect()
     )
-    if len(counted) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories")
     in_eval = {r.c: r.n_eval for r in counted}
     wanted = sorted(r.c for r in counted if r.c != NO_EVENTS and r.n >= minimum)
     moved: dict = {}  # id -> (row, split it now lives in, position it took over)
