@@ -6,6 +6,10 @@ few rows are shuffled. Level 2 extends only anchors that occur in more than one
 windows of twice the length. Anchors whose surroundings, wide enough for all their windows,
 equal those of a smaller doc_id are settled at once; only the others are looked at window by
 window. The smallest doc_id always keeps its windows, so every other one finds them.
+
+Equal anchors of neighbouring documents are gathered into one row before they are shuffled
+and dealt out to their documents afterwards, so a passage that very many documents share
+costs the joins a row per bunch of documents and not one per document.
 """
 
 from __future__ import annotations
@@ -24,6 +28,9 @@ from marginalia.session import materialize
 
 #: Places of the map that says which texts may need a join: 2**22 bits are 1 MB to broadcast.
 MAP_BITS = 22
+#: Anchors that are gathered at a time, the places one gathered row holds, and rows per Arrow batch.
+BUNCH, ROW_PLACES, BATCH_ROWS = 1 << 18, 1024, 8192
+GROUPS = "mark long, wide long, bunch long, docs array<long>, digests array<long>, places array<int>"
 
 
 def anchors(h: np.ndarray, window: int, part: int) -> np.ndarray:
@@ -123,18 +130,105 @@ def _finish(window: int, with_rows: bool):
     return run
 
 
+def _flat(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+
+
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """True where a new combination of keys begins."""
+    new = np.zeros(len(sorted_keys[0]), bool)
+    for k in sorted_keys:
+        new[1:] |= k[1:] != k[:-1]
+    new[:1] = True
+    return new
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one document each, with arrays, to rows of one mark (and its surroundings) each, for a bunch of documents."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    bunch = (context.partitionId() if context else 0) << 33
+    for batch in batches:
+        marks, places = (_flat(batch.column(c)) for c in ("marks", "places"))
+        if "wides" in batch.schema.names:
+            wide = batch.column("wides").flatten()
+            known, wide = wide.is_valid().to_numpy(zero_copy_only=False), wide.fill_null(0).to_numpy(zero_copy_only=False)
+        else:
+            known, wide = np.zeros(len(marks), bool), np.zeros(len(marks), np.int64)
+        sizes = batch.column("marks").value_lengths().to_numpy(zero_copy_only=False)
+        docs, digests = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("doc_id", "digest"))
+        ends = np.cumsum(sizes)
+        lo = 0
+        while lo < len(marks):
+            # whole documents, as many as fit in a bunch, one at least
+            hi = int(ends[max(np.searchsorted(ends, lo + BUNCH, "right") - 1, np.searchsorted(ends, lo, "right"))])
+            order = lo + np.lexsort((wide[lo:hi], known[lo:hi], marks[lo:hi]))
+            m, w, k = marks[order], wide[order], known[order]
+            new = _starts(m, w, k)
+            at = np.arange(len(m))
+            new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % ROW_PLACES == 0
+            first = np.flatnonzero(new)
+            offsets = np.r_[first, len(m)]
+            rows = pa.RecordBatch.from_arrays(
+                [pa.array(m[first]), pa.array(w[first], mask=~k[first]), pa.array(np.full(len(first), bunch)),
+                 _lists(offsets, docs[order]), _lists(offsets, digests[order]), _lists(offsets, places[order])],
+                names=["mark", "wide", "bunch", "docs", "digests", "places"])
+            for part in range(0, len(first), BATCH_ROWS):
+                yield rows.slice(part, BATCH_ROWS)
+            lo, bunch = hi, bunch + 1
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gathered rows, sorted by bunch, back to one row per document; ``settled`` are the places whose ``first_doc`` is smaller."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def dealt() -> pa.RecordBatch:
+        doc, digest, place, late = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort((place, digest, doc))
+        order = order[_starts(doc[order], digest[order], place[order])]
+        doc, digest, place, late = doc[order], digest[order], place[order], late[order]
+        first = np.flatnonzero(_starts(doc, digest))
+        settled = np.r_[0, np.cumsum(late)][np.r_[first, len(doc)]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc[first]), pa.array(digest[first]), _lists(np.r_[first, len(doc)], place), _lists(settled, place[late])],
+            names=["doc_id", "digest", "places", "settled"])
+
+    now = None
+    for batch in batches:
+        bunches = batch.column("bunch").to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(_starts(bunches))
+        for lo, hi in zip(cuts, [*cuts[1:], len(bunches)]):
+            if held and bunches[lo] != now:
+                yield dealt()
+            now, part = bunches[lo], batch.slice(lo, hi - lo)
+            doc = _flat(part.column("docs"))
+            first = part.column("first_doc").fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
+            late = doc > np.repeat(first, part.column("docs").value_lengths().to_numpy(zero_copy_only=False))
+            held.append((doc, _flat(part.column("digests")), _flat(part.column("places")), late))
+    if held:
+        yield dealt()
+
+
 def _repeated(rows: DataFrame, mark: str, how: str = "inner") -> DataFrame:
-    """Adds ``first_doc``, the smallest doc_id with the same mark, to rows whose mark occurs in more than one text."""
-    shared = rows.where(F.col(mark).isNotNull()).groupBy(mark).agg(
-        F.min("doc_id").alias("first_doc"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    """Adds ``first_doc``, the smallest doc_id with the same mark, to gathered rows whose mark occurs in more than one text."""
+    shared = rows.groupBy(mark).agg(
+        F.min(F.array_min("docs")).alias("first_doc"), F.min(F.array_min("digests")).alias("low"), F.max(F.array_max("digests")).alias("high"))
     # written first, so that the join shuffles both sides itself and splits a mark that very many texts share
     return rows.join(materialize(shared.where("low <> high").select(mark, "first_doc")), mark, how)
 
 
-def _exploded(found: DataFrame, *fields: str) -> DataFrame:
-    """One row per place: array columns ``marks`` become a column ``mark`` each."""
-    zipped = found.select("doc_id", "digest", F.explode(F.arrays_zip(*fields)).alias("a"))
-    return zipped.select("doc_id", "digest", *[F.col(f"a.{c}").alias(c[:-1]) for c in fields])
+def _by_text(rows: DataFrame) -> DataFrame:
+    """Gathered rows with ``first_doc`` to ``(doc_id, digest, places, settled)``, one row per text."""
+    rows = rows.select("bunch", "first_doc", "docs", "digests", "places").repartition("bunch").sortWithinPartitions("bunch")
+    dealt = rows.mapInArrow(_deal, "doc_id long, digest long, places array<int>, settled array<int>")
+    # repeated rows of one text give equal arrays, which count once
+    return dealt.groupBy("doc_id", "digest").agg(*[F.flatten(F.collect_set(c)).alias(c) for c in ("places", "settled")])
 
 
 def _maybe_in(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -176,15 +270,14 @@ def repeated_passages(docs: DataFrame, window: int = 50, with_rows: bool = False
     single = marked.where("NOT maybe").unionByName(marked.where("maybe").join(copies, key, "left_anti"))
     wide_spec = spec.replace("places", "wides array<long>, places")
     found = materialize(single.select(*key, "text").mapInArrow(_anchors(window, part), wide_spec).where("size(marks) > 0"))
-    level = materialize(_repeated(_exploded(found, "marks", "wides", "places"), "mark").drop("mark", "first_doc"))
-    settled = F.col("doc_id") > F.col("first_doc")
-    survivors = materialize(_repeated(level, "wide", "left").groupBy(*key).agg(
-        F.collect_set("place").alias("places"), F.collect_set(F.when(settled, F.col("place"))).alias("settled")))
+    level = materialize(_repeated(found.mapInArrow(_gather, GROUPS), "mark").drop("mark", "first_doc"))
+    edges = level.where("wide IS NULL").withColumn("first_doc", F.lit(None).cast("long"))
+    survivors = materialize(_by_text(_repeated(level.where("wide IS NOT NULL"), "wide", "left").unionByName(edges)))
 
     wider = _maybe_in(known, survivors).where("maybe").join(survivors, key).select(*key, "text", "places", "settled")
     wider = materialize(wider.mapInArrow(_extend(window, part), spec).where("size(marks) > 0"))
-    gone = _repeated(_exploded(wider, "marks", "places"), "mark").where("doc_id > first_doc").select(*key, "place")
-    gone = gone.groupBy(*key).agg(F.collect_set("place").alias("places")).unionByName(
+    gone = _by_text(_repeated(wider.mapInArrow(_gather, GROUPS), "mark")).select(*key, F.col("settled").alias("places")).where("size(places) > 0")
+    gone = gone.unionByName(
         survivors.where("size(settled) > 0").select(*key, F.flatten(F.transform("settled", lambda p: F.sequence(p - (window - part), p))).alias("places")))
     gone = gone.groupBy(*key).agg(F.flatten(F.collect_list("places")).alias("places"))
     verdicts = materialize(gone.withColumn("whole", F.lit(False)).unionByName(
