@@ -139,7 +139,7 @@ def _register_findings(name: str, *keywords: str) -> None:
 
     @query(name, sql)
     def _(spark, sf):
-        found = R.schema_findings(source(spark, sf), "v", TARGET, ["nota_id"]).where(F.col("keyword").isin(*keywords))
+        found = R.schema_findings(source(spark, sf), "v", TARGET, ["nota_id"], keywords)
         # notes are counted from (pattern, keyword, note) groups, so both steps combine map-side
         per_note = found.groupBy("pattern", "keyword", "nota_id").agg(F.count("*").alias("n"))
         return per_note.groupBy("pattern", "keyword").agg(F.sum("n").alias("n"), F.count("*").alias("notes"))
@@ -177,7 +177,8 @@ def _(spark, sf):
            "lambda k: NOT list_contains(keys, k))) FROM ruled WHERE type = 'object')"]
     ) + """),
     named AS (SELECT nota_id, CASE WHEN path = '' THEN '<root>' ELSE replace(replace(replace(path, '[', '/'), ']', ''), '.', '/') END AS path FROM found),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY nota_id ORDER BY path) AS r FROM named)
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY nota_id ORDER BY CASE WHEN path = '<root>' THEN [''] ELSE
+      list_transform(string_split(path, '/'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN printf('%010d', CAST(p AS BIGINT)) ELSE p END) END) AS r FROM named)
     SELECT s.nota_id, f.n IS NULL AS valid, coalesce(f.n, 0) AS error_count, coalesce(f.first_paths, '') AS first_paths
     FROM source s LEFT JOIN (SELECT nota_id, count(*) AS n, string_agg(path, ',' ORDER BY r) FILTER (WHERE r <= 10) AS first_paths
       FROM ranked GROUP BY nota_id) f USING (nota_id)""",

@@ -155,7 +155,7 @@ def stamp_note(
     today = quote(day) if day else "date_format(to_utc_timestamp(current_timestamp(), current_timezone()), 'yyyy-MM-dd')"
     body = f"'{SD}'"
     if text:
-        body = f"CASE WHEN coalesce({text}, '') = '' THEN raise_error('full text wanted but the manifest stores none') ELSE {text} END"
+        body = f"coalesce({text}, '')"
     meta = {
         "modelo": quote(model), "proveedor": quote(PROVIDER), "fecha_extraccion": today,
         "prompt_version": quote(prompt_version), "extractor_tipo": quote(EXTRACTOR), "modo_procesamiento": quote(PROCESSING),
@@ -186,8 +186,8 @@ def classify(
     """Envelope lines (``line_no, v``) as ``custom_id, line_no, error_type, error, record, usage, row_index``.
 
     The first failing check of a line names its error: JSON, known id, remote error, HTTP
-    status, response text, inner JSON, object root, schema. ``valid`` is a boolean column
-    over ``record``. The one shuffle is the join with the manifest.
+    status, response text, inner JSON, object root, full text (if it is to be stored and the
+    manifest has none), schema. ``valid`` is a boolean column over ``record``. The one shuffle is the join with the manifest.
     """
     known = manifest.select(
         F.col("custom_id").alias("__id"), "row_index", "txt_file", norm_date(F.col("fecha")).alias("__date"), "texto"
@@ -221,6 +221,8 @@ def classify(
         (F.col("inner").isNull(), BAD_JSON, F.lit("answer is not JSON")),
         (~F.expr(is_object("inner")), FAILED, F.lit("answer is not a JSON object")),
     ]
+    if store_text:
+        checks.append((F.coalesce("texto", F.lit("")) == "", FAILED, F.lit("full text wanted but the manifest stores none")))
     if valid is not None:
         checks.append((~F.coalesce(valid, F.lit(False)), INVALID, F.lit("record breaks the schema")))
     problem = None

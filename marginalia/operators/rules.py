@@ -14,11 +14,13 @@ from marginalia.session import once
 KEYWORDS = ("type", "required", "additionalProperties", "enum", "const", "pattern", "minimum", "minItems")
 
 
-def schema_findings(df: DataFrame, value: str, node: Node, keep: Sequence[str]) -> DataFrame:
+def schema_findings(
+    df: DataFrame, value: str, node: Node, keep: Sequence[str], keywords: Sequence[str] = KEYWORDS
+) -> DataFrame:
     """One row per violation: ``keep``, ``path``, ``pattern``, ``keyword``, ``message``.
 
-    All keywords of a node are tested in one projection after the one broadcast join. A
-    missing key is found on its parent, whose node carries its own key list.
+    The wanted keywords of a node, and no others, are tested in one projection after the one
+    broadcast join. A missing key is found on its parent, whose node carries its own key list.
     """
     text = "try_variant_get(v, '$', 'string')"
     number = "try_variant_get(v, '$', 'double')"
@@ -52,20 +54,21 @@ def schema_findings(df: DataFrame, value: str, node: Node, keep: Sequence[str])
     }
     single = ", ".join(
         f"CASE WHEN {test} THEN named_struct('keyword', '{kw}', 'message', {message}) END"
-        for kw, (test, message) in tests.items()
+        for kw, (test, message) in tests.items() if kw in keywords
     )
     missing = (
         "CASE WHEN type = 'object' THEN transform(array_except(required, keys), "
         "k -> named_struct('keyword', 'required', 'message', concat('\\'', k, '\\' is a required property'))) "
         "ELSE array() END"
     )
+    lists = ([f"array_compact(array({single}))"] if single else []) + ([missing] if "required" in keywords else [])
     shown = F.when(F.col("type").isin("object", "array"), F.col("type")).otherwise(F.expr("to_json(v)"))
     rules = rule_table(df.sparkSession, node).withColumnRenamed("pattern", "rule_pattern")
     found = (
         walk(df, value, keep, ("pointer", "pattern"))
         .join(F.broadcast(rules.withColumnRenamed("path", "pattern")), "pattern")
         .withColumn("shown", shown)
-        .select(*keep, "pointer", "pattern", F.explode(F.expr(f"concat(array_compact(array({single})), {missing})")).alias("f"))
+        .select(*keep, "pointer", "pattern", F.explode(F.expr(f"concat({', '.join(lists)})")).alias("f"))
     )
     path = F.when(F.col("pointer") == "", F.lit("<root>")).otherwise(F.substr("pointer", F.lit(2)))
     return found.select(*keep, path.alias("path"), "pattern", "f.keyword", "f.message")
@@ -74,6 +77,7 @@ def schema_findings(df: DataFrame, value: str, node: Node, keep: Sequence[str])
 def validity_detail(df: DataFrame, value: str, node: Node, key: str, shown: int = 10) -> DataFrame:
     """``key, valid, error_count, errors`` per row; at most ``shown`` errors by path.
 
+    Paths are ordered part by part, list positions as numbers, the root first.
     Validity itself is a per-row expression. Only invalid rows are walked, and only their
     findings are shuffled: counted with map-side partial sums, and cut to the first
     ``shown`` per row by a ranked window whose group limit runs before the shuffle.
@@ -83,7 +87,9 @@ def validity_detail(df: DataFrame, value: str, node: Node, key: str, shown: int
     unreadable = F.col(value).isNull()
     findings = schema_findings(bad.where(~unreadable), value, node, [key])
     counts = findings.groupBy(key).agg(F.count("*").alias("error_count"))
-    order = Window.partitionBy(key).orderBy("path", "keyword", "message")
+    part = "CASE WHEN p RLIKE '^[0-9]+$' THEN lpad(p, greatest(10, length(p)), '0') ELSE p END"
+    parts = F.expr(f"CASE WHEN path = '<root>' THEN array('') ELSE transform(split(path, '/'), p -> {part}) END")
+    order = Window.partitionBy(key).orderBy(parts, "keyword", "message")
     first = (
         findings.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= shown)

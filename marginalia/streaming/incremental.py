@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marginalia.operators import ingest
-from marginalia.sources.readers import parse_lines
+from marginalia.sources.readers import number_rows, parse_lines
 
 
 def _written(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Earlier batches, or an empty table before the first."""
     try:
         return spark.read.schema(schema + ", batch long").option("basePath", path).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema + ", batch long")
 
@@ -28,18 +29,23 @@ def incremental_ingest(
     Each micro batch writes its own ``batch=<id>`` folder in overwrite mode, so a batch that
     is retried after a lost executor or driver replaces its own output. Ids written by
     earlier batches are skipped by an anti join with the output table: the table is the
-    state, nothing grows in memory.
+    state, nothing grows in memory. Within a batch the last line of an id wins, lines being
+    numbered by file path and position, so a retry chooses the same line; between batches
+    the first answer stays.
     """
-    lines = spark.readStream.text(responses).where(F.length(F.trim("value")) > 0)
+    lines = spark.readStream.text(responses).select("value", "_metadata")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
-        classified = ingest.classify(parse_lines(numbered), manifest, valid, **settings)
+        numbered = number_rows(batch, per_file=False).where(F.length(F.trim("value")) > 0)
+        read = parse_lines(numbered.select("line_no", F.col("value").alias("line")))
+        # both tables below read it; a lost executor's part is computed again
+        classified = ingest.classify(read, manifest, valid, **settings).persist()
         done = _written(spark, out, "custom_id string").where(F.col("batch") != batch_id).select("custom_id")
         good = ingest.successes(classified).join(done, "custom_id", "left_anti")
         row = good.select("custom_id", "row_index", F.to_json("record").alias("record"), "usage")
         row.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         ingest.line_errors(classified).write.mode("overwrite").parquet(f"{errors}/batch={batch_id}")
+        classified.unpersist()
 
     return (
         lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -136,6 +136,29 @@ def test_ingest_rewrites_and_errors(spark):
         I.fail_fast(rows).collect()
 
 
+def test_missing_full_text_is_an_error_row(spark):
+    df = R.parse_lines(spark.createDataFrame([(i + 1, envelope(c, answer(RECORD))) for i, c in enumerate("abc")], "line_no long, line string"))
+    manifest = spark.createDataFrame(
+        [(c, i, c, "1990-01-05", t) for i, (c, t) in enumerate((("a", "whole"), ("b", ""), ("c", None)))],
+        "custom_id string, row_index long, txt_file string, fecha string, texto string")
+    rows = I.classify(df, manifest, store_text=True)
+    text = F.expr("try_variant_get(record, '$.nota.texto_original', 'string')").alias("text")
+    assert [tuple(r) for r in I.successes(rows).select("custom_id", text).collect()] == [("a", "whole")]
+    assert sorted((r.custom_id, r.error_type) for r in I.line_errors(rows).collect()) == [("b", "RuntimeError"), ("c", "RuntimeError")]
+
+
+def test_incremental_run_takes_the_last_line_of_a_batch(spark, tmp_path):
+    manifest = spark.createDataFrame([("a", 0, "a", "1990-01-05", "")], "custom_id string, row_index long, txt_file string, fecha string, texto string")
+    where = [str(tmp_path / n) for n in ("out", "errors", "state")]
+    (tmp_path / "in").mkdir()
+    # the longer file is read first, but its name comes first as well: the line of the other file wins
+    for name, titles in (("0.jsonl", ["one"] * 50), ("1.jsonl", ["two", "three"])):
+        lines = [envelope("a", answer(json.dumps({"nota": {"titulo": t}}))) for t in titles]
+        (tmp_path / "in" / name).write_text("\n\n".join(lines))
+    incremental_ingest(spark, str(tmp_path / "in"), manifest, *where).awaitTermination()
+    assert [json.loads(r.record)["nota"]["titulo"] for r in spark.read.parquet(where[0]).collect()] == ["three"]
+
+
 def test_incremental_run_skips_done_ids(spark, tmp_path):
     manifest = spark.createDataFrame([(c, i, c, "1990-01-05", "") for i, c in enumerate("abc")], "custom_id string, row_index long, txt_file string, fecha string, texto string")
     where = [str(tmp_path / n) for n in ("out", "errors", "state")]

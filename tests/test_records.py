@@ -75,6 +75,16 @@ def test_one_finding_per_keyword(spark):
     detail = {r.k: r for r in R.validity_detail(df, "v", TARGET, "k").collect()}
     assert detail[0].valid and detail[0].errors == []
     assert detail[4].errors[0].path == "extraccion/eventos_protesta/0/alcance/categoria"
+    for keyword in R.KEYWORDS:
+        assert {r.keyword for r in R.schema_findings(df, "v", TARGET, ["k"], [keyword]).collect()} == {keyword}
+
+
+def test_first_errors_come_by_list_position(spark):
+    events = [event(evento_numero=0) for _ in range(12)]
+    detail = R.validity_detail(frame(spark, note(*events)), "v", TARGET, "k").collect()[0]
+    paths = [e.path for e in detail.errors]
+    assert detail.error_count >= 12 and len(paths) == 10
+    assert [p for p in paths if "/eventos_protesta/" in p] == [f"extraccion/eventos_protesta/{i}/evento_numero" for i in range(len(paths))][: sum("/eventos_protesta/" in p for p in paths)]
 
 
 def test_integer_accepts_whole_decimal_only(spark):
