@@ -396,11 +396,21 @@ def _(spark, sf):
     n AS (SELECT j.nota_id, json_array_length(source_json, '$.extraccion.eventos_protesta') AS events,
         (SELECT count(*) FROM broken b WHERE b.nota_id = j.nota_id) AS c, CAST(total_off AS INTEGER) + CAST(flag_off AS INTEGER) AS i,
         bad_number FROM judged j JOIN source USING (nota_id) WHERE NOT valid)
-    SELECT nota_id, least(20, c + i + CASE WHEN bad_number THEN events ELSE 0 END) AS errors FROM n""",
+    SELECT nota_id, least(20, CAST(c > 0 AS INTEGER) + i + CASE WHEN bad_number THEN events ELSE 0 END) AS errors,
+      coalesce((SELECT 'source detail must be null: ' || string_agg('eventos_protesta[' || event_index || ']/' || field, ', ' ORDER BY event_index, field)
+        FROM (SELECT * FROM broken b WHERE b.nota_id = n.nota_id ORDER BY event_index, field LIMIT 10)), '') AS contract,
+      array_to_string(list_transform(range(CAST(CASE WHEN bad_number THEN least(events, 20 - CAST(c > 0 AS INTEGER) - i) ELSE 0 END AS BIGINT)),
+        lambda k: 'extraccion/eventos_protesta/' || k || '/evento_numero'), ',') AS places FROM n""",
 )
 def _(spark, sf):
     judged = P.judge(source(spark, sf), "v")
-    return P.row_errors(judged, "v", "nota_id").groupBy("nota_id").agg(F.count("*").alias("errors"))
+    errors = P.row_errors(judged, "v", "nota_id").groupBy("nota_id").agg(
+        F.count("*").alias("errors"), F.sort_array(F.collect_list(F.struct("rank", "error"))).alias("e"))
+    schema = F.filter("e.error", lambda x: x.startswith("extraccion/"))
+    return errors.select(
+        "nota_id", "errors",
+        F.when(F.col("e")[0].error.startswith("source detail"), F.col("e")[0].error).otherwise("").alias("contract"),
+        F.array_join(F.transform(schema, lambda x: F.substring_index(x, ": ", 1)), ",").alias("places"))
 
 
 @query(

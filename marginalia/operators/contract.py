@@ -41,6 +41,16 @@ def violation_count(value: str, core: Sequence[str] = CORE_EVENT_FIELDS) -> Colu
     )
 
 
+def violation_places(value: str, core: Sequence[str] = CORE_EVENT_FIELDS) -> Column:
+    """Places of the broken fields of a note, by event and key, listed inside the row."""
+    key = "replace(replace(f.key, '~', '~0'), '/', '~1')"
+    named = f"transform({_broken_fields('e', core)}, f -> concat('eventos_protesta[', i, ']/', {key}))"
+    return F.expr(
+        f"flatten(transform({events_sql(value)}, (e, i) -> CASE WHEN {is_false_event('e')} THEN {named} "
+        "ELSE CAST(array() AS ARRAY<STRING>) END))"
+    )
+
+
 def false_event_violations(
     df: DataFrame, value: str, keep: Sequence[str], core: Sequence[str] = CORE_EVENT_FIELDS
 ) -> DataFrame:

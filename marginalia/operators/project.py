@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from marginalia.functions.text import event_bucket
 from marginalia.functions.variants import projected, schema_valid
 from marginalia.operators import contract
-from marginalia.operators.rules import schema_findings
+from marginalia.operators.rules import path_order, schema_findings
 from marginalia.operators.walk import forbidden_paths, walk
 from marginalia.session import materialize, once
 from marginalia.schema import CORE_EVENT_FIELDS, TARGET, Node, ddl, walk_schema
 
+#: Places that one message of a contract or of the forbidden keys names.
+NAMED = 10
 EVENT_POINTER = "/extraccion/eventos_protesta/*"
 FALSE_EVENT_RULE = {EVENT_POINTER: (contract.EVENT_FLAG, CORE_EVENT_FIELDS)}
 
@@ -90,32 +92,40 @@ def judge(df: DataFrame, source: str, node: Node = TARGET) -> DataFrame:
 def row_errors(judged: DataFrame, source: str, key: str, node: Node = TARGET, shown: int = 20) -> DataFrame:
     """``key, rank, error`` of invalid rows, at most ``shown`` each, in report order.
 
-    Order: source contract, projected contract, invariants, forbidden keys, schema. Only
-    invalid rows are walked and only their messages are shuffled.
+    Order: source contract, projected contract, invariants, forbidden keys, schema. Either
+    contract and the forbidden keys give one message, which names the first ``NAMED``
+    places; schema messages come by path, list positions as numbers. Only invalid rows are
+    walked and only their messages are shuffled.
     """
     needed = [key, source, "projected", "schema_ok", "invariant_errors"]
     # five branches read the invalid rows, so they are computed once and kept
     bad = materialize(judged.where(~F.col("valid")).select(*needed))
 
-    def contract_rows(column: str, block: int, label: str) -> DataFrame:
-        found = contract.false_event_violations(bad, column, [key])
-        text = F.concat(F.lit(label), "event_index", F.lit("]"), F.col("pointer"))
-        return found.select(key, F.lit(block).alias("block"), text.alias("error"))
+    def block(rows: DataFrame, number: int, place: Column, error: Column) -> DataFrame:
+        return rows.select(key, F.lit(number).alias("block"), place.alias("place"), error.alias("error"))
 
-    invariants = bad.select(key, F.lit(3).alias("block"), F.explode("invariant_errors").alias("error"))
+    def listed(label: str, places: Column) -> Column:
+        return F.concat(F.lit(label + ": "), F.array_join(F.slice(places, 1, NAMED), ", "))
+
+    def contract_rows(column: str, number: int, label: str) -> DataFrame:
+        found = once(bad.select(key, column), places=contract.violation_places(column)).where(F.size("places") > 0)
+        return block(found, number, F.array(F.lit("")), listed(label, F.col("places")))
+
+    messages = bad.select(key, F.posexplode("invariant_errors").alias("at", "error"))
     loose = bad.where(~F.col("schema_ok"))
-    forbidden = forbidden_paths(loose, "projected", [key]).select(
-        key, F.lit(4).alias("block"), F.concat(F.lit("forbidden path survived: "), "pointer").alias("error")
-    )
-    schema = schema_findings(loose, "projected", node, [key]).select(
-        key, F.lit(5).alias("block"), F.concat("path", F.lit(": "), "message").alias("error")
-    )
+    survived = forbidden_paths(loose, "projected", [key])
+    by_pointer = Window.partitionBy(key).orderBy(path_order("pointer"))
+    survived = survived.withColumn("at", F.row_number().over(by_pointer)).where(F.col("at") <= NAMED)
+    survived = survived.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "pointer"))).alias("found"))
+    findings = schema_findings(loose, "projected", node, [key])
     everything = (
-        contract_rows(source, 1, "source detail must be null: eventos_protesta[")
-        .unionByName(contract_rows("projected", 2, "projected detail must be null: eventos_protesta["))
-        .unionByName(invariants).unionByName(forbidden).unionByName(schema)
+        contract_rows(source, 1, "source detail must be null")
+        .unionByName(contract_rows("projected", 2, "projected detail must be null"))
+        .unionByName(block(messages, 3, F.array(F.col("at").cast("string")), F.col("error")))
+        .unionByName(block(survived, 4, F.array(F.lit("")), listed("forbidden paths survived", F.col("found.pointer"))))
+        .unionByName(block(findings, 5, path_order("path"), F.concat("path", F.lit(": "), "message")))
     )
-    order = Window.partitionBy(key).orderBy("block", "error")
+    order = Window.partitionBy(key).orderBy("block", "place", "error")
     return everything.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= shown).select(key, "rank", "error")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marginalia.functions.variants import schema_valid
 from marginalia.operators.walk import walk
@@ -74,6 +74,12 @@ def schema_findings(
     return found.select(*keep, path.alias("path"), "pattern", "f.keyword", "f.message")
 
 
+def path_order(path: str) -> Column:
+    """Sort key of a slash path: part by part, list positions as numbers, the root first."""
+    part = "CASE WHEN p RLIKE '^[0-9]+$' THEN lpad(p, greatest(10, length(p)), '0') ELSE p END"
+    return F.expr(f"CASE WHEN {path} = '<root>' THEN array('') ELSE transform(split({path}, '/'), p -> {part}) END")
+
+
 def validity_detail(df: DataFrame, value: str, node: Node, key: str, shown: int = 10) -> DataFrame:
     """``key, valid, error_count, errors`` per row; at most ``shown`` errors by path.
 
@@ -87,9 +93,7 @@ def validity_detail(df: DataFrame, value: str, node: Node, key: str, shown: int
     unreadable = F.col(value).isNull()
     findings = schema_findings(bad.where(~unreadable), value, node, [key])
     counts = findings.groupBy(key).agg(F.count("*").alias("error_count"))
-    part = "CASE WHEN p RLIKE '^[0-9]+$' THEN lpad(p, greatest(10, length(p)), '0') ELSE p END"
-    parts = F.expr(f"CASE WHEN path = '<root>' THEN array('') ELSE transform(split(path, '/'), p -> {part}) END")
-    order = Window.partitionBy(key).orderBy(parts, "keyword", "message")
+    order = Window.partitionBy(key).orderBy(path_order("path"), "keyword", "message")
     first = (
         findings.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= shown)

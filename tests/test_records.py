@@ -158,3 +158,14 @@ def test_open_schema_is_refused():
     with pytest.raises(ValueError):
         schema_valid("v", from_json_schema({"type": "object", "properties": {"a": {"type": "string"}}}))
     assert record(a=text()).closed
+
+
+def test_row_errors_name_each_contract_once(spark):
+    false = event(es_evento_protesta=False, alcance={"categoria": "x"}, demandas=[])
+    wrong = note(*[false] * 12, total_eventos_protesta=7)
+    rows = P.row_errors(P.judge(frame(spark, wrong, note()), "v"), "v", "k").orderBy("rank").collect()
+    assert [r.rank for r in rows] == list(range(1, len(rows) + 1)) and len(rows) <= 20
+    first = rows[0].error.removeprefix("source detail must be null: ").split(", ")
+    assert len(first) == 10 and first == sorted(first, key=lambda p: int(p.split("[")[1].split("]")[0]))
+    assert sum("detail must be null" in r.error for r in rows) == 1
+    assert rows[1].error.startswith("total_eventos_protesta=7")
