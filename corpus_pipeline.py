@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from marginalia.llm.common import table  # noqa: E402
 from marginalia.llm.decontamination import clean_documents  # noqa: E402
 from marginalia.llm.near_dedup import near_duplicates  # noqa: E402
-from marginalia.llm.packing import best_fit_packing  # noqa: E402
+from marginalia.llm.packing import added_tokens, best_fit_packing  # noqa: E402
 from marginalia.llm.quality_classifier import accepted  # noqa: E402
 from marginalia.llm.substring_dedup import repeated_passages  # noqa: E402
 from marginalia.session import ensure_checkpoint_dir  # noqa: E402
@@ -57,7 +57,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 1024 ids, with their ids."""
     import public_tokenizers
 
-    return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, added=added)
 
 
 STAGES = [

@@ -45,3 +45,23 @@ def test_fullest_bin_closes_first():
 
 def test_empty_table(no_docs):
     assert best_fit_packing(no_docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_added_tokens_as_in_the_tokenizers_file(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from marginalia.llm.queries import op7_packing
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x<|endoftext|", "<|ENDOFTEXT|> \n<|endoftext|>\n", "w1 w2<|endoftext|> " * 700, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {d: [*tokenizer.encode(t or "").ids, 2] for d, t in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 2]
+    have = {}
+    for r in sorted(corpus_pipeline.packing(spark, docs, str(tmp_path)).collect(), key=lambda r: r.piece):
+        have.setdefault(r.doc_id, []).extend(r.ids)
+    assert have == want
+    for r in op7_packing(spark, str(tmp_path)).collect():
+        assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
