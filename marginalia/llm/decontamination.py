@@ -1,6 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are cut into passages: windows of ``3 * block`` words, one every ``block`` words.
+Documents are cut into passages: windows of ``3 * block`` words, one every ``block`` words,
+so an item of up to ``2 * block`` words lies whole in one of them. Longer items are searched
+with blocks doubled until they fit, a pass for each size.
 A passage is the TF-IDF vector of the benchmark's words in it. A randomised SVD, gathered
 over all passages of the corpus and the benchmark items, gives a latent space; passages whose
 cosine with an item reaches ``cosine`` there are candidates. A candidate counts if enough of
@@ -51,6 +53,32 @@ def _places(ids: list) -> dict:
     return out
 
 
+#: Bits of a mask; longer sequences are masked in parts, or their masks would grow with the square of their length.
+MASK_BITS = 4096
+
+
+def _parts(ids: list, bits: int = MASK_BITS) -> list[tuple[dict, int]]:
+    return [(_places(ids[k : k + bits]), len(ids[k : k + bits])) for k in range(0, len(ids), bits)]
+
+
+def lcs_of_parts(a: list, parts: list[tuple[dict, int]]) -> int:
+    """As ``lcs_length``, of a sequence in parts: what the additions carry over goes on into the next part."""
+    if len(parts) == 1:
+        return lcs_length(a, *parts[0])
+    total, carries = 0, bytearray(len(a))
+    for places, size in parts:
+        full = row = (1 << size) - 1
+        for k, w in enumerate(a):
+            m = places.get(w, 0)
+            if m or carries[k]:
+                u = row & m
+                both = row + u + carries[k]
+                carries[k] = both >> size
+                row = both & full | (row - u)
+        total += size - row.bit_count()
+    return total
+
+
 @dataclass
 class Item:
     item_id: int
@@ -95,6 +123,7 @@ class Space:
     items: list[Item]
     column: np.ndarray  # word id to column, -1 if it is too common
     weight: np.ndarray  # by column
+    block: int
     basis: np.ndarray | None = None
     latent: np.ndarray | None = None  # of the items
 
@@ -105,14 +134,14 @@ class Space:
         return ids, np.where(ids >= 0, self.column[ids], -1)
 
 
-def _weigh(items: list[Item], ids: dict[bytes, int], seen: np.ndarray, n: int) -> Space:
+def _weigh(items: list[Item], ids: dict[bytes, int], seen: np.ndarray, n: int, block: int) -> Space:
     idf = np.log1p(n / np.maximum(seen, 0.5))
     keep = seen <= COMMON * n
     for item in items:
         rarest = sorted(set(item.own), key=lambda w: (seen[w], w))[:ALWAYS]
         keep[rarest] = True
     column = np.where(keep, np.cumsum(keep) - 1, -1).astype(np.int32)
-    return Space(ids, items, column, idf[keep].astype(np.float32))
+    return Space(ids, items, column, idf[keep].astype(np.float32), block)
 
 
 def _item_matrix(space: Space) -> np.ndarray:
@@ -171,7 +200,7 @@ def _sketch(space: Space, test: np.ndarray, block: int):
     return run
 
 
-def _latent_space(texts: DataFrame, space: Space, rank: int, block: int) -> Space:
+def _latent_space(texts: DataFrame, space: Space, rank: int) -> Space:
     """Randomised SVD of all passages and the items: one pass multiplies by ``A^T A``, the rest is of the benchmark's size.
 
     The items weigh as much as the whole corpus, or the space would follow frequent words and not them.
@@ -179,7 +208,7 @@ def _latent_space(texts: DataFrame, space: Space, rank: int, block: int) -> Spac
     items = _item_matrix(space)
     rank = min(rank, len(space.weight))
     test = np.random.default_rng(3).standard_normal((len(space.weight), rank)).astype(np.float32)
-    parts = texts.mapInArrow(_sketch(space, test, block), "row long, sums array<double>")
+    parts = texts.mapInArrow(_sketch(space, test, space.block), "row long, sums array<double>")
     total, norm = np.zeros(test.shape), 0.0
     for r in parts.groupBy("row").agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(rank)]).collect():
         if r[0] < 0:
@@ -202,14 +231,16 @@ def _latent_space(texts: DataFrame, space: Space, rank: int, block: int) -> Spac
 class Finder:
     """Looks one text up: candidates by cosine, then order and answer checks."""
 
-    def __init__(self, space: Space, block: int, cosine: float) -> None:
-        self.space, self.block, self.cosine = space, block, cosine
+    def __init__(self, space: Space, cosine: float) -> None:
+        self.space, self.block, self.cosine = space, space.block, cosine
         rare = lambda own: [w for w in own if space.column[w] >= 0]
         self.rare = [rare(i.own) for i in space.items]
         self.answer = [rare(i.answer) or i.answer for i in space.items]
         # a passage with fewer distinctive words passes the order check for no item
         self.least = max(1, min(int(np.ceil(LOOSE * len(set(r)))) for r in self.rare))
-        self.masks = [(_places(r), _places(a), _places(i.own)) for r, a, i in zip(self.rare, self.answer, space.items)]
+        self.words = [set(r) for r in self.rare]
+        self.masks = [(_parts(r), _parts(a), _parts(i.own)) for r, a, i in zip(self.rare, self.answer, space.items)]
+        self.step = max(1, 8192 // self.block)  # blocks that are summed at once
 
     def __call__(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """``(item_id, cosine, words in order, item's words)`` of each item that is in the text."""
@@ -221,10 +252,10 @@ class Finder:
             return []
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         sums = np.zeros((len(ids) // block + 3, space.basis.shape[1]), np.float32)
-        for at in range(0, len(starts), 256):
-            lo, hi = starts[at], starts[at + 256] if at + 256 < len(starts) else len(c)
+        for at in range(0, len(starts), self.step):
+            lo, hi = starts[at], starts[at + self.step] if at + self.step < len(starts) else len(c)
             part = space.basis[c[lo:hi]] * space.weight[c[lo:hi], None]
-            sums[rows[starts[at : at + 256]]] = np.add.reduceat(part, starts[at : at + 256] - lo, axis=0)
+            sums[rows[starts[at : at + self.step]]] = np.add.reduceat(part, starts[at : at + self.step] - lo, axis=0)
         held = np.bincount(rows, minlength=len(sums))
         worth = np.flatnonzero(held[:-2] + held[1:-1] + held[2:] >= self.least)
         for at in range(0, len(worth), 256):
@@ -239,24 +270,24 @@ class Finder:
         return [(space.items[i].item_id, cos, n, len(space.items[i].own)) for i, (cos, n) in sorted(found.items())]
 
     def _check(self, ids: np.ndarray, columns: np.ndarray, i: int) -> int:
-        rare, (of_rare, of_answer, of_all) = self.rare[i], self.masks[i]
+        rare, words, (of_rare, of_answer, of_all) = self.rare[i], self.words[i], self.masks[i]
         own = ids[columns >= 0].tolist()
-        if len(rare) and sum(w in of_rare for w in set(own)) < LOOSE * len(of_rare):
+        if len(rare) and sum(w in words for w in set(own)) < LOOSE * len(words):
             return 0
         all_words = ids[ids >= 0].tolist()
-        length = lcs_length(all_words, of_all, len(self.space.items[i].own))
-        share = lcs_length(own, of_rare, len(rare)) / len(rare) if rare else 0.0
+        length = lcs_of_parts(all_words, of_all)
+        share = lcs_of_parts(own, of_rare) / len(rare) if rare else 0.0
         if share < LOOSE or length < LOOSE * len(self.space.items[i].own):
             return 0
         if share >= ORDER:
             return length
-        answered = lcs_length(all_words, of_answer, len(self.answer[i])) / len(self.answer[i])
+        answered = lcs_of_parts(all_words, of_answer) / len(self.answer[i])
         return length if answered >= ANSWER else 0
 
 
-def _pairs(space: Space, block: int, cosine: float):
+def _pairs(space: Space, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Finder(space, block, cosine)
+        find = Finder(space, cosine)
         for batch in batches:
             out = [(d, *hit) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for hit in find(t)]
             types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
@@ -266,9 +297,9 @@ def _pairs(space: Space, block: int, cosine: float):
     return run
 
 
-def _clean(spaces: list[Space], block: int, cosine: float):
+def _clean(spaces: list[Space], cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finders = [Finder(s, block, cosine) for s in spaces]
+        finders = [Finder(s, cosine) for s in spaces]
         for batch in batches:
             yield batch.filter(pa.array([not any(f(t) for f in finders) for t in batch.column("text").to_pylist()], pa.bool_()))
 
@@ -276,15 +307,21 @@ def _clean(spaces: list[Space], block: int, cosine: float):
 
 
 def build_spaces(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, rank: int = RANK, block: int = BLOCK) -> list[Space]:
-    """A latent space per ``block_items`` benchmark items; each is of the items' size, whatever the corpus."""
+    """A latent space per ``block_items`` benchmark items; each is of the items' size, whatever the corpus.
+
+    Items of more than ``2 * block`` words have spaces of their own, with the block doubled until
+    they fit, and fewer items each: no more words than ``block_items`` short items can have.
+    """
     texts = docs.select(F.col("text").cast("string").alias("text"))
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where("item_id IS NOT NULL").orderBy("item_id", "text")
-    spaces, held = [], []
+    spaces: list[Space] = []
+    held: dict[int, list[tuple[int, str | None]]] = {}
+    words: dict[int, int] = {}
 
-    def build() -> None:
-        items, ids = read_items(held)
-        held.clear()
+    def build(size: int) -> None:
+        items, ids = read_items(held.pop(size))
+        words.pop(size)
         if not items:
             return
         counts = texts.mapInArrow(_document_counts(ids), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
@@ -293,17 +330,20 @@ def build_spaces(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
             seen[r.word] = r.n
         if not seen[-1]:  # no documents
             return
-        longest = max(len(i.own) for i in items)
-        if longest > 2 * block:
-            raise ValueError(f"an item has {longest} words; block must be at least half of that")
-        spaces.append(_latent_space(texts, _weigh(items, ids, seen[:-1], int(seen[-1])), rank, block))
+        spaces.append(_latent_space(texts, _weigh(items, ids, seen[:-1], int(seen[-1]), size), rank))
 
     for row in rows.toLocalIterator():
-        held.append((row.item_id, row.text))
-        if len(held) == block_items:
-            build()
-    if held:
-        build()
+        n, size = len(plain_words(row.text)), block
+        while n > 2 * size:
+            size *= 2
+        if held.get(size) and words[size] + n > 2 * block * block_items:
+            build(size)
+        held.setdefault(size, []).append((row.item_id, row.text))
+        words[size] = words.get(size, 0) + n
+        if len(held[size]) == block_items:
+            build(size)
+    for size in sorted(held):
+        build(size)
     return spaces
 
 
@@ -314,14 +354,14 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, block_items: int =
     Whole texts are searched for every item. Null and empty texts, and items without words,
     match nothing; items without id are left out. Rows without doc_id and repeated rows are
     searched like others; items with equal texts each match. Empty tables give an empty
-    result; other columns are ignored. Items of more than ``2 * block`` words ask for a larger
-    ``block``.
+    result; other columns are ignored. Items may have any length: up to ``2 * block`` words
+    they share their passes over the corpus, longer ones take passes of their own.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spec = "doc_id long, item_id long, cosine double, in_order int, item_words int"
     found = docs.sparkSession.createDataFrame([], spec)
     for space in build_spaces(docs, benchmark, block_items, rank, block):
-        found = found.unionByName(docs.mapInArrow(_pairs(space, block, cosine), spec))
+        found = found.unionByName(docs.mapInArrow(_pairs(space, cosine), spec))
     return found
 
 
@@ -329,4 +369,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, block_items: int = BL
                     cosine: float = COSINE) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no benchmark item is found."""
     spaces = build_spaces(docs, benchmark, block_items, rank, block)
-    return docs.mapInArrow(_clean(spaces, block, cosine), docs.schema) if spaces else docs
+    return docs.mapInArrow(_clean(spaces, cosine), docs.schema) if spaces else docs

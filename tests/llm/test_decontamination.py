@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from marginalia.llm.decontamination import build_spaces, clean_documents, contaminated_pairs, lcs_length, plain_words, _places
+from marginalia.llm.decontamination import build_spaces, clean_documents, contaminated_pairs, lcs_length, lcs_of_parts, plain_words, _parts, _places
 
 from .conftest import passage
 
@@ -75,3 +75,32 @@ def test_empty_tables(spark):
     docs, bench, _ = planted(spark)
     assert contaminated_pairs(docs.limit(0), bench).count() == 0 and contaminated_pairs(docs, bench.limit(0)).count() == 0
     assert clean_documents(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_lcs_in_parts():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = [rng.randrange(5) for _ in range(rng.randrange(40))], [rng.randrange(6) for _ in range(rng.randrange(1, 70))]
+        assert lcs_of_parts(a, _parts(b, rng.randrange(1, 9))) == lcs_length(a, _places(b), len(b))
+
+
+def test_items_of_any_length(spark):
+    rng = random.Random(7)
+    lengths = (20, 59, 64, 65, 96, 128, 129, 300, 1500, 6000)
+    items = [(k, passage(rng, n)) for k, n in enumerate(lengths)]
+    docs, leaks = [], set()
+    for k, own in items:
+        for copy in range(4):
+            words = own.split()
+            for j in rng.sample(range(len(words) * 3 // 4), len(words) // 5 if copy % 2 else 0):  # paraphrased, its end kept
+                words[j] = f"z{rng.randrange(10**6)}"
+            around = rng.randrange(400)
+            docs.append((10 * k + copy, " ".join([passage(rng, around), *words, passage(rng, 100)])))
+            leaks.add((10 * k + copy, k))
+        docs.append((10 * k + 5, " ".join(own.split()[: len(own.split()) // 3])))  # a third of an item is no leak
+    docs += [(1000 + k, passage(rng, rng.randrange(30, 600))) for k in range(300)]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    found = contaminated_pairs(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == leaks and {r.item_words for r in found} == set(lengths)
+    assert {r.doc_id for r in clean_documents(docs, bench).collect()} == {r.doc_id for r in docs.collect()} - {d for d, _ in leaks}
+    assert [(s.block, len(s.items)) for s in build_spaces(docs, bench)] == [(32, 3), (64, 3), (128, 1), (256, 1), (1024, 1), (4096, 1)]
