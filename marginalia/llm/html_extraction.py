@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?=/?[a-zA-Z]).*\Z", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Name and value of each attribute in turn, so that no name is looked for within a value.
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template svg head title nav footer aside form button select textarea iframe menu dialog object xmp noembed noframes".split())
@@ -26,11 +27,18 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLES = frozenset(("article", "main"))
-#: Words of a class, id or role that mark what is not the article.
+#: What a class, id or role is made of that marks what is not the article.
 SIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies copyright disqus footer "
     "hidden masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion related replies reply "
     "search share sharing sidebar social sponsor sponsored subscribe toolbar".split())
+#: Words that may stand beside those and only say which box it is.
+BOX_WORDS = frozenset(
+    "area article articles bar block bottom box button buttons container entry form global inner item items left links list main outer "
+    "page post posts primary right secondary section site top widget wrap wrapper".split())
+SIDE_TOKENS = frozenset(("is-hidden", "visually-hidden"))
+#: Elements that pages put around everything, so that what they hold decides.
+AROUND = frozenset(("form", "head"))
 PUNCTUATION = re.compile(r"[,.;:!?…，。、；：！？]")
 #: A path is content from this share of the best smoothed score.
 THRESHOLD = 0.1
@@ -39,45 +47,101 @@ HOLDS = 0.9
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "side", "article")
+    """``mark`` says why the element itself may be a side part; ``side`` is settled once the whole page is read."""
 
-    def __init__(self, tag: str, parent: "Node | None", side: bool) -> None:
-        self.tag, self.parent = tag, parent
+    __slots__ = ("tag", "parent", "path", "mark", "side", "article", "size", "clean")
+
+    def __init__(self, tag: str, parent: "Node | None", mark: str) -> None:
+        self.tag, self.parent, self.mark = tag, parent, mark
         self.path = f"{parent.path}/{tag}" if parent else tag
         self.article = tag in ARTICLES or bool(parent and parent.article)
-        self.side = side or bool(parent and parent.side)
+        self.side, self.size, self.clean = False, 0, 0
+
+
+def _attributes(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), "".join(values).lower())  # of a repeated attribute the first counts
+    return out
+
+
+def _is_side_token(token: str) -> bool:
+    """A side word, alone or with words of its kind: ``cookie-notice`` and ``site-footer``, but not ``overflow-hidden`` or ``no-sidebar``."""
+    words = {w for w in re.split(r"[\W\d_]+", token) if w}
+    return token in SIDE_TOKENS or bool(words & SIDE_WORDS) and words <= SIDE_WORDS | BOX_WORDS
 
 
-def _is_side(tag: str, attributes: str, parent: Node) -> bool:
-    if tag in SKIPPED or tag == "header" and not parent.article:
-        return True
-    for name, *values in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
-        value, name = "".join(values).lower(), name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", *ARTICLES):
-            if SIDE_WORDS & set(re.split(r"[^a-z]+", value)):
-                return True
-    return False
+def _mark(tag: str, attributes: str, parent: Node) -> str:
+    """``tag`` or ``attribute`` where that says side part, else nothing."""
+    if tag in SKIPPED - AROUND or tag == "header" and not parent.article:
+        return "tag"
+    if tag in AROUND:
+        return "attribute"
+    own = _attributes(attributes) if attributes.strip() else {}
+    if "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"(?<![\w-])display\s*:\s*none", own.get("style", "")):
+        return "attribute"
+    if tag not in ("html", "body", *ARTICLES):
+        if any(_is_side_token(t) for name in ("class", "id", "role") for t in own.get(name, "").split()):
+            return "attribute"
+    return ""
+
+
+def _settle_sides(nodes: list[Node], pieces: list[tuple[str, Node]]) -> None:
+    """Sets ``side`` of all nodes, parents first: marked elements and what they hold, but for wrappers.
+
+    A wrapper holds an article or main with more text than any has that stands around it or
+    outside of marked elements; or it holds most of the page's text, and none of those has
+    text. Elements that are side by their tag, and those in an article or main that hold
+    another one, must hold both that article and most of the text.
+    """
+    for text, node in pieces:
+        node.size += len(text)
+        node.clean += len(text)
+    for node in reversed(nodes[1:]):
+        node.parent.size += node.size
+        if not node.mark and node.tag not in ARTICLES:  # the text of an article is its own, without side parts
+            node.parent.clean += node.clean
+    # the largest article below each node, and the largest outside of all marked ones
+    best: dict[Node, int] = {}
+    for node in reversed(nodes):
+        own = max(best.get(node, 0), node.clean if node.tag in ARTICLES and not node.mark else 0)
+        if own and node.parent:
+            best[node.parent] = max(best.get(node.parent, 0), own)
+    under: set[Node] = set()
+    outside = 0
+    for node in nodes:
+        if node.mark or node.parent in under:
+            under.add(node)
+        elif node.tag in ARTICLES:
+            outside = max(outside, node.clean)
+    for node in nodes:
+        if not node.parent:
+            continue
+        node.side = node.parent.side
+        if node.mark and not node.side:
+            kept, up = outside, node.parent
+            while up and up.article:
+                kept, up = max(kept, up.clean if up.tag in ARTICLES else 0), up.parent
+            holds, most = best.get(node, 0) > kept, 2 * node.size > nodes[0].size
+            enough = holds and not node.parent.article or most and not kept
+            node.side = not (holds and most or node.mark == "attribute" and enough)
 
 
 def blocks_of(page: str) -> list[tuple[str, Node]]:
     """Text blocks in page order with their innermost block element; side parts are left out."""
-    root = Node("", None, False)
-    stack, out, pieces = [root], [], []
+    root = Node("", None, "")
+    stack, nodes, read = [root], [root], []
+    pieces: list[tuple[str, Node]] = []
     home: list[Node] = [root]
 
     def flush() -> None:
-        text = " ".join("".join(pieces).split())
-        pieces.clear()
-        if text and not home[0].side:
-            out.append((text, home[0]))
+        if pieces:
+            read.append((pieces[:], home[0]))
+            pieces.clear()
 
     def add(text: str) -> None:
-        if text and not stack[-1].side:
-            pieces.append(html.unescape(text))
+        if text:
+            pieces.append((html.unescape(text), stack[-1]))
 
     def settle() -> None:
         """The block element that text belongs to from here on."""
@@ -124,7 +188,8 @@ def blocks_of(page: str) -> list[tuple[str, Node]]:
                         break
         if attributes.rstrip().endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
-        stack.append(Node(tag, stack[-1], _is_side(tag, attributes, stack[-1])))
+        stack.append(Node(tag, stack[-1], _mark(tag, attributes, stack[-1])))
+        nodes.append(stack[-1])
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(page, at)
             at = end.end()
@@ -132,7 +197,9 @@ def blocks_of(page: str) -> list[tuple[str, Node]]:
         elif tag in BLOCKS:
             settle()
     flush()
-    return out
+    _settle_sides(nodes, [(" ".join(text.split()), node) for own, _ in read for text, node in own])
+    blocks = ((" ".join("".join(text for text, node in own if not node.side).split()), node) for own, node in read)
+    return [(text, node) for text, node in blocks if text and not node.side]
 
 
 _CONTAINERS = BLOCKS - {"p"} - HEADINGS

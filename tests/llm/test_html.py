@@ -53,3 +53,32 @@ def test_null_repeated_and_no_rows(spark):
     text = main_text(PAGE)
     assert found == sorted([(None, None, "", 0), (1, "u", text, len(text)), (1, "u", text, len(text)), (2, None, "", 0)], key=repr)
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+LONG = "A sentence, with marks; and a good deal of text that goes on, and on."
+
+
+def test_attributes_by_name():
+    page = f"""<article><p>{LONG} <a href="/hidden-gems">Gems, found.</a></p><p title="a hidden valley">{LONG}</p><p data-class="ad" x='id="ad"'>{LONG}</p>
+<p hidden>Gone, one.</p><p class=ad>Gone, two.</p><p STYLE='x:y; display : none'>Gone.</p><p aria-hidden = true>Gone.</p><p id=x class="a ad b" id="c">Gone.</p></article>"""
+    assert main_text(page) == f"{LONG} Gems, found.\n\n{LONG}\n\n{LONG}"
+
+
+def test_whole_class_tokens():
+    for name in ("overflow-hidden", "no-sidebar", "has-comments", "ad-hoc", "share-price", "research", "md:hidden"):
+        assert main_text(f'<article><p>{LONG}</p><p class="x {name}">Kept, too.</p></article>') == f"{LONG}\n\nKept, too.", name
+    for name in ("ad", "cookie-notice", "site-footer", "related_posts", "nav-2", "visually-hidden"):
+        assert main_text(f'<article><p>{LONG}</p><p class="x {name}">Gone, this.</p></article>') == LONG, name
+
+
+def test_wrappers_are_no_side_parts():
+    side = f'<nav><p>{LONG}</p></nav><div class="sidebar"><p>Aside, really.</p></div>'
+    article = f'<article><p>{LONG}</p><div id="comments"><p>{LONG * 9}</p></div><p>{LONG}</p></article>'
+    for start, end in (('<div class="sidebar">', "</div>"), ("<form id=f>", "</form>"), ('<div hidden><div class="search main">', "</div></div>"),
+                       ("<head><body>", "</body>"), ('<body style="display:none">', "</body>")):
+        assert main_text(start + side + article + end) == f"{LONG}\n\n{LONG}", start
+        assert main_text(f"{start}<div><p>{LONG * 2}</p><p>{LONG * 3}</p></div>{end}<p>Imprint</p>") == f"{LONG * 2}\n\n{LONG * 3}", start
+    assert main_text(f'<main><p>{LONG}</p></main><div id="comments"><article><p>So good.</p></article></div><aside><article><p>More, here.</p></article></aside>') == LONG
+    for start in ('<main><div class="search">', '<main>A, b.<div class="search">'):
+        assert main_text(f"{start}{side}{article}</div></main>") == f"{LONG}\n\n{LONG}"
+    assert main_text(f'<article><p>{LONG}</p><div id="comments"><article><p>So good.</p></article></div></article>') == LONG
