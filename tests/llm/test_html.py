@@ -82,3 +82,12 @@ def test_wrappers_are_no_side_parts():
     for start in ('<main><div class="search">', '<main>A, b.<div class="search">'):
         assert main_text(f"{start}{side}{article}</div></main>") == f"{LONG}\n\n{LONG}"
     assert main_text(f'<article><p>{LONG}</p><div id="comments"><article><p>So good.</p></article></div></article>') == LONG
+
+
+def test_stray_quotes_in_mid_page():
+    for tag in ("<p title=it's>", "<p it's>", "<p a=\"b\"'>", "<p 'x' \">", "<p title=\"never closed>", "<p a = 5\"6 b='c>d' >", "<p a='\"' b=\"'>\">", "</p'>", '<img alt="5" tall"><p>'):
+        want = f"{LONG}\n\nBetween, all of it.\n\n{LONG}"
+        assert main_text(f"<article><p>{LONG}</p>{tag}Between, all of it.</p><p>{LONG}</p></article>") == want, tag
+    assert main_text(f"<article><p>{LONG}</p><p title=it's>It's, here.</p><p>{LONG}</p><p x=don't>Don't, go.</p></article>") == f"{LONG}\n\nIt's, here.\n\n{LONG}\n\nDon't, go."
+    assert main_text(f"<article><p>{LONG}</p><p class='a' title=\"cut off") == LONG
+    assert main_text("<article>" + "<p '>b, c.</p>" * 2000 + "<p>b, c.").count("b, c.") == 2001
