@@ -193,3 +193,17 @@ def test_urls_equal_brute_force(spark):
 
 def test_url_plan_is_native(spark):
     assert no_python(url_filter.judge_urls(spark.read.parquet(f"{SF}/pages.parquet")))
+
+
+def test_many_linkers_of_a_blocked_host(spark, tmp_path):
+    from marginalia.llm.queries import op10_url_filter
+
+    few = [(1, "http://bad.net/", ""), (2, "http://good.org/fr/", link("http://liked.com/"))]
+    few += [(3, "http://liked.com/", link("http://bad.net/")), (4, "http://casual.com/", link("http://bad.net/", *[f"http://p{k}.com/" for k in range(9)]))]
+    for n in (1, 3, 40):
+        pages = few + [(10 + k, f"http://farm{k}.com/", link("http://bad.net/")) for k in range(n)] + [(100, "http://far.com/", link("http://farm0.com/"))]
+        spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/{n}/pages.parquet")
+        verdicts = {r.page_id: r.verdict for r in op10_url_filter(spark, f"{tmp_path}/{n}").collect()}
+        # a linker's 0.85 * 0.15 * share, whatever n; far.com's 0.85 of farm0.com's; liked.com has as much trust as distrust
+        assert verdicts == {p: "block" if p == 1 or p >= 10 else "allow" for p, *_ in pages}, n
+
