@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import sys
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.session import ensure_checkpoint_dir
+
 # workers then need no copy of this folder on their path
 cloudpickle.register_pickle_by_value(sys.modules["marginalia.llm"])
 
@@ -80,3 +84,24 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the folder that all executors share, and read again: cuts the lineage like a checkpoint, column by column."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def parts(rows: Iterable[tuple], size: Callable[[tuple], int], most: int) -> Iterator[list[tuple]]:
+    """Lists of consecutive rows of at most ``most`` in size together; a larger row is a list of its own."""
+    held, total = [], 0
+    for row in rows:
+        if held and total + size(row) > most:
+            yield held
+            held, total = [], 0
+        held.append(row)
+        total += size(row)
+    if held:
+        yield held

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm import (
-    decontamination, html_extraction, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter,
+    alignment, decontamination, html_extraction, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter,
 )
 from marginalia.llm.common import table
 
@@ -56,5 +56,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), own_links=True)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_tokenizers(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {name: fn for name, fn in list(globals().items()) if name.startswith("op") and name[2].isdigit()}
 ORACLES: dict[str, str] = {}
