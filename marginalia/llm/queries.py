@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm import (
-    alignment, decontamination, html_extraction, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter,
+    alignment, decontamination, fingerprints, html_extraction, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter,
 )
 from marginalia.llm.common import table
 
@@ -63,5 +63,9 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: fn for name, fn in list(globals().items()) if name.startswith("op") and name[2].isdigit()}
 ORACLES: dict[str, str] = {}
