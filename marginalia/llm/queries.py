@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm import (
-    alignment, decontamination, fingerprints, html_extraction, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter,
+    alignment, decontamination, fingerprints, html_extraction, lexical_search, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter,
 )
 from marginalia.llm.common import table
 
@@ -67,5 +67,34 @@ def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {name: fn for name, fn in list(globals().items()) if name.startswith("op") and name[2].isdigit()}
-ORACLES: dict[str, str] = {}
+#: Terms as matches of a pattern, counts by grouping, the score as a sum over joined terms, ranks by a window.
+SQL_RANKED_SEARCH = r"""
+WITH doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+item_terms AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY item_id, term),
+sizes AS (SELECT doc_id, count(*) AS n FROM doc_terms GROUP BY doc_id),
+corpus AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM doc_terms WHERE term IN (SELECT term FROM item_terms) GROUP BY doc_id, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * documents + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), corpus),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * documents) // total)))) AS BIGINT) AS score
+  FROM item_terms JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), corpus
+  GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op13_ranked_search": SQL_RANKED_SEARCH}
