@@ -1,8 +1,9 @@
 """An annotation corpus derived from the ``documents`` table, in Spark and in SQL.
 
 The operators work on notes with nested event annotations. The given tables hold none, so
-the registered queries derive them: every document is a note and every non-blank line of
-its whole text is one event, whose fields are picked by the digits of the line's md5. The
+the registered queries derive them: every document is a note and every line of its whole text
+is an event, whose fields are picked by the digits of the line's md5, or prose, which stands
+in the note's title and original text. Lines go into the JSON escaped, as they are. The
 same text templates run in both engines; only list and date functions differ. Variants:
 
 * ``gold``    complete target records;
@@ -159,7 +160,7 @@ def note_json(mode: str = "target") -> str:
     q = _sql
     if mode == "target":
         head = ('{"schema_version":"1.0.0","nota":{"nota_id":"doc_', q("doc_id"), '","fecha_publicacion":"', q("fecha"),
-                '","titulo":"t', q("doc_id % 5"), '"}')
+                '","titulo":"t', q("doc_id % 5"), " ", q("prose"), '"}')
     elif mode == "expected":
         head = ('{"schema_version":"1.0.0","nota":{"nota_id":"doc_', q("doc_id"), '","fecha_publicacion":"', q("fecha"),
                 '","titulo":"', q("CASE WHEN doc_id % 4 = 1 THEN 'S/D' ELSE concat('t', doc_id % 5) END"), '"}')
@@ -168,8 +169,8 @@ def note_json(mode: str = "target") -> str:
                     '"usuario_validador":"","fecha_revision":"2026-01-02","observaciones":null,"tags_topicos":["a","b"]}\' '
                     'ELSE \',"validacion_humana":{"modificada":false,"usuario_validador":"u","tags_topicos":[]}\' END')
         head = ('{"schema_version":"1.1.0","codebook_version":"c1","nota":{"nota_id":"doc_', q("doc_id"),
-                '","archivo_fuente":"doc_', q("doc_id"), '","fuente":"f","subtitulo":"s","texto_original":"S/D",'
-                '"fecha_publicacion":"', q("fecha"), '","titulo":',
+                '","archivo_fuente":"doc_', q("doc_id"), '","fuente":"f","subtitulo":"s","texto_original":"', q("prose"),
+                '","fecha_publicacion":"', q("fecha"), '","titulo":',
                 q("CASE WHEN doc_id % 4 = 1 THEN 'null' ELSE concat('\"t', doc_id % 5, '\"') END"),
                 '},"metadatos_extraccion":{"modelo":"m","estado_validacion_humana":"No validado"}', q(reviewed))
     stated = q("CASE WHEN doc_id % 10 = 9 THEN n + 1 ELSE n END") if mode != "target" else q("n")
@@ -182,17 +183,22 @@ def note_json(mode: str = "target") -> str:
 
 # --- Spark side ---------------------------------------------------------------------
 
-_CONTROL = r"""[\x00-\x1f"\\]"""
 MUTATED = "CASE WHEN substr(e.h, 1, 1) < '8' THEN e.h ELSE concat(substr(e.h, 1, 12), substr(md5(concat(e.t, '#')), 13, 20)) END"
 
 
 def is_event_line(line: Column) -> Column:
-    """A non-blank line is an event or plain prose, by its digest: so some notes have no event though all text is read."""
+    """Whether a line is an event; a blank line is prose, and of the others a quarter by their digest, so that some notes have no event."""
     return (F.trim(line) != "") & (F.substring(F.md5(line), 20, 1) >= "4")
 
 
+def escaped(text: Column) -> Column:
+    """A text as it stands between the quotes of a JSON string."""
+    quoted = F.to_json(text.cast("variant"))
+    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes with their lines: ``doc_id, fecha, lines`` (index, date, clean text, digest)."""
+    """Notes: ``doc_id, fecha, lines`` (index, date, escaped text, digest of the events), ``texto``, all other lines, and that escaped, ``prose``."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     day = F.expr("date_add(DATE '1990-01-01', CAST(doc_id * 37 % 730 AS INT))")
     fecha = F.date_format(day, "dd/MM/yyyy")
@@ -201,10 +207,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         kept,
         lambda x, j: F.struct(
             F.col("doc_id").alias("d"), (j + 1).alias("i"), F.col("fecha").alias("f"),
-            F.regexp_replace(x, _CONTROL, " ").alias("t"), F.md5(x).alias("h"),
+            escaped(x).alias("t"), F.md5(x).alias("h"),
         ),
     )
-    return docs.withColumn("fecha", fecha).select("doc_id", "fecha", numbered.alias("lines"))
+    prose = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~is_event_line(x)), "\n")
+    return docs.withColumn("fecha", fecha).select(
+        "doc_id", "fecha", numbered.alias("lines"), prose.alias("texto"), escaped(prose).alias("prose"))
 
 
 def _render(notes: DataFrame, event: str, note: str, name: str) -> DataFrame:
@@ -250,10 +258,11 @@ def source_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES_SQL = r"""
 lines AS MATERIALIZED (
-  SELECT doc_id, fecha, lines FROM (
-    SELECT doc_id, fecha, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND substr(md5(x), 20, 1) >= '4'),
+  SELECT doc_id, fecha, lines, texto, substr(CAST(to_json(texto) AS VARCHAR), 2, length(CAST(to_json(texto) AS VARCHAR)) - 2) AS prose FROM (
+    SELECT doc_id, fecha, array_to_string(list_filter(string_split(text, chr(10)),
+        lambda x: NOT (trim(x) <> '' AND substr(md5(x), 20, 1) >= '4')), chr(10)) AS texto, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND substr(md5(x), 20, 1) >= '4'),
       lambda x, j: struct_pack(d := doc_id, i := j, f := fecha,
-        t := regexp_replace(x, '[\x00-\x1f"\\]', ' ', 'g'), h := md5(x))) AS lines
+        t := substr(CAST(to_json(x) AS VARCHAR), 2, length(CAST(to_json(x) AS VARCHAR)) - 2), h := md5(x))) AS lines
     FROM (SELECT doc_id, text, strftime(DATE '1990-01-01' + CAST(doc_id * 37 % 730 AS INTEGER), '%d/%m/%Y') AS fecha
           FROM documents))
 )"""
@@ -269,9 +278,9 @@ def _note_cte(name: str, column: str, event: str, note: str, source: str = "line
 
 GOLD_SQL = _note_cte("gold", "gold_json", event_json("e.h"), note_json())
 PRED_SQL = (
-    "\nmutated AS (SELECT doc_id, fecha, CASE WHEN doc_id % 5 = 0 AND len(l) > 0 THEN list_slice(l, 1, len(l) - 1) "
+    "\nmutated AS (SELECT doc_id, fecha, prose, CASE WHEN doc_id % 5 = 0 AND len(l) > 0 THEN list_slice(l, 1, len(l) - 1) "
     "WHEN doc_id % 7 = 0 AND len(l) > 0 THEN list_concat(l, list_slice(l, 1, 1)) ELSE l END AS lines FROM ("
-    "SELECT doc_id, fecha, list_transform(lines, lambda e: struct_pack(d := e.d, i := e.i, f := e.f, t := e.t, "
+    "SELECT doc_id, fecha, prose, list_transform(lines, lambda e: struct_pack(d := e.d, i := e.i, f := e.f, t := e.t, "
     f"h := {MUTATED})) AS l FROM lines)),"
     + _note_cte("whole_pred", "whole", event_json("e.h"), note_json(), "mutated")
     + """,

@@ -249,7 +249,7 @@ def envelopes(spark, sf):
 def manifest(spark, sf):
     return C.lines(spark, sf).select(
         F.concat(F.lit("doc_"), "doc_id").alias("custom_id"), F.col("doc_id").alias("row_index"),
-        F.concat(F.lit("doc_"), "doc_id").alias("txt_file"), "fecha", F.lit("").alias("texto"),
+        F.concat(F.lit("doc_"), "doc_id").alias("txt_file"), "fecha", "texto",
     )
 
 

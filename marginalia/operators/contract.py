@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marginalia.functions.sqltext import quote
 from marginalia.functions.variants import entries, items
-from marginalia.operators.walk import is_leaf, leaf_text, walk
+from marginalia.operators.walk import is_leaf, walk
 from marginalia.schema import CORE_EVENT_FIELDS, SD, Node, escape_pointer
 
 EVENT_FLAG = "es_evento_protesta"
@@ -87,7 +87,7 @@ def false_event_leaves(df: DataFrame, value: str, keep: Sequence[str]) -> DataFr
     events = df.select(*keep, F.posexplode(F.expr(events_sql(value))).alias("event_index", "e"))
     leaves = walk(events.where(F.expr(is_false_event("e"))), "e", [*keep, "event_index"], ("path",))
     broken = is_leaf() & (F.col("path") != EVENT_FLAG) & (F.col("type") != "null")
-    return leaves.where(broken).select(*keep, "event_index", "path", leaf_text().alias("value"))
+    return leaves.where(broken).select(*keep, "event_index", "path", "value")
 
 
 def false_event_leaf_check(df: DataFrame, value: str) -> DataFrame:

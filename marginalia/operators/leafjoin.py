@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from marginalia.operators.walk import walk
+from marginalia.operators.walk import leaf_json, walk
 from marginalia.session import materialize
 
 
 def _side(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
     nodes = walk(df, value, [key], ("path", "parent_path"))
     return nodes.select(
-        key, "path", F.col("type").alias(f"{name}_type"), F.expr("to_json(v)").alias(f"{name}_value"),
+        key, "path", F.col("type").alias(f"{name}_type"), leaf_json().alias(f"{name}_value"),
         F.col("parent_path").alias(f"{name}_parent"),
     )
 

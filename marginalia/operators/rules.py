@@ -7,12 +7,22 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marginalia.functions.variants import schema_valid
-from marginalia.operators.walk import walk
-from marginalia.schema import Node, rule_table
+from marginalia.operators.walk import leaf_json, walk
+from marginalia.schema import RULE_TYPE, Node, rule_rows, rule_table
 from marginalia.session import once
 
 KEYWORDS = ("type", "required", "additionalProperties", "enum", "const", "pattern", "minimum", "minItems")
 
+#: Field of the rule table that a keyword needs; every node has a type.
+NEEDS = {"required": "required", "additionalProperties": "closed", "enum": "enum_values", "const": "const_value",
+         "pattern": "pattern", "minimum": "minimum", "minItems": "min_items"}
+
+
+def _concerned(row: tuple, keywords: Sequence[str]) -> bool:
+    """Whether a node of the schema has a rule of the wanted keywords."""
+    fields = dict(zip(RULE_TYPE.names, row))
+    return "type" in keywords or any(fields[NEEDS[k]] not in (None, False, []) for k in keywords)
+
 
 def schema_findings(
     df: DataFrame, value: str, node: Node, keep: Sequence[str], keywords: Sequence[str] = KEYWORDS
@@ -22,8 +32,7 @@ def schema_findings(
     The wanted keywords of a node, and no others, are tested in one projection after the one
     broadcast join. A missing key is found on its parent, whose node carries its own key list.
     """
-    text = "try_variant_get(v, '$', 'string')"
-    number = "try_variant_get(v, '$', 'double')"
+    text, number = "value", "CAST(value AS DOUBLE)"
     type_ok = "(array_contains(types, type) OR (type = 'integer' AND array_contains(types, 'number')))"
     tests = {
         "type": (f"NOT {type_ok}", "concat(shown, ' is not of type ', array_join(types, ', '))"),
@@ -62,10 +71,11 @@ def schema_findings(
         "ELSE array() END"
     )
     lists = ([f"array_compact(array({single}))"] if single else []) + ([missing] if "required" in keywords else [])
-    shown = F.when(F.col("type").isin("object", "array"), F.col("type")).otherwise(F.expr("to_json(v)"))
-    rules = rule_table(df.sparkSession, node).withColumnRenamed("pattern", "rule_pattern")
+    shown = F.when(F.col("type").isin("object", "array"), F.col("type")).otherwise(leaf_json())
+    wanted = [row for row in rule_rows(node) if _concerned(row, keywords)]
+    rules = df.sparkSession.createDataFrame(wanted, RULE_TYPE).withColumnRenamed("pattern", "rule_pattern")
     found = (
-        walk(df, value, keep, ("pointer", "pattern"))
+        walk(df, value, keep, ("pointer", "pattern"), patterns=[row[0] for row in wanted])
         .join(F.broadcast(rules.withColumnRenamed("path", "pattern")), "pattern")
         .withColumn("shown", shown)
         .select(*keep, "pointer", "pattern", F.explode(F.expr(f"concat({', '.join(lists)})")).alias("f"))

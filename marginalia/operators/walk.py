@@ -1,109 +1,146 @@
-"""Walk of arbitrary JSON: one row per node, leaf or container.
+"""Walk of arbitrary JSON: one row per node, leaf or container, at any depth.
 
-All nodes of a document are listed by one nested expression inside its row, each visited
-once, and then exploded. The walk is narrow: nothing is shuffled.
+A VARIANT carries the keys of its whole document with every part taken from it, so listing all
+nodes of a document inside an expression copies those keys once per node. The walk therefore
+leaves as text and is done by a small stack loop over Arrow batches: each node is visited once,
+and its depth costs nothing but the length of its path. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+import json
+import sys
+from collections.abc import Collection, Iterator, Sequence
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from marginalia.functions.sqltext import bind
-from marginalia.functions.variants import entries, items, json_type
 from marginalia.schema import FORBIDDEN_KEYS, FORBIDDEN_PREFIX
 
-MAX_DEPTH = 12
-PATH_COLUMNS = ("path", "pointer", "pattern", "parent_pattern", "parent_path")
-NO_TEXT = "CAST(NULL AS STRING)"
-NO_KEYS = "CAST(NULL AS ARRAY<STRING>)"
-NO_SIZE = "CAST(NULL AS INT)"
-
-
-def _node(want: Sequence[str], key: str, v: str, **parts: str) -> str:
-    fields = ", ".join(f"'{c}', {parts[c] if c in want else NO_TEXT}" for c in PATH_COLUMNS)
-    return f"named_struct({fields}, 'key', {key}, 'type', {json_type(v)}, 'v', {v}, 'keys', {NO_KEYS}, 'size', {NO_SIZE})"
-
-
-def _finished() -> str:
-    """Node ``n`` as reported: a container has its key list or item count but no payload."""
+# workers then need no copy of this module on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-    def container(keys: str, size: str) -> str:
-        fields = ", ".join(f"'{c}', n.{c}" for c in (*PATH_COLUMNS, "key", "type"))
-        return f"named_struct({fields}, 'v', CAST(NULL AS VARIANT), 'keys', {keys}, 'size', {size})"
-
-    return (
-        f"CASE n.type WHEN 'object' THEN {container('map_keys(' + entries('n.v') + ')', NO_SIZE)} "
-        f"WHEN 'array' THEN {container(NO_KEYS, 'size(' + items('n.v') + ')')} ELSE n END"
-    )
-
-
-def _children(want: Sequence[str]) -> str:
-    """SQL array of the nodes right below node ``n``; empty for a leaf."""
-    step = "replace(replace(e.key, '~', '~0'), '/', '~1')"
-    parent = {"parent_pattern": "n.pattern", "parent_path": "n.path"}
-    member = _node(
-        want, "e.key", "e.value", path="CASE WHEN n.path = '' THEN e.key ELSE concat(n.path, '.', e.key) END",
-        pointer=f"concat(n.pointer, '/', {step})", pattern=f"concat(n.pattern, '/', {step})", **parent,
-    )
-    item = _node(
-        want, NO_TEXT, "x", path="concat(n.path, '[', i, ']')", pointer="concat(n.pointer, '/', i)",
-        pattern="concat(n.pattern, '/*')", **parent,
-    )
-    return (
-        f"CASE n.type WHEN 'object' THEN transform(map_entries({entries('n.v')}), e -> {member}) "
-        f"WHEN 'array' THEN transform({items('n.v')}, (x, i) -> {item}) ELSE slice(array(n), 1, 0) END"
-    )
+PATH_COLUMNS = ("path", "pointer", "pattern", "parent_pattern", "parent_path")
+NODE_TYPE = T.StructType(
+    [T.StructField(c, T.StringType()) for c in (*PATH_COLUMNS, "key", "type", "value")]
+    + [T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("size", T.IntegerType())]
+)
+ARROW_TYPES = [*[pa.string()] * 8, pa.list_(pa.string()), pa.int32()]
+#: Nodes of one output batch, give or take a document.
+BATCH_NODES = 50_000
+
+
+class Number(str):
+    """A number with fraction or exponent, as it is written."""
+
+
+def scalar(v: Any) -> tuple[str, str | None]:
+    """JSON type and text of a leaf; a number without fraction is an integer."""
+    if v is None:
+        return "null", None
+    if v is True or v is False:
+        return "boolean", "true" if v else "false"
+    if isinstance(v, Number):
+        return ("integer" if float(v).is_integer() else "number"), str(v)
+    if isinstance(v, str):
+        return "string", v
+    return "integer", str(v)
+
+
+def visit(root: Any, want: Collection[str], patterns: Collection[str] | None, out: list[list]) -> None:
+    """Appends the nodes of a parsed document to the columns ``out``, those of the wanted ``patterns`` alone if any are given."""
+    named, pointed, shaped = (c in want for c in ("path", "pointer", "pattern"))
+    stack: list[tuple] = [(root, None, "" if named else None, "" if pointed else None, "" if shaped else None, None, None)]
+    adders = [column.append for column in out]
+    while stack:
+        v, key, path, pointer, pattern, over, above = stack.pop()
+        kind = type(v)
+        if kind is dict:
+            children = []
+            for k, x in v.items():
+                last = k.replace("~", "~0").replace("/", "~1") if (pointed or shaped) and ("~" in k or "/" in k) else k
+                children.append((
+                    x, k, (f"{path}.{k}" if path else k) if named else None, f"{pointer}/{last}" if pointed else None,
+                    f"{pattern}/{last}" if shaped else None, pattern, path))
+            stack += reversed(children)
+            name, text, keys, size = "object", None, list(v), None
+        elif kind is list:
+            below = f"{pattern}/*" if shaped else None
+            stack += [
+                (v[i], None, f"{path}[{i}]" if named else None, f"{pointer}/{i}" if pointed else None, below, pattern, path)
+                for i in range(len(v) - 1, -1, -1)]
+            name, text, keys, size = "array", None, None, len(v)
+        else:
+            name, text = scalar(v)
+            keys = size = None
+        if patterns is None or pattern in patterns:
+            for add, field in zip(adders, (path, pointer, pattern, over, above, key, name, text, keys, size)):
+                add(field)
+
+
+def _walked(want: Sequence[str], patterns: Sequence[str] | None):
+    needed = {*want} | {own for parent, own in (("parent_pattern", "pattern"), ("parent_path", "path")) if parent in want}
+    needed |= {"pattern"} if patterns is not None else set()
+    chosen = None if patterns is None else frozenset(patterns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.schema.names[:-1]
+            out: list[list] = [[] for _ in ARROW_TYPES]
+            rows: list[int] = []
+
+            def flush() -> pa.RecordBatch:
+                beside = [batch.column(c).take(pa.array(rows, pa.int32())) for c in kept]
+                nodes = [pa.array(column, t) for column, t in zip(out, ARROW_TYPES)]
+                return pa.RecordBatch.from_arrays(beside + nodes, names=kept + NODE_TYPE.names)
+
+            for number, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                visit(json.loads(text, parse_float=Number), needed, chosen, out)
+                rows += [number] * (len(out[0]) - len(rows))
+                if len(rows) >= BATCH_NODES:
+                    yield flush()
+                    out, rows = [[] for _ in ARROW_TYPES], []
+            yield flush()
+
+    return run
 
 
 def walk(
-    df: DataFrame, value: str, keep: Sequence[str], want: Sequence[str] = PATH_COLUMNS, max_depth: int = MAX_DEPTH
+    df: DataFrame, value: str, keep: Sequence[str], want: Sequence[str] = PATH_COLUMNS, patterns: Sequence[str] | None = None
 ) -> DataFrame:
-    """All nodes of a VARIANT column, beside the ``keep`` columns.
+    """All nodes of a VARIANT column, beside the ``keep`` columns; none for SQL NULL.
 
     Columns: ``path`` (``a.b[0]``), ``pointer`` (``/a/b/0``), ``pattern`` (``/a/b/*``),
-    ``parent_pattern``, ``parent_path`` (of these only the wanted ones are filled), ``key``,
-    ``type``, ``v`` (of a leaf), ``keys`` (of an object) and ``size`` (of an array). Data nested
-    deeper than ``max_depth`` fails the job instead of being cut.
+    ``parent_pattern``, ``parent_path`` (of these only the wanted ones are sure to be filled),
+    ``key``, ``type``, ``value`` (text of a leaf, null for a JSON null), ``keys`` (of an object)
+    and ``size`` (of an array). With ``patterns`` only the nodes of these patterns come out.
     """
-    # parent columns are read off the parent's own path columns
-    needed = set(want)
-    needed |= {own for parent, own in (("parent_pattern", "pattern"), ("parent_path", "path")) if parent in want}
-    root = _node(needed, NO_TEXT, f"`{value}`", path="''", pointer="''", pattern="''", parent_pattern=NO_TEXT, parent_path=NO_TEXT)
-    start = f"named_struct('done', slice(array({root}), 1, 0), 'front', array({root}))"
-    state = df.select(*keep, F.expr(f"CASE WHEN `{value}` IS NOT NULL THEN {start} END").alias("state"))
-    level = bind(
-        "state", "s",
-        f"CASE WHEN size(s.front) = 0 THEN s ELSE named_struct('done', concat(s.done, transform(s.front, n -> {_finished()})), "
-        f"'front', flatten(transform(s.front, n -> {_children(needed)}))) END",
-    )
-    for _ in range(max_depth + 1):
-        # one nesting level each; the optimizer folds these projections into one
-        state = state.select(*keep, F.expr(level).alias("state"))
-    deep = f"raise_error('nesting deeper than {max_depth} levels')"
-    whole = bind("state", "s", f"CASE WHEN size(s.front) > 0 THEN {deep} ELSE s.done END")
-    return state.select(*keep, F.inline(F.expr(whole)))
+    rows = df.where(F.col(value).isNotNull()).select(*keep, F.to_json(F.col(value)).alias("__json"))
+    spec = T.StructType([*rows.drop("__json").schema.fields, *NODE_TYPE.fields])
+    return rows.mapInArrow(_walked(tuple(want), patterns), spec)
 
 
 def is_leaf() -> Column:
     return ~F.col("type").isin("object", "array")
 
 
-def leaf_text() -> Column:
-    """Leaf value as text; null stays null."""
-    return F.expr("try_variant_get(v, '$', 'string')")
+def leaf_json() -> Column:
+    """A leaf as JSON text."""
+    quoted = F.to_json(F.col("value").cast("variant"))
+    return F.when(F.col("type") == "string", quoted).when(F.col("type") == "null", "null").otherwise(F.col("value"))
 
 
 def flatten_leaves(df: DataFrame, value: str, keep: Sequence[str]) -> DataFrame:
     """Leaves as ``(path, type, value)``; a primitive root is called ``<root>``."""
     path = F.when(F.col("path") == "", F.lit("<root>")).otherwise(F.col("path")).alias("path")
-    return walk(df, value, keep, ("path",)).where(is_leaf()).select(*keep, path, "type", leaf_text().alias("value"))
+    return walk(df, value, keep, ("path",)).where(is_leaf()).select(*keep, path, "type", "value")
 
 
 def pointer_leaves(df: DataFrame, value: str, keep: Sequence[str]) -> DataFrame:
     """Leaves as ``(pointer, type, value)`` with JSON pointers."""
-    return walk(df, value, keep, ("pointer",)).where(is_leaf()).select(*keep, "pointer", "type", leaf_text().alias("value"))
+    return walk(df, value, keep, ("pointer",)).where(is_leaf()).select(*keep, "pointer", "type", "value")
 
 
 def forbidden_paths(
