@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from marginalia.llm.common import parts, stored
+from marginalia.llm.packing import load_encoding
 
 #: Pairs with at least this share of all links, one in so many, are broadcast: never more than this number of rows.
 HEAVY = 1 << 16
@@ -35,17 +37,6 @@ WINDOWS = 200_000
 SPEC = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<int>, times array<int>"
 
 
-def byte_level_vocabulary(tokenizer) -> list[bytes]:
-    """Bytes of every id of a byte-level vocabulary: each character stands for one byte."""
-    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    letters = {chr(b): b for b in kept}
-    letters |= {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in set(kept))}
-    table = [b""] * (max(tokenizer.get_vocab().values()) + 1)
-    for token, number in tokenizer.get_vocab().items():
-        table[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode("utf-8")
-    return table
-
-
 def piece_vocabulary(model) -> list[bytes]:
     """Bytes of every id of a sentence-piece vocabulary: U+2581 is a space, ``<0xHH>`` one byte; control ids have none."""
 
@@ -59,121 +50,109 @@ def piece_vocabulary(model) -> list[bytes]:
     return [one(number) for number in range(model.vocab_size())]
 
 
-def align(a_ids: list[int], b_ids: list[int], a_len: list[int], b_len: list[int]) -> tuple[int, str, list[int]]:
-    """Groups, their text and the linked pairs ``a << 16 | b`` of ids that cover the same bytes; lengths are in bytes."""
-    groups, links, i, j = [], [], 0, 0
+def align(a_ids: tuple[int, ...], b_ids: tuple[int, ...], a_len: list[int], b_len: list[int]) -> str:
+    """Groups of a window as text: ids of A and of B that cover the same bytes; lengths in bytes by id."""
+    out, a_from, b_from, i, j, ahead = [], 0, 0, 0, 0, 0  # ahead: bytes by which A's ids so far exceed B's
     while i < len(a_ids):
-        first_a, first_b = i, j
-        a_end, b_end = a_len[i], b_len[j]
-        links.append(a_ids[i] << 16 | b_ids[j])
-        while a_end != b_end:
-            if a_end < b_end:
-                i += 1
-                a_end += a_len[i]
-            else:
-                j += 1
-                b_end += b_len[j]
-            links.append(a_ids[i] << 16 | b_ids[j])
-        i, j = i + 1, j + 1
-        groups.append(f"{','.join(map(str, a_ids[first_a:i]))}|{','.join(map(str, b_ids[first_b:j]))}")
-    return len(groups), ";".join(groups), links
+        if ahead <= 0:
+            ahead += a_len[a_ids[i]]
+            i += 1
+        while ahead > 0 and j < len(b_ids):
+            ahead -= b_len[b_ids[j]]
+            j += 1
+        if not ahead:
+            out.append(",".join([str(a) for a in a_ids[a_from:i]]) + "|" + ",".join([str(b) for b in b_ids[b_from:j]]))
+            a_from, b_from = i, j
+    return ";".join(out)
 
 
 class Windows(dict):
-    """Alignments by id tuples, each tuple as the bytes of its 16-bit ids: number of the window in the lists beside."""
+    """Alignments of windows by their id tuples."""
 
-    def __init__(self, a_len: np.ndarray, b_len: np.ndarray) -> None:
+    def __init__(self, a_len: list[int], b_len: list[int]) -> None:
         super().__init__()
         self.a_len, self.b_len = a_len, b_len
-        self.groups: list[int] = []
-        self.texts: list[str] = []
-        self.pairs: list[bytes] = []
-
-    def __missing__(self, window: tuple[bytes, bytes]) -> int:
-        a, b = (np.frombuffer(ids, np.uint16) for ids in window)
-        n, text, links = align(a.tolist(), b.tolist(), self.a_len[a].tolist(), self.b_len[b].tolist())
-        self.groups.append(n)
-        self.texts.append(text)
-        self.pairs.append(np.array(links, np.uint32).tobytes())
-        number = self[window] = len(self.groups) - 1
-        return number
-
-    def forget(self) -> None:
-        self.clear()
-        self.groups, self.texts, self.pairs = [], [], []
-
-
-def window_ends(a_ends: np.ndarray, b_ends: np.ndarray, a_space: np.ndarray, b_space: np.ndarray,
-                doc_ends: np.ndarray, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
-    """Positions after the last token of every window, in A and in B. ``a_space`` tells of each token whether it begins with a space."""
+
+    def __missing__(self, window: tuple[tuple[int, ...], tuple[int, ...]]) -> str:
+        text = self[window] = align(*window, self.a_len, self.b_len)
+        return text
+
+
+def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every end of either side closes a stretch of bytes of one token each: their places in A and B, and whether both end there."""
     marks = np.zeros(int(a_ends[-1]) + 1, np.uint8)
     marks[a_ends] = 1
     marks[b_ends] |= 2
-    a_after, b_after = np.flatnonzero(marks[a_ends] == 3) + 1, np.flatnonzero(marks[b_ends] == 3) + 1
-    last = np.zeros(len(marks), bool)
-    last[doc_ends] = True
-    anchor = last[a_ends[a_after - 1]]
+    marks = marks[marks > 0]
+    a_end, b_end = marks & 1, marks >> 1
+    return np.cumsum(a_end, dtype=np.int64) - a_end, np.cumsum(b_end, dtype=np.int64) - b_end, marks == 3
+
+
+def window_ends(a_after: np.ndarray, b_after: np.ndarray, a_space: np.ndarray, b_space: np.ndarray,
+                last: np.ndarray, long: int = LONG) -> np.ndarray:
+    """Which shared ends close a window. ``after`` are the places behind them, ``space`` tells of each token whether it
+    begins with a space, ``last`` of each shared end whether it closes a document."""
+    anchor = last.copy()
     inner = ~anchor
     anchor[inner] = a_space[a_after[inner]] & b_space[b_after[inner]]
     window = np.concatenate([[0], np.cumsum(anchor)[:-1]])
     lengths = np.maximum(np.diff(a_after[anchor], prepend=0), np.diff(b_after[anchor], prepend=0))
-    cut = anchor | (lengths > long)[window]
-    return a_after[cut], b_after[cut]
+    return anchor | (lengths > long)[window]
 
 
-def _aligned(a_path: str, b_path: str):
+def _aligned(a_ranks: str, pattern: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(a_path)
-        tokenizer.encode_special_tokens = True
+        encoding = load_encoding(a_ranks, pattern, {})
         model = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        a_bytes, b_bytes = byte_level_vocabulary(tokenizer), piece_vocabulary(model)
+        a_bytes = [encoding.decode_single_token_bytes(number) for number in range(encoding.n_vocab)]
+        b_bytes = piece_vocabulary(model)
         if max(len(a_bytes), len(b_bytes)) > 1 << 16:
             raise ValueError("ids of more than 16 bits: a pair would need a wider column")
         a_len, b_len = (np.array([len(t) for t in table], np.int32) for table in (a_bytes, b_bytes))
         a_space, b_space = (np.array([t[:1] == b" " for t in table]) for table in (a_bytes, b_bytes))
-        windows = Windows(a_len, b_len)
+        windows = Windows(a_len.tolist(), b_len.tolist())
 
         def one(rows: list[tuple]) -> pa.RecordBatch:
             out = [[doc_id, 0, 0, 0, 0, "", None, None] for doc_id, _ in rows]
-            texts = [" " + text for _, text in rows if text]
             at = [k for k, (_, text) in enumerate(rows) if text]
-            a_all = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+            texts = [" " + rows[k][1] for k in at]
+            a_all = [encoding.encode_ordinary(t) for t in texts]
             b_all = model.encode([t[1:] for t in texts], num_threads=1) if texts else []
-            good, ends, total = [], [], 0
+            good, n_bytes = [], []
             for k, text, a, b in zip(at, texts, a_all, b_all):
                 whole = text.encode("utf-8")
                 if b"".join([a_bytes[i] for i in a]) == whole == b"".join([b_bytes[i] for i in b]):
-                    total += len(whole)
                     good.append((k, a, b))
-                    ends.append(total)
+                    n_bytes.append(len(whole))
             if not good:
                 return _batch(out)
-            a, b = (np.concatenate([np.array(g[side], np.uint16) for g in good]) for side in (1, 2))
-            a_cut, b_cut = window_ends(np.cumsum(a_len[a]), np.cumsum(b_len[b]), a_space[a], b_space[b], np.array(ends))
-            a_raw, b_raw = a.tobytes(), b.tobytes()
-            a_at, b_at = (2 * a_cut).tolist(), (2 * b_cut).tolist()
-            numbers = [windows[a_raw[s:e], b_raw[u:v]] for s, e, u, v in zip([0, *a_at], a_at, [0, *b_at], b_at)]
-            # how many windows end up to the end of each document
-            stops = np.searchsorted(a_cut, np.cumsum([len(g[1]) for g in good]), side="right").tolist()
-            start = 0
-            for (k, a, b), stop in zip(good, stops):
-                own = numbers[start:stop]
-                start = stop
-                row = out[k]
-                row[1], row[2] = len(a), len(b)
-                row[3] = sum([windows.groups[w] for w in own])
-                row[4] = len(a) + len(b) - row[3]  # in a group each further end makes one more link
-                row[5] = hashlib.sha256(";".join([windows.texts[w] for w in own]).encode("ascii")).hexdigest()
-                pairs, times = np.unique(np.frombuffer(b"".join([windows.pairs[w] for w in own]), np.uint32), return_counts=True)
-                row[6], row[7] = pairs.view(np.int32), times.astype(np.int32)
+            # one after the other the documents are one long text: each ends at a shared end
+            a_ids, b_ids = (tuple(chain.from_iterable([g[side] for g in good])) for side in (1, 2))
+            a, b = np.array(a_ids, np.int32), np.array(b_ids, np.int32)
+            a_ends, b_ends = np.cumsum(a_len[a]), np.cumsum(b_len[b])
+            in_a, in_b, shared = overlaps(a_ends, b_ends)
+            pairs = a[in_a].astype(np.uint32) << 16 | b[in_b].astype(np.uint32)
+            a_after, b_after, doc_ends = in_a[shared] + 1, in_b[shared] + 1, np.cumsum(n_bytes)
+            shared_ends = a_ends[a_after - 1]
+            cut = window_ends(a_after, b_after, a_space[a], b_space[b], np.isin(shared_ends, doc_ends))
+            a_cut, b_cut = a_after[cut].tolist(), b_after[cut].tolist()
+            texts = [windows[a_ids[s:e], b_ids[u:v]] for s, e, u, v in zip([0, *a_cut], a_cut, [0, *b_cut], b_cut)]
+            stops = {  # per document, how many of each end up to its end
+                "groups": np.searchsorted(shared_ends, doc_ends, side="right"),
+                "windows": np.searchsorted(shared_ends[cut], doc_ends, side="right"),
+                "links": np.flatnonzero(shared)[np.searchsorted(shared_ends, doc_ends)] + 1,
+            }
+            starts = {name: [0, *stop[:-1].tolist()] for name, stop in stops.items()}
+            for n, (k, a_own, b_own) in enumerate(good):
+                (groups, windowed, links) = (slice(starts[name][n], int(stop[n])) for name, stop in stops.items())
+                found, times = np.unique(pairs[links], return_counts=True)
+                digest = hashlib.sha256(";".join(texts[windowed]).encode("ascii")).hexdigest()
+                out[k][1:] = [len(a_own), len(b_own), groups.stop - groups.start, links.stop - links.start, digest,
+                              found.view(np.int32), times.astype(np.int32)]
             if len(windows) > WINDOWS:
-                windows.forget()
+                windows.clear()
             return _batch(out)
 
         for batch in batches:
@@ -198,17 +177,17 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return counts.join(most, F.expr("pair & 65535") == most.b).select("pair", "links", F.expr("CAST(links = most AS int)").alias("best"))
 
 
-def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, heavy: int = HEAVY) -> DataFrame:
+def align_tokenizers(docs: DataFrame, a_ranks: str, pattern: str, b_path: str, heavy: int = HEAVY) -> DataFrame:
     """``(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)`` per row of ``docs`` (``doc_id``, ``text``).
 
-    A is a byte-level ``tokenizers`` file and reads a space and the text; B is a ``sentencepiece``
-    model that adds this space itself. Special tokens inside texts are plain text. A text that is
+    A is a byte-level vocabulary in rank form, with the pattern that parts its words, and reads a
+    space and the text; B is a ``sentencepiece`` model that adds this space itself. Special tokens inside texts are plain text. A text that is
     null or empty, or whose bytes one tokenizer does not keep, has no tokens: zeros and an empty
     digest, and no part in the counts. Rows that repeat, with or without doc_id, each count.
     Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    aligned = stored(docs.mapInArrow(_aligned(a_path, b_path), SPEC).withColumn("row", F.monotonically_increasing_id()))
+    aligned = stored(docs.mapInArrow(_aligned(a_ranks, pattern, b_path), SPEC).withColumn("row", F.monotonically_increasing_id()))
     counts = stored(pair_counts(aligned))
     least = -(-(counts.agg(F.sum("links")).first()[0] or 0) // heavy)
     often, seldom = counts.where(F.col("links") >= least), counts.where(F.col("links") < least)

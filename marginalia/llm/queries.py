@@ -59,8 +59,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    # the rank form of byte_bpe_50k.json: the same ids, without its special token
     return alignment.align_tokenizers(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+        public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from marginalia.session import broadcast_if_small, materialize
 
 NO_EVENTS = "<sin_eventos>"
-MIN_CATEGORY_COUNT = 3
-BUCKET_DIGITS = 3
 MAX_CUTS = 100_000
+#: Rows of one hash bucket, about: a stratum's buckets follow from its size.
+BUCKET_ROWS = 20_000
 
 
 def order_hash(key: Column, seed: int) -> Column:
@@ -56,27 +56,29 @@ def allocate(strata: DataFrame, ratio: float | None = None, eval_size: int | Non
     return lowered.select("stratum", "size", checked.cast("long").alias("n_eval"))
 
 
-def bucket_counts(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    """``stratum, bucket, n``: rows per hash prefix, combined map-side and kept.
-
-    The prefix cuts each stratum into ``16 ** BUCKET_DIGITS`` even buckets, however large it is.
-    """
-    bucket = F.substring(order_hash(F.col(key), seed), 1, BUCKET_DIGITS).alias("bucket")
-    return materialize(rows.select("stratum", bucket).groupBy("stratum", "bucket").agg(F.count("*").alias("n")))
+def bucket_digits(largest: int) -> int:
+    """Hex digits of the digest that cut a stratum of ``largest`` rows into buckets of at most some ``BUCKET_ROWS`` rows."""
+    digits = 0
+    while largest > BUCKET_ROWS << 4 * digits:
+        digits += 1
+    return digits
 
 
-def cuts(rows: DataFrame, counts: DataFrame, allocation: DataFrame, key: str, seed: int) -> DataFrame:
+def cuts(rows: DataFrame, allocation: DataFrame, key: str, seed: int) -> DataFrame:
     """``stratum, cut_hash, cut_key``: the last eval row of every stratum that has one.
 
-    The bucket counts tell which one bucket holds the cut, and only that bucket's rows are
-    ranked: a stratum with a third of all rows still ranks 1/4096 of them.
+    Rows are counted per stratum and digest prefix, long enough for even buckets of bounded
+    size. The counts tell which one bucket holds the cut, and only its rows are ranked.
     """
+    digits = bucket_digits(allocation.agg(F.max("size")).first()[0] or 0)
+    bucket = F.substring(order_hash(F.col(key), seed), 1, digits).alias("bucket")
+    counts = materialize(rows.select("stratum", bucket).groupBy("stratum", "bucket").agg(F.count("*").alias("n")))
     running = Window.partitionBy("stratum").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     holding = counts.withColumn("upto", F.sum("n").over(running)).join(allocation.select("stratum", "n_eval"), "stratum").where(
         (F.col("n_eval") > F.col("upto") - F.col("n")) & (F.col("n_eval") <= F.col("upto"))
     ).select("stratum", "bucket", (F.col("n_eval") - (F.col("upto") - F.col("n"))).alias("place"))
     hashed = rows.select(F.col(key).alias("k"), "stratum", order_hash(F.col(key), seed).alias("h"))
-    near = hashed.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS)).join(
+    near = hashed.withColumn("bucket", F.substring("h", 1, digits)).join(
         broadcast_if_small(materialize(holding), MAX_CUTS), ["stratum", "bucket"]
     )
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy("h", "k")))
@@ -88,13 +90,12 @@ def stratified(
 ) -> DataFrame:
     """Adds ``split`` with exact sizes per stratum.
 
-    Two passes over the two key columns find each stratum's cut; then every row is compared
-    with the cut of its stratum. The payload is never shuffled, and the small tables between
-    the passes (one row per stratum, or per stratum and bucket) are kept.
+    Three passes over the two key columns find each stratum's size and cut; then every row is
+    compared with the cut of its stratum. The payload is never shuffled, and the small tables
+    between the passes (one row per stratum, or per stratum and bucket) are kept.
     """
-    counts = bucket_counts(rows, key, seed)
-    sizes = counts.groupBy("stratum").agg(F.sum("n").alias("size"))
-    found = materialize(cuts(rows, counts, allocate(sizes, ratio, eval_size), key, seed))
+    allocation = materialize(allocate(strata_sizes(rows), ratio, eval_size))
+    found = materialize(cuts(rows, allocation, key, seed))
     h = order_hash(F.col(key), seed)
     inside = (h < F.col("cut_hash")) | ((h == F.col("cut_hash")) & (F.col(key) <= F.col("cut_key")))
     return rows.join(broadcast_if_small(found, MAX_CUTS), "stratum", "left").withColumn(
@@ -102,64 +103,6 @@ def stratified(
     ).drop("cut_hash", "cut_key")
 
 
-def cover_categories(
-    rows: DataFrame, key: str, categories: str, seed: int, minimum: int = MIN_CATEGORY_COUNT
-) -> tuple[DataFrame, list[dict]]:
-    """Swaps rows of one stratum so that every frequent category occurs in eval.
-
-    Returns the rows with the new ``split`` and the list of swaps. Each swap depends on the
-    ones before it, so the driver walks the sorted categories; per missing category it runs
-    two top-1 queries on a slim table. Only category counts and swapped rows reach the
-    driver, at most one row of each kind per category.
-    """
-    order = F.struct(F.col("stratum").alias("s"), order_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
-    slim = materialize(rows.select(F.col(key).alias("id"), "stratum", F.col(categories).alias("cats"), "split", order.alias("pos")))
-    counted = (
-        slim.select("split", F.explode("cats").alias("c")).groupBy("c")
-        .agg(F.count("*").alias("n"), F.count_if(F.col("split") == "eval").alias("n_eval"))
-        .collect()
-    )
-    in_eval = {r.c: r.n_eval for r in counted}
-    wanted = sorted(r.c for r in counted if r.c != NO_EVENTS and r.n >= minimum)
-    moved: dict = {}  # id -> (row, split it now lives in, position it took over)
-
-    def first(split: str, condition: Column, fits) -> tuple | None:
-        here = slim.where((F.col("split") == split) & condition)
-        if moved:
-            here = here.where(~F.col("id").isin(list(moved)))
-        found = [(r, r.pos) for r in here.orderBy("pos").limit(1).collect()]
-        found += [(r, pos) for r, side, pos in moved.values() if side == split and fits(r)]
-        return min(found, key=lambda x: tuple(x[1]), default=None)
-
-    swaps: list[dict] = []
-    for category in wanted:
-        if in_eval[category]:
-            continue
-        donor = first("train", F.array_contains("cats", category), lambda r: category in r.cats)
-        if donor is None:
-            continue
-        row, place = donor
-        spare = {c for c, n in in_eval.items() if n > 1} | {NO_EVENTS}
-        free = F.forall("cats", lambda c: c.isin(list(spare)))
-        receiver = first(
-            "eval", (F.col("stratum") == row.stratum) & free, lambda r: r.stratum == row.stratum and set(r.cats) <= spare
-        )
-        if receiver is None:
-            continue
-        other, seat = receiver
-        moved[row.id] = (row, "eval", seat)
-        moved[other.id] = (other, "train", place)
-        for c in row.cats:
-            in_eval[c] += 1
-        for c in other.cats:
-            in_eval[c] -= 1
-        swaps.append({"category": category, "train_to_eval": row.id, "eval_to_train": other.id, "stratum": row.stratum})
-    to_eval = [i for i, (_, side, _) in moved.items() if side == "eval"]
-    to_train = [i for i, (_, side, _) in moved.items() if side == "train"]
-    split = F.when(F.col(key).isin(to_eval), "eval").when(F.col(key).isin(to_train), "train").otherwise(F.col("split"))
-    return rows.withColumn("split", split), swaps
-
-
 def split_sorted(rows: DataFrame, key: str) -> DataFrame:
     """Both parts sorted by id: a range-partitioned sort."""
     return rows.orderBy("split", key)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -87,10 +87,13 @@ def distribution(df: DataFrame, column: str, name: str | None = None) -> DataFra
 
 
 def by_split(df: DataFrame, columns: Sequence[str], split: str = "split") -> DataFrame:
-    """``dist, value, part, n`` of several columns, per split and for all, in one pass."""
-    long = df.select(split, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("dist"), F.col(c).cast("string").alias("value")) for c in columns
-    ])).alias("d")).groupBy("d.dist", "d.value", split).agg(F.count("*").alias("n"))
+    """``dist, value, part, n`` of several columns, per split and for all, in one pass. Of a list every item counts."""
+
+    def values(name: str) -> Column:
+        listed = F.col(name) if isinstance(df.schema[name].dataType, T.ArrayType) else F.array(name)
+        return F.transform(listed, lambda v: F.struct(F.lit(name).alias("dist"), v.cast("string").alias("value")))
+
+    long = df.select(split, F.explode(F.concat(*[values(c) for c in columns])).alias("d")).groupBy("d.dist", "d.value", split).agg(F.count("*").alias("n"))
     whole = long.groupBy("dist", "value").agg(F.sum("n").alias("n")).withColumn(split, F.lit("all"))
     return long.unionByName(whole).withColumnRenamed(split, "part")
 

@@ -12,6 +12,7 @@ from .conftest import edge_rows
 
 P = pytest.importorskip("public_tokenizers")
 A, B = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+FORMS = P.path("byte_bpe_50k.tiktoken"), P.PATTERN, B
 
 
 def plain(rows):
@@ -82,7 +83,7 @@ def more_rows():
 def test_against_plain_alignment(spark, edge_docs, heavy):
     more = spark.createDataFrame(more_rows(), "doc_id long, text string")
     docs = edge_docs.unionByName(more, allowMissingColumns=True)
-    same(alignment.align_tokenizers(docs, A, B, heavy), edge_rows() + more_rows())
+    same(alignment.align_tokenizers(docs, *FORMS, heavy), edge_rows() + more_rows())
 
 
 def test_registered_query(spark):
@@ -98,8 +99,8 @@ def test_windows_are_forgotten_and_long_ones_cut(spark, monkeypatch):
     monkeypatch.setattr(alignment, "WINDOWS", 3)
     monkeypatch.setattr(alignment, "BYTES", 200)
     monkeypatch.setattr(alignment, "LONG", 4)
-    same(alignment.align_tokenizers(spark.createDataFrame(rows, "doc_id long, text string"), A, B), rows)
+    same(alignment.align_tokenizers(spark.createDataFrame(rows, "doc_id long, text string"), *FORMS), rows)
 
 
 def test_empty_table(no_docs):
-    assert alignment.align_tokenizers(no_docs, A, B).count() == 0
+    assert alignment.align_tokenizers(no_docs, *FORMS).count() == 0

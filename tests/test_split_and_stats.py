@@ -2,11 +2,12 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import split as SP, stats
+from marginalia.operators import coverage as CV, split as SP, stats
 
 GOLDEN = {"0": 45, "1": 158, "2": 64, "3+": 50}
 
@@ -85,11 +86,38 @@ def test_coverage_swaps_match_brute_force(spark):
     ordered = parts.orderBy("stratum", SP.order_hash(F.col("id"), 3), "id").collect()
     lists = {s: [(r.id, r.stratum, list(r.cats)) for r in ordered if r.split == s] for s in ("train", "eval")}
     expected = brute_swaps(lists["train"], lists["eval"])
-    covered, swaps = SP.cover_categories(parts, "id", "cats", 3)
-    assert expected and [(s["category"], s["train_to_eval"], s["eval_to_train"]) for s in swaps] == expected
+    covered, swaps = CV.cover_categories(parts, "id", "cats", 3)
+    assert expected and [(s.category, s.train_to_eval, s.eval_to_train) for s in swaps.orderBy("number").collect()] == expected
     assert {r.id for r in covered.where("split = 'eval'").collect()} == {r[0] for r in lists["eval"]}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_replay_over_candidates_is_the_replay_over_all_rows(spark, seed):
+    """Rows that repeat a category can take it out of eval again before its turn."""
+    rng = random.Random(seed)
+    rows = [(f"n{i}", rng.choice("abc"), [f"c{min(rng.randint(0, 60), rng.randint(0, 60)):02d}" for _ in range(rng.choice([1, 2, 3]))] * rng.choice([1, 1, 2]))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, stratum string, cats array<string>")
+    parts = SP.stratified(df, "id", seed, eval_size=40)
+    ordered = parts.orderBy("stratum", SP.order_hash(F.col("id"), seed), "id").collect()
+    lists = {s: [(r.id, r.stratum, list(r.cats)) for r in ordered if r.split == s] for s in ("train", "eval")}
+    expected = brute_swaps(lists["train"], lists["eval"])
+    covered, swaps = CV.cover_categories(parts, "id", "cats", seed)
+    assert expected and [(s.category, s.train_to_eval, s.eval_to_train) for s in swaps.orderBy("number").collect()] == expected
+    assert {r.id for r in covered.where("split = 'eval'").collect()} == {r[0] for r in lists["eval"]}
+
+
+def test_lost_category_is_reported():
+    rows = [dict(id=k, stratum="s", hash=str(k), cats=c, split=s) for k, (c, s) in enumerate(
+        [(["a"], "train"), (["b", "b"], "eval"), (["b"], "train"), (["z"], "eval")])]
+    swaps, lost = CV.replay(["a"], rows, Counter({"b": 2, "z": 1}), {"a", "b"})
+    assert swaps == [(1, "a", 0, 1, "s")] and lost == "b"
+
+
+def test_bucket_digits_follow_from_the_size():
+    assert [SP.bucket_digits(n) for n in (0, 20_000, 20_001, 10**9, 10**13)] == [0, 0, 1, 4, 8]
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 101])
 def test_length_statistics(spark, n):
     rng = random.Random(n)
