@@ -149,15 +149,6 @@ def _(spark, sf):
     return back.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("custkeys"))
 
 
-@query("sink_wide_table", C.with_notes(C.SOURCE_SQL) + """ SELECT 105 AS columns, count(*) AS rows FROM (
-    SELECT unnest(CASE WHEN json_array_length(source_json, '$.extraccion.eventos_protesta') = 0 THEN [NULL] ELSE json_extract(source_json, '$.extraccion.eventos_protesta[*]') END) FROM source)""")
-def _(spark, sf):
-    path = scratch(spark)
-    wide = export.wide_projection(source(spark, sf), "v")
-    W.sink_wide_table(wide, path, "parquet")
-    return spark.read.parquet(path).agg(F.lit(len(wide.columns)).alias("columns"), F.count("*").alias("rows"))
-
-
 @query("sink_request_shards", """SELECT count(*) AS rows, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes, true AS within_cap, true AS in_order FROM documents""")
 def _(spark, sf):
     cap = 400_000
@@ -406,30 +397,66 @@ def _(spark, sf):
     return rows.groupBy("nota_id").agg(F.count("*").alias("rows"), F.count("event").alias("events"))
 
 
-SCALARS = [(n, f"$.{p}", "note") for n, p in (*export.NOTE_COLUMNS, *export.REVIEW_COLUMNS)] + [
-    (n, f"$.{p}", "event") for n, p in export.EVENT_COLUMNS if not p.endswith("[]")
-]
+NOTE_CELLS = (*export.NOTE_COLUMNS, *export.REVIEW_COLUMNS)
+WIDE_COLUMNS = [n for n, _ in export.NOTE_COLUMNS] + ["estado_validacion_humana", "tags_topicos", "modificado_por"] + [
+    n for n, _ in (*export.REVIEW_COLUMNS, *export.EVENT_COLUMNS)]
+
 
+#: Levels of the corpus below these lists; others hold records of texts, or texts.
+LEVELS = {"sujetos": 4, "demandas": 3}
 
-def _cells_sql(side: str, value: str) -> str:
-    return ", ".join(f"coalesce(json_extract_string({value}, '{path}'), '') AS \"{name}\"" for name, path, at in SCALARS if at == side)
 
+def flat_sql(x: str, depth: int) -> str:
+    """DuckDB text of a JSON value to a depth, keys as they stand."""
+    if depth == 0:
+        return f"coalesce({x} ->> '$', '')"
+    k, y = f"k{depth}", f"y{depth}"
+    return (f"CASE json_type({x}) WHEN 'OBJECT' THEN array_to_string(list_transform(json_keys({x}), lambda {k}: concat({k}, '=', "
+            f"{flat_sql(f'json_extract({x}, {k})', depth - 1)})), ' | ') WHEN 'ARRAY' THEN array_to_string(list_transform(json_extract({x}, '$[*]'), "
+            f"lambda {y}: {flat_sql(y, depth - 1)}), ' ; ') ELSE coalesce({x} ->> '$', '') END")
 
-@query("wide_projection", C.with_notes(C.SOURCE_SQL) + f""",
-notes AS (SELECT greatest(1, json_array_length(source_json, '$.extraccion.eventos_protesta')) AS w, {_cells_sql('note', 'source_json')} FROM source),
+
+def _cells_sql(columns, value: str) -> str:
+    cell = lambda path: (
+        f"CASE WHEN json_type({value}, '$.{path[:-2]}') = 'ARRAY' THEN {flat_sql(f'json_extract({value}, {chr(39)}$.{path[:-2]}{chr(39)})', LEVELS.get(path[:-2], 2))} ELSE '' END"
+        if path.endswith("[]") else f"coalesce(json_extract_string({value}, '$.{path}'), '')")
+    return ", ".join(f'{cell(path)} AS "{name}"' for name, path in columns)
+
+
+WIDE_SQL = C.with_notes(C.SOURCE_SQL) + f""",
+notes AS (SELECT greatest(1, json_array_length(source_json, '$.extraccion.eventos_protesta')) AS w, {_cells_sql(NOTE_CELLS, 'source_json')},
+  CASE WHEN source_json ->> '$.validacion_humana.modificada' = 'true' THEN 'Validado con edicion' ELSE 'Validado sin edicion' END AS estado_validacion_humana,
+  coalesce(array_to_string(json_extract_string(source_json, '$.validacion_humana.tags_topicos[*]'), '; '), '') AS tags_topicos,
+  CASE WHEN source_json ->> '$.validacion_humana.modificada' = 'true' THEN coalesce(nullif(source_json ->> '$.validacion_humana.usuario_validador', ''), 'S/D') ELSE '' END AS modificado_por FROM source),
 evs AS (SELECT unnest(CASE WHEN json_array_length(source_json, '$.extraccion.eventos_protesta') = 0 THEN [NULL] ELSE json_extract(source_json, '$.extraccion.eventos_protesta[*]') END) AS e FROM source),
-events AS (SELECT 1 AS w, {_cells_sql('event', 'e')} FROM evs),
+events AS (SELECT 1 AS w, {_cells_sql(export.EVENT_COLUMNS, 'e')} FROM evs),
 cells AS (SELECT * FROM (UNPIVOT notes ON COLUMNS(* EXCLUDE (w)) INTO NAME name VALUE cell) UNION ALL SELECT * FROM (UNPIVOT events ON COLUMNS(* EXCLUDE (w)) INTO NAME name VALUE cell))
-    SELECT name, sum(w)::BIGINT AS rows, coalesce(sum(w) FILTER (cell <> ''), 0)::BIGINT AS filled, sum(w * length(cell))::BIGINT AS chars, max(cell) AS high FROM cells GROUP BY name""")
-def _(spark, sf):
-    flat = export.wide_projection(source(spark, sf).select("v"), "v").select(*[n for n, _, _ in SCALARS])
-    cells = flat.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("cell")) for n, _, _ in SCALARS])).alias("c"))
+    SELECT name, sum(w)::BIGINT AS rows, coalesce(sum(w) FILTER (cell <> ''), 0)::BIGINT AS filled, sum(w * length(cell))::BIGINT AS chars, max(cell) AS high,
+      sum(w * CAST('0x' || substr(md5(cell), 1, 8) AS BIGINT))::BIGINT AS digests FROM cells GROUP BY name"""
+
+
+def cell_summary(flat):
+    """Per column: rows, filled cells, their length, greatest cell, and a sum over digests of all cells."""
+    cells = flat.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("cell")) for n in flat.columns])).alias("c"))
     return cells.groupBy("c.name").agg(
         F.count("*").alias("rows"), F.count_if(F.col("c.cell") != "").alias("filled"), F.sum(F.length("c.cell")).alias("chars"),
-        F.max("c.cell").alias("high"),
+        F.max("c.cell").alias("high"), F.sum(F.conv(F.substring(F.md5("c.cell"), 1, 8), 16, 10).cast("long")).alias("digests"),
     )
 
 
+@query("wide_projection", WIDE_SQL)
+def _(spark, sf):
+    return cell_summary(export.wide_projection(source(spark, sf).select("v"), "v"))
+
+
+@query("sink_wide_table", WIDE_SQL)
+def _(spark, sf):
+    path = scratch(spark)
+    W.sink_wide_table(export.wide_projection(source(spark, sf).select("v"), "v"), path)
+    back = spark.read.csv(path, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return cell_summary(back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in back.columns]))
+
+
 @query("flatten_value", C.with_notes(C.GOLD_SQL) + """,
 ev AS (SELECT json_extract(gold_json, '$.extraccion.eventos_protesta[*]') AS es FROM gold),
 subj AS (SELECT array_to_string(list_transform(json_extract(e, '$.sujetos[*]'), lambda s: concat('sujeto_id=', s ->> '$.sujeto_id', ' | nombre_textual=', s ->> '$.nombre_textual', ' | categoria=', s ->> '$.categoria',

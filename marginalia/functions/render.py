@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import sys
+from typing import Any
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
 from marginalia.functions.sqltext import Names, quote
 from marginalia.schema import Node
 
+# workers then need no copy of this module on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Separators, labels and widths of the flat export.
 FIELD_SEPARATOR = " | "
 ITEM_SEPARATOR = " ; "
@@ -14,8 +23,6 @@ EDITED = "Validado con edicion"
 UNEDITED = "Validado sin edicion"
 UNNAMED_EDITOR = "S/D"
 SHOWN_WIDTH = 60
-# Levels below a list of the source record: its records, their lists, the records in those, their fields.
-LIST_DEPTH = 4
 
 
 def scalar_at(variant: str, path: str) -> Column:
@@ -42,34 +49,50 @@ def flatten_typed(value: str, node: Node) -> Column:
     return F.expr(flatten_typed_sql(value, node))
 
 
-def flatten_variant_sql(v: str, depth: int, names: Names | None = None) -> str:
-    """SQL text of an untyped value, to a nesting depth; keys in sorted order.
+def key_order(node: Node | None) -> dict | None:
+    """Declared keys of a record in order, each with the order of the records below it; lists count as their items."""
+    while node is not None and node.kind == "array":
+        node = node.item
+    return {k: key_order(c) for k, c in node.props.items()} if node is not None and node.kind == "object" else None
+
 
-    Deeper containers are written as JSON, so nothing is lost.
+def flat_text(value: Any, order: dict | None) -> str:
+    """A parsed value as text: fields ``k=v`` joined by bars, items by semicolons, at any depth.
+
+    Declared keys come first, in declared order, the others after them as they stand.
+    """
+    if value is None:
+        return ""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, dict):
+        order = order or {}
+        keys = [k for k in order if k in value] + [k for k in value if k not in order]
+        return FIELD_SEPARATOR.join([f"{k}={flat_text(value[k], order.get(k))}" for k in keys])
+    if isinstance(value, list):
+        return ITEM_SEPARATOR.join([flat_text(item, order) for item in value])
+    return str(value)
+
+
+def flatten_json(text: Column, node: Node | None = None) -> Column:
+    """JSON text of any shape and depth as flat text; empty for null.
+
+    Without ``node`` keys stay in the order of the text. The work goes by Arrow batches.
     """
-    names = names or Names("u")
-    plain = f"coalesce(try_variant_get({v}, '$', 'string'), '')"
-    if depth == 0:
-        return plain
-    e, x = names(), names()
-    fields = (
-        f"array_join(transform(map_entries(try_variant_get({v}, '$', 'map<string,variant>')), "
-        f"{e} -> concat({e}.key, '=', {flatten_variant_sql(e + '.value', depth - 1, names)})), {quote(FIELD_SEPARATOR)})"
-    )
-    items = (
-        f"array_join(transform(try_variant_get({v}, '$', 'array<variant>'), "
-        f"{x} -> {flatten_variant_sql(x, depth - 1, names)}), {quote(ITEM_SEPARATOR)})"
-    )
-    return f"coalesce({fields}, {items}, {plain})"
-
-
-def list_at(variant: str, path: str, depth: int = LIST_DEPTH) -> Column:
+    order = key_order(node)
+
+    def flat(texts: pd.Series) -> pd.Series:
+        sys.setrecursionlimit(20_000)  # a parsed VARIANT has at most a thousand levels
+        return pd.Series([flat_text(json.loads(t, parse_float=str), order) if t else "" for t in texts.tolist()], dtype=object)
+
+    return F.pandas_udf(flat, "string")(text)
+
+
+def list_at(variant: str, path: str, node: Node | None = None) -> Column:
     """A list at a dotted path, items joined; empty where missing, null or no list."""
-    x = "item"
-    items = f"try_variant_get({variant}, {quote('$.' + path)}, 'array<variant>')"
-    return F.expr(
-        f"coalesce(array_join(transform({items}, {x} -> {flatten_variant_sql(x, depth)}), {quote(ITEM_SEPARATOR)}), '')"
-    )
+    at = quote("$." + path)
+    listed = f"try_variant_get({variant}, {at}, 'array<variant>') IS NOT NULL"
+    return flatten_json(F.expr(f"CASE WHEN {listed} THEN to_json(try_variant_get({variant}, {at}, 'variant')) END"), node)
 
 
 def _review(variant: str, field: str, kind: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marginalia.functions.render import list_at, review_editor, review_status, review_tags, scalar_at
+from marginalia.schema import Node, listing, text
 from marginalia.session import once
 
 # Column names of the flat table and the paths they show.
@@ -77,8 +78,27 @@ def explode_events(notes: DataFrame, value: str, event: str = "event") -> DataFr
     return notes.select("*", F.explode_outer(events).alias(event))
 
 
+def _fields(*names: str, **lists: Node) -> Node:
+    return Node("object", props={name: lists.get(name, text()) for name in names})
+
+
+#: Declared keys of the records in list columns, in order; other keys follow them.
+LISTS = {
+    "accion.formatos_complementarios": _fields("cita_textual", "valor_textual", "categoria", "subtipo_textual", "razonamiento"),
+    "sujetos": _fields("sujeto_id", "nombre_textual", "categoria", "cita_textual", "organizaciones", organizaciones=listing(
+        _fields("organizacion_id", "nombre_textual", "categoria", "cita_textual", "razonamiento"))),
+    "motivos": _fields("motivo_id", "texto"),
+    "demandas": _fields("demanda_id", "descripcion_textual", "categoria", "dirigida_a_contra_ids", "motivo_ids",
+                        dirigida_a_contra_ids=listing(text()), motivo_ids=listing(text())),
+    "contra_quien": _fields("contra_id", "nombre_textual", "categoria", "nivel_institucional", "cita_textual", "razonamiento"),
+    "lugares": _fields("lugar_id", "nombre_textual", "categoria", "rol_en_evento", "localidad", "provincia", "pais", "direccion_o_referencia"),
+}
+
+
 def _cell(variant: str, path: str) -> Column:
-    return list_at(variant, path[:-2]) if path.endswith("[]") else scalar_at(variant, path)
+    if path.endswith("[]"):
+        return list_at(variant, path[:-2], LISTS.get(path[:-2]))
+    return scalar_at(variant, path)
 
 
 def wide_columns(note: str, event: str) -> list[Column]:

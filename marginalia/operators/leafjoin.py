@@ -7,7 +7,7 @@ kinds may meet at one path.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from marginalia.operators.walk import leaf_json, walk
 from marginalia.session import materialize
@@ -38,19 +38,18 @@ def leaf_pairs(gold: DataFrame, gold_value: str, pred: DataFrame, pred_value: st
     )
     joined = pairs.join(kinds, (F.col(key) == F.col("__k")) & (F.col("parent") == F.col("__p")), "left").drop("__k", "__p")
     # a list against a record at one path: nothing below the record takes part
-    clash = pairs.where(
-        (F.col("gold_type") == "array") & (F.col("pred_type") == "object")
-        | (F.col("gold_type") == "object") & (F.col("pred_type") == "array")
-    ).select(F.col(key).alias("__k"), F.col("path").alias("__at"), (F.col("gold_type") == "object").alias("__gold_record"))
-    below = (
-        (F.col(key) == F.col("__k"))
-        & ((F.col("__at") == "") | F.col("path").startswith(F.concat("__at", F.lit("."))))
-        & (F.col("path") != F.col("__at"))
-        & (F.col("__gold_record") == F.col("gold_type").isNotNull())
+    clash = (F.col("gold_type") == "array") & (F.col("pred_type") == "object") | (F.col("gold_type") == "object") & (F.col("pred_type") == "array")
+    # in this order all paths below a path follow it at once, so the last clash passed is the only one that can enclose a path
+    order = F.translate("path", ".[", "\u0001\u0002")
+    passed = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    swept = joined.withColumn("__clash", F.last(F.when(clash, F.struct(F.col("path").alias("at"), (F.col("gold_type") == "object").alias("gold_record"))), ignorenulls=True).over(passed))
+    at = F.col("__clash.at")
+    inside = (
+        F.when(at == "", ~F.col("path").startswith("[")).otherwise(F.col("path").startswith(F.concat(at, F.lit("."))))
+        & (F.col("__clash.gold_record") == F.col("gold_type").isNotNull())
         & (F.col("gold_type").isNull() | F.col("pred_type").isNull())
-        & ((F.col("__at") != "") | ~F.col("path").startswith("["))
     )
-    return joined.join(clash, below, "left_anti")
+    return swept.where(~F.coalesce(inside, F.lit(False))).drop("__clash")
 
 
 def _leaf(side: str):

@@ -51,6 +51,28 @@ def general(df):
     return {r.k: r for r in leaf_counts(leaf_pairs(df, "gv", df, "pv", "k"), "k").collect()}
 
 
+def test_records_inside_a_clash_take_no_part(spark):
+    """Only what lies below the clashing record goes: a key that begins alike, lists and other notes stay."""
+    cases = [
+        ({"a": {"x": 1, "y": [1, {"z": 2}]}, "a-b": 1, "ab": {"x": 3}}, {"a": [7, {"x": 8}], "a-b": 1, "ab": {"x": 3}}),
+        ({"x": 1, "y": {"z": 2}}, [1, {"x": 2}]),
+        ([1], {"q": {"r": 1}}),
+        ({"l": [{"m": {"n": 1}}, {"m": [1]}], "k": 1}, {"l": [{"m": [2]}, {"m": {"n": 2}}], "k": 1}),
+    ]
+    df = variants(spark, [(json.dumps(g), json.dumps(p), None) for g, p in cases])
+    kept = {}
+    for r in leaf_pairs(df, "gv", df, "pv", "k").where("gold_type NOT IN ('object', 'array') OR pred_type NOT IN ('object', 'array')").collect():
+        kept.setdefault(r.k, set()).add(r.path)
+    assert kept == {0: {"a[0]", "a[1].x", "a-b", "ab.x"}, 1: {"[0]", "[1].x"}, 2: {"[0]"}, 3: {"l[0].m[0]", "l[1].m[0]", "k"}}
+
+
+def test_a_large_note_with_many_clashes(spark):
+    gold = {f"k{i}": {"x": i, "y": i} if i % 10 == 0 else i for i in range(20_000)}
+    pred = {f"k{i}": [i] if i % 10 == 0 else i for i in range(20_000)}
+    counts = general(variants(spark, [(json.dumps(gold), json.dumps(pred), None)]))[0]
+    assert (counts.tp, counts.fp, counts.fn) == (18_000, 2_000, 0)
+
+
 def test_general_f1_cases(spark):
     found = general(variants(spark, F1_CASES))
     for i, (gold, pred, expected) in enumerate(F1_CASES):

@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions import text as X
+from marginalia import schema as S
+from marginalia.functions import render, text as X
 from marginalia.functions.variants import default_value, schema_valid
 from marginalia.operators import contract, export, project as P, rules as R, walk as W
 from marginalia.schema import TARGET, from_json_schema, record, required_paths, text, walk_schema
@@ -50,10 +51,40 @@ def test_walk_paths_and_pointers(spark):
     assert {(r.k, r.path, r.value) for r in leaves} == {(0, "a/b.c~[0]", "1"), (0, "a/b.c~[1].d", None), (1, "<root>", "5")}
 
 
-def test_walk_fails_on_deeper_nesting(spark):
-    deep = json.loads("[" * 20 + "]" * 20)
-    with pytest.raises(Exception, match="nesting deeper"):
-        W.walk(frame(spark, deep), "v", ["k"]).collect()
+@pytest.mark.parametrize("levels", [40, 900])
+def test_walk_goes_to_any_depth(spark, levels):
+    deep = "x"
+    for k in range(levels):
+        deep = {"a": deep} if k % 2 else [deep]
+    df = frame(spark, deep)
+    nodes = W.walk(df, "v", ["k"]).collect()
+    assert len(nodes) == levels + 1
+    leaf = W.pointer_leaves(df, "v", ["k"]).collect()
+    assert [(r.type, r.value, r.pointer) for r in leaf] == [("string", "x", "/a/0" * (levels // 2))]
+    assert W.flatten_leaves(df, "v", ["k"]).first().path == ".".join(["a[0]"] * (levels // 2))
+
+
+def test_walk_of_values_keeps_types_and_texts(spark):
+    doc = {"i": 1234567890123456789, "d": 1.50, "w": 2.0, "e": 1e300, "t": True, "n": None, "s": "q\"u\\o\nte", "": {"": []}, "u": "ñ/~"}
+    found = {r.pointer: r for r in W.walk(frame(spark, doc), "v", []).collect()}
+    assert {p: (found[p].type, found[p].value) for p in ("/i", "/t", "/n", "/s", "/u")} == {
+        "/i": ("integer", "1234567890123456789"), "/t": ("boolean", "true"), "/n": ("null", None), "/s": ("string", doc["s"]), "/u": ("string", "ñ/~")}
+    assert found["/d"].type == "number" and float(found["/d"].value) == 1.5 and found["/w"].type == "integer" and found["/e"].type == "integer"
+    assert found["//"].type == "array" and found["/"].keys == [""] and found["//"].size == 0
+    wanted = W.walk(frame(spark, doc), "v", [], ("pointer",), patterns=["/s", "/none"]).collect()
+    assert [r.pointer for r in wanted] == ["/s"]
+
+
+def test_flat_text_of_any_depth(spark):
+    node = S.listing(S.Node("object", props={"b": S.text(), "a": S.listing(S.Node("object", props={"z": S.text(), "y": S.text()}))}))
+    value = [{"a": [{"y": 1, "z": None, "x": [[True], []]}], "c": {"k": {"l": {"m": [1.5, "t"]}}}, "b": "first"}, 5, None]
+    text = json.dumps(value)
+    rows = spark.createDataFrame([(text,), (None,), ("[]",), ("[" * 500 + "7" + "]" * 500,)], "t string")
+    got = [r[0] for r in rows.select(render.flatten_json(F.col("t"), node)).collect()]
+    assert got == ["b=first | a=z= | y=1 | x=true ;  | c=k=l=m=1.5 ; t ; 5 ; ", "", "", "7"]
+    assert rows.limit(1).select(render.flatten_json(F.col("t"))).first()[0].startswith("a=y=1 | z= | x=true ;  | c=")
+    listed = frame(spark, {"p": value, "q": "no list"}).select(render.list_at("v", "p", node), render.list_at("v", "q"), render.list_at("v", "r")).first()
+    assert listed[0].startswith("b=first | a=z= | y=1") and listed[1:] == ("", "")
 
 
 def test_one_finding_per_keyword(spark):
