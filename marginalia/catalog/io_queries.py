@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from marginalia.catalog import corpus as C
 from marginalia.catalog.registry import query
 from marginalia.catalog.walk_queries import gold, source, tree
 from marginalia.functions import render
 from marginalia.functions.paths import leaf_node
-from marginalia.operators import export, ingest as I
+from marginalia.operators import export, ingest as I, select as SEL
 from marginalia.operators.project import typed
-from marginalia.schema import EVENTS, TARGET
+from marginalia.schema import DATE_PATTERN, EVENTS, TARGET, Node, choice, listing, record, text, whole
 from marginalia.session import ensure_checkpoint_dir, materialize, once
 from marginalia.sources import readers as R, writers as W
 from marginalia.streaming.incremental import incremental_ingest, remaining
@@ -27,19 +27,17 @@ def scratch(spark) -> str:
 # --- readers and writers --------------------------------------------------------------
 
 
-@query("scan_csv_encoding", """SELECT encoding, cell, count(*) AS n, sum(length(body))::BIGINT AS chars, min(row_index) AS low, max(row_index) AS high FROM (
-    SELECT e.encoding, 'año ' || lang AS cell, 'a"b,' || chr(10) || source AS body, 0 AS row_index FROM documents, (VALUES ('latin1'), ('utf8')) e(encoding)) GROUP BY encoding, cell"""
-       .replace(", min(row_index) AS low, max(row_index) AS high", "").replace(", 0 AS row_index", ""))
+@query("scan_csv_encoding", """SELECT encoding, row_number() OVER (PARTITION BY encoding ORDER BY doc_id) - 1 AS row_index, 'año ' || lang AS cell, length(body) AS chars, md5(body) AS digest
+    FROM (SELECT e.encoding, doc_id, lang, CASE e.encoding WHEN 'utf8' THEN '"' || text || '",' || chr(10) || source ELSE source || chr(10) || '"' || doc_id || '",' END AS body FROM documents, (VALUES ('latin1'), ('utf8')) e(encoding))""")
 def _(spark, sf):
-    docs = C.table(spark, sf, "documents").select(
-        F.concat(F.lit("año "), "lang").alias("cell"), F.concat(F.lit('a"b,\n'), "source").alias("body")
-    )
+    docs = C.table(spark, sf, "documents").orderBy("doc_id")
+    bodies = {"utf8": F.concat(F.lit('"'), "text", F.lit('",\n'), "source"), "latin1": F.concat("source", F.lit('\n"'), "doc_id", F.lit('",'))}
     found = []
     for name, encoding in (("latin1", "ISO-8859-1"), ("utf8", "UTF-8")):
         path = scratch(spark)
-        docs.write.csv(path, header=True, encoding=encoding, escape='"', quoteAll=True)
-        found.append(R.scan_csv(spark, path).select(F.lit(name).alias("encoding"), "cell", "body"))
-    return found[0].unionByName(found[1]).groupBy("encoding", "cell").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars"))
+        docs.select(F.concat(F.lit("año "), "lang").alias("cell"), bodies[name].alias("body")).write.csv(path, header=True, encoding=encoding, escape='"', quoteAll=True)
+        found.append(R.scan_csv(spark, path).select(F.lit(name).alias("encoding"), "row_index", "cell", F.length("body").alias("chars"), F.md5("body").alias("digest")))
+    return found[0].unionByName(found[1])
 
 
 def _event_lines(spark, sf) -> str:
@@ -49,7 +47,7 @@ def _event_lines(spark, sf) -> str:
         "CASE event_id % 10 WHEN 0 THEN '  ' WHEN 1 THEN '{broken' ELSE concat(' ', to_json(named_struct('id', event_id, "
         "'type', event_type, 'user', user_id)), ' ') END"
     )
-    C.table(spark, sf, "events").select(line.alias("value")).repartition(4).write.text(path)
+    C.table(spark, sf, "events").orderBy("event_id").select(line.alias("value")).write.text(path)
     return path
 
 
@@ -64,18 +62,10 @@ def _(spark, sf):
     return rows.groupBy(kind.alias("type")).agg(F.count("*").alias("n"), F.sum(number).alias("ids"))
 
 
-@query("scan_line_numbers", """SELECT count(*) AS lines, true AS unique_numbers, count(*) AS physical FROM events""".replace(
-    "count(*) AS lines", "count(*) FILTER (event_id % 10 > 0) AS lines"))
+@query("scan_line_numbers", """SELECT event_id AS id, count(*) OVER (ORDER BY event_id) AS line_no FROM events QUALIFY event_id % 10 > 1""")
 def _(spark, sf):
-    path = _event_lines(spark, sf)
-    raw = R.number_rows(spark.read.text(path).select("value", "_metadata"))
-    kept = raw.select(F.col("_metadata.file_path").alias("f"), "line_no", (F.trim("value") != "").alias("text"))
-    per_file = kept.groupBy("f").agg(
-        F.count_if("text").alias("lines"), F.count("*").alias("n"), F.min("line_no").alias("low"), F.max("line_no").alias("high"),
-        F.sum("line_no").alias("total"),
-    )
-    fine = (F.col("low") == 1) & (F.col("high") == F.col("n")) & (F.col("total") * 2 == F.col("n") * (F.col("n") + 1))
-    return per_file.agg(F.sum("lines").alias("lines"), F.min(fine).alias("unique_numbers"), F.sum("n").alias("physical"))
+    good, _ = R.scan_jsonl_tolerant(spark, _event_lines(spark, sf), per_file=False)
+    return good.select(F.expr("try_variant_get(v, '$.id', 'bigint')").alias("id"), "line_no")
 
 
 @query("scan_jsonl_tolerant", """SELECT count(*) FILTER (event_id % 10 > 1) AS readable, count(*) FILTER (event_id % 10 = 1) AS broken,
@@ -91,10 +81,10 @@ def _(spark, sf):
 @query("scan_manifest", """SELECT count(*) AS n, sum(event_id)::BIGINT AS last_events, count(*) FILTER (event_id % 2 = 0) AS default_dates FROM (
     SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id)""")
 def _(spark, sf):
-    events = C.table(spark, sf, "events").select(
-        F.expr("try_parse_json(to_json(named_struct('custom_id', concat('u', user_id), 'row_index', event_id, "
-               "'fecha', CASE WHEN event_id % 2 = 1 THEN '1990-01-05' END)))").alias("v"), F.col("event_id").alias("line_no"))
-    rows = R.manifest_rows(events)
+    path = scratch(spark)
+    line = F.expr("to_json(named_struct('custom_id', concat('u', user_id), 'row_index', event_id, 'fecha', CASE WHEN event_id % 2 = 1 THEN '1990-01-05' END))")
+    C.table(spark, sf, "events").orderBy("event_id").select(F.explode(F.array(line, F.lit(""))).alias("value")).write.text(path)
+    rows = R.scan_manifest(spark, path)
     return rows.agg(
         F.count("*").alias("n"), F.sum("row_index").alias("last_events"), F.count_if(F.col("fecha") == "S/D").alias("default_dates")
     )
@@ -106,7 +96,9 @@ def _(spark, sf):
         F.struct(F.lit("user").alias("role"), F.lit("x").alias("content")),
         F.struct(F.lit("assistant").alias("role"), F.col("gold_json").alias("content")),
     ).alias("messages")))
-    rows = R.gold_rows(once(C.gold_notes(spark, sf).select(line.alias("line")), v=F.try_parse_json("line")))
+    path = scratch(spark)
+    C.gold_notes(spark, sf).select(line.alias("value")).write.text(path)
+    rows = R.scan_gold(spark, path)
     return rows.select(
         F.expr("try_variant_get(gold, '$.nota.nota_id', 'string')").alias("nota_id"),
         F.expr("CAST(size(try_variant_get(gold, '$.extraccion.eventos_protesta', 'array<variant>')) AS BIGINT)").alias("events"),
@@ -149,20 +141,6 @@ def _(spark, sf):
     return back.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("custkeys"))
 
 
-@query("sink_request_shards", """SELECT count(*) AS rows, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes, true AS within_cap, true AS in_order FROM documents""")
-def _(spark, sf):
-    cap = 400_000
-    docs = C.table(spark, sf, "documents").select("doc_id", "text")
-    sharded = W.shard_ids(docs, "text", "doc_id", cap)
-    per_shard = sharded.groupBy("shard").agg(
-        F.count("*").alias("rows"), F.sum("bytes").alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
-    )
-    return per_shard.agg(
-        F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.min(F.col("bytes") <= cap).alias("within_cap"),
-        (F.sum(F.col("high") - F.col("low") + 1) == F.sum("rows")).alias("in_order"),
-    )
-
-
 REQUEST_SQL = """concat('{"custom_id":"doc_', doc_id, '","method":"POST","url":"/v1/responses","body":{"model":"m","input":[{"role":"system","content":"s"},',
     '{"role":"user","content":', to_json('FECHA DE EDICIÓN DE LA NOTA: 05/01/1990' || chr(10) || chr(10) || text), '}],"reasoning":{"effort":"medium"},"text":{"format":',
     '{"type":"json_schema","name":"n","schema":{"type":"object"},"strict":true},"verbosity":"low"},"max_output_tokens":16000', {key}, '}}')"""
@@ -176,6 +154,60 @@ def requests(spark, sf, cache_key=""):
     return notes.withColumn("line", F.to_json(I.request_struct("s", '{"type":"object"}', "m", "n", cache_key=cache_key)))
 
 
+SHARD_SQL = f"""sized AS (SELECT doc_id, value, octet_length(encode(value)) + 1 AS b FROM requests),
+placed AS (SELECT *, CAST((sum(b) OVER (ORDER BY doc_id) - b) // greatest(1, {{cap}} - max(b) OVER ()) AS BIGINT) AS shard FROM sized)
+    SELECT shard, count(*) AS lines, sum(b)::BIGINT AS bytes, min(md5(value)) AS low, max(md5(value)) AS high, true AS in_order FROM placed GROUP BY shard"""
+
+
+def shard_summary(spark, path: str, key: str):
+    """Shards as they were written: lines, bytes, digests of lines, and whether each is one file in row order."""
+    back = spark.read.text(path).select("shard", "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    number = F.regexp_extract("value", key, 1).cast("long")
+    after = F.lag(number).over(Window.partitionBy("shard", "file").orderBy("at"))
+    rows = back.withColumn("rising", F.coalesce(after < number, F.lit(True)))
+    return rows.groupBy("shard").agg(
+        F.count("*").alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.min(F.md5("value")).alias("low"),
+        F.max(F.md5("value")).alias("high"), (F.min("rising") & (F.count_distinct("file") == 1)).alias("in_order"),
+    ).select(F.col("shard").cast("long"), "lines", "bytes", "low", "high", "in_order")
+
+
+@query("sink_request_shards", "WITH requests AS (SELECT doc_id, " + REQUEST_SQL.replace("{key}", "''") + " AS value FROM documents), " + SHARD_SQL.format(cap=400_000))
+def _(spark, sf):
+    path = scratch(spark)
+    W.sink_request_shards(requests(spark, sf), path, "line", "row_index", 400_000)
+    return shard_summary(spark, path, r'"custom_id":"doc_(\d+)"')
+
+
+# prepare: notes of a CSV whose cells span lines, some answered before, to request shards and a manifest
+PREPARE_SQL = """WITH notes AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents),
+kept AS (SELECT doc_id, row_index, text FROM notes JOIN documents USING (doc_id) WHERE row_index >= 10 AND doc_id % 4 <> 1),
+requests AS (SELECT doc_id, concat('{"custom_id":"doc_', doc_id, '","fecha":"', lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0'), '/02/1990","texto":',
+  to_json(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '}') AS value FROM kept), """
+
+
+@query("prepare_flow", PREPARE_SQL + SHARD_SQL.format(cap=500_000).replace("true AS in_order", "true AS in_order, (SELECT count(*) FROM kept) AS manifest_rows, (SELECT sum(row_index)::BIGINT FROM kept) AS row_indexes"))
+def _(spark, sf):
+    base = scratch(spark)
+    notes = C.table(spark, sf, "documents").select(
+        F.concat(F.lit("doc_"), "doc_id").alias("id"), F.concat(F.lit(" "), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit("/02/1990")).alias("date"),
+        F.col("text").alias("body"), "doc_id")
+    notes.orderBy("doc_id").drop("doc_id").write.csv(f"{base}/notes", header=True, escape='"', quoteAll=True)
+    earlier = notes.where("doc_id % 4 = 1").select(F.concat(F.lit('{"nota":{"nota_id":"'), "id", F.lit('"}}')).alias("value"))
+    earlier.write.text(f"{base}/done")
+
+    done = R.processed_ids(R.scan_jsonl(spark, f"{base}/done"))
+    rows = R.note_table(SEL.require_columns(R.scan_csv(spark, f"{base}/notes"), ["id", "date", "body"]), "id", "date", "body")
+    chosen = SEL.select_rows(rows, "txt_file", "row_index", start=10, done=done, dense=True)
+    checked = materialize(SEL.enforce(SEL.row_contract(chosen, "txt_file", "fecha", "texto")))
+    line = F.to_json(F.struct(F.col("txt_file").alias("custom_id"), "fecha", "texto"))
+    W.sink_request_shards(checked.withColumn("line", line), f"{base}/requests", "line", "row_index", 500_000)
+    W.sink_jsonl(checked.select(*I.manifest_columns(True)), f"{base}/manifest")
+
+    manifest = R.scan_manifest(spark, f"{base}/manifest").agg(F.count("*").alias("n"), F.sum("row_index").alias("s")).first()
+    return shard_summary(spark, f"{base}/requests", r'"custom_id":"doc_(\d+)"').withColumns(
+        {"manifest_rows": F.lit(manifest.n), "row_indexes": F.lit(manifest.s)})
+
+
 @query("request_struct", f"""SELECT count(*) AS n, sum(length(a))::BIGINT AS chars, min(md5(a)) AS low, max(md5(a)) AS high, sum(length(b) - length(a))::BIGINT AS key_chars FROM (
     SELECT {REQUEST_SQL.replace('{key}', "''")} AS a, {REQUEST_SQL.replace('{key}', chr(39) + ',"prompt_cache_key":"k"' + chr(39))} AS b FROM documents)""")
 def _(spark, sf):
@@ -203,12 +235,35 @@ CASES_SQL = """(VALUES (2, 'JSONDecodeError', 'line is not JSON'), (3, 'RuntimeE
     (5, 'RuntimeError', 'HTTP 500'), (6, 'RuntimeError', 'response not completed'), (7, 'RuntimeError', 'request refused'),
     (8, 'RuntimeError', 'no output text in response body'), (9, 'JSONDecodeError', 'answer is not JSON'),
     (10, 'RuntimeError', 'answer is not a JSON object'), (12, 'ValidationError', 'record breaks the schema')) c(c, error_type, error)"""
+# case 12 breaks one rule of the schema of answers, by 13 * the case: what the title is replaced by, and the rule
+BREAKS = (
+    ('"otro":"', "required titulo at /nota"), ('"titulo":5,"otro":"', "type at /nota/titulo"),
+    ('"idioma":"xx","titulo":"', "enum at /nota/idioma"), ('"formato":"pdf","titulo":"', "const at /nota/formato"),
+    ('"codigo":"1","titulo":"', "pattern at /nota/codigo"), ('"paginas":0,"titulo":"', "minimum at /nota/paginas"),
+    ('"autores":[],"titulo":"', "minItems at /nota/autores"), ('"autores":["a",null],"titulo":"', "type at /nota/autores/*"),
+    ('"origen":{"medio":"m","x":1},"titulo":"', "additionalProperties at /nota/origen"),
+)
+BREAK_CASE = f"CASE doc_id % {13 * len(BREAKS)} - doc_id % 13 " + " ".join(
+    f"WHEN {13 * k} THEN {{{k}}}" for k in range(len(BREAKS))) + " END"
+BROKEN = "replace(gold_json, '\"titulo\":\"', " + BREAK_CASE.format(*[f"'{text}'" for text, _ in BREAKS]) + ")"
+
+
+def answer_schema() -> Node:
+    """The schema of answers: open records whose declared keys have rules, over the events of the target schema."""
+    opened = lambda required, **props: Node("object", props=props, required=required)
+    nota = opened(
+        ("titulo",), nota_id=text(), fecha_publicacion=text(DATE_PATTERN), titulo=text(), idioma=choice("es", "pt"),
+        formato=Node("string", const="texto"), codigo=text("^[A-Z]"), paginas=whole(1), autores=listing(text(), 1), origen=record(medio=text()))
+    extraccion = TARGET.props["extraccion"].props
+    return opened(
+        ("schema_version", "nota", "extraccion"), schema_version=text(), nota=nota,
+        metadatos_extraccion=opened(("modelo",), modelo=text()), extraccion=opened(tuple(extraccion), **extraccion))
 
 
 def envelopes(spark, sf):
     """``line_no, line`` with every way a response can fail; case 11 answers twice."""
     inner = (
-        "CASE c WHEN 9 THEN 'no json' WHEN 10 THEN '[1]' WHEN 12 THEN replace(gold_json, '\"titulo\"', '\"otro\"') "
+        f"CASE c WHEN 9 THEN 'no json' WHEN 10 THEN '[1]' WHEN 12 THEN {BROKEN} "
         "WHEN 8 THEN '  ' WHEN 7 THEN NULL WHEN 1 THEN NULL ELSE gold_json END"
     )
     part = "named_struct('type', {t}, 'text', {x}, 'refusal', {r})"
@@ -244,21 +299,18 @@ def manifest(spark, sf):
     )
 
 
-HAS_TITLE = "try_variant_get(record, '$.nota.titulo', 'string') IS NOT NULL"
 SETTINGS = {"model": "m", "prompt_version": "p", "remarks": "r", "day": "2026-01-02"}
 
 
 def classified(spark, sf):
-    return I.classify(R.parse_lines(envelopes(spark, sf)), manifest(spark, sf), F.expr(HAS_TITLE), **SETTINGS)
-
-
-def _kind(error: str = "error"):
-    return F.split(error, ":")[0].alias("error")
+    return I.classify(R.parse_lines(envelopes(spark, sf)), manifest(spark, sf), answer_schema(), **SETTINGS)
 
 
-@query("ingest_errors", f"SELECT error_type, error, count(*) AS n, sum(doc_id * 2)::BIGINT AS lines FROM documents JOIN {CASES_SQL} ON doc_id % 13 = c GROUP BY ALL")
+@query("ingest_errors", f"""SELECT error_type, CASE WHEN c = 12 THEN error || ': ' || {BREAK_CASE.format(*[f"'{rule}'" for _, rule in BREAKS])} ELSE error END AS error,
+    count(*) AS n, sum(doc_id * 2)::BIGINT AS lines FROM documents JOIN {CASES_SQL} ON doc_id % 13 = c GROUP BY ALL""")
 def _(spark, sf):
-    return I.line_errors(classified(spark, sf)).groupBy("error_type", _kind()).agg(F.count("*").alias("n"), F.sum("line_no").alias("lines"))
+    said = F.when(F.col("error_type") == I.INVALID, F.col("error")).otherwise(F.split("error", ":")[0]).alias("error")
+    return I.line_errors(classified(spark, sf)).groupBy("error_type", said).agg(F.count("*").alias("n"), F.sum("line_no").alias("lines"))
 
 
 @query("ingest_dedupe", f"""SELECT 'doc_' || doc_id AS custom_id, doc_id * 2 + CASE WHEN doc_id % 13 = 11 THEN 1 ELSE 0 END AS line_no FROM documents WHERE doc_id % 13 IN {GOOD}""")
@@ -268,9 +320,7 @@ def _(spark, sf):
 
 @query("join_response_manifest", """SELECT doc_id % 13 NOT IN (2, 3) AS known, count(*) + count(*) FILTER (doc_id % 13 = 11) AS n FROM documents GROUP BY 1""")
 def _(spark, sf):
-    read = R.parse_lines(envelopes(spark, sf)).select(F.expr("try_variant_get(v, '$.custom_id', 'string')").alias("custom_id"))
-    joined = read.join(manifest(spark, sf).select("custom_id", "row_index"), "custom_id", "left")
-    return joined.groupBy(F.col("row_index").isNotNull().alias("known")).agg(F.count("*").alias("n"))
+    return classified(spark, sf).groupBy(F.col("row_index").isNotNull().alias("known")).agg(F.count("*").alias("n"))
 
 
 @query("missing_outputs", f"SELECT count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents WHERE doc_id % 13 NOT IN {GOOD}")
@@ -290,6 +340,13 @@ def _(spark, sf):
     return I.usage_totals(I.successes(classified(spark, sf)))
 
 
+@query("usage_per_id", f"""SELECT 'doc_' || doc_id AS custom_id, doc_id AS row_index, doc_id + CASE WHEN doc_id % 13 = 11 THEN 1 ELSE 0 END AS input_tokens,
+    CASE WHEN doc_id % 13 = 1 THEN 5 ELSE 7 END AS output_tokens, doc_id + CASE doc_id % 13 WHEN 11 THEN 8 WHEN 1 THEN 5 ELSE 7 END AS total_tokens,
+    CASE WHEN doc_id % 13 = 1 THEN 2 ELSE 3 END AS cached_input_tokens FROM documents WHERE doc_id % 13 IN {GOOD}""")
+def _(spark, sf):
+    return I.usage_per_id(I.successes(classified(spark, sf)))
+
+
 def _bodies(spark, sf):
     rows = R.parse_lines(envelopes(spark, sf))
     return once(rows, body=F.expr("try_variant_get(v, '$.response.body', 'variant')"))
@@ -305,8 +362,8 @@ def _(spark, sf):
     )
 
 
-@query("response_text", C.with_notes(C.GOLD_SQL) + """ SELECT coalesce(CASE c WHEN 2 THEN 'no output text in response body' WHEN 6 THEN 'response not completed' WHEN 7 THEN 'request refused' WHEN 8 THEN 'no output text in response body' END, 'ok') AS outcome,
-    sum(CASE WHEN c = 11 THEN 2 ELSE 1 END)::BIGINT AS n, coalesce(sum(CASE c WHEN 2 THEN 0 WHEN 6 THEN 0 WHEN 7 THEN 0 WHEN 8 THEN 0 WHEN 9 THEN 7 WHEN 10 THEN 3 WHEN 11 THEN 2 * length(gold_json) WHEN 12 THEN length(replace(gold_json, '"titulo"', '"otro"')) ELSE length(gold_json) END), 0)::BIGINT AS chars
+@query("response_text", C.with_notes(C.GOLD_SQL) + f""" SELECT coalesce(CASE c WHEN 2 THEN 'no output text in response body' WHEN 6 THEN 'response not completed' WHEN 7 THEN 'request refused' WHEN 8 THEN 'no output text in response body' END, 'ok') AS outcome,
+    sum(CASE WHEN c = 11 THEN 2 ELSE 1 END)::BIGINT AS n, coalesce(sum(CASE c WHEN 2 THEN 0 WHEN 6 THEN 0 WHEN 7 THEN 0 WHEN 8 THEN 0 WHEN 9 THEN 7 WHEN 10 THEN 3 WHEN 11 THEN 2 * length(gold_json) WHEN 12 THEN length({BROKEN}) ELSE length(gold_json) END), 0)::BIGINT AS chars
     FROM (SELECT *, doc_id % 13 AS c FROM gold) GROUP BY 1""")
 def _(spark, sf):
     rows = once(_bodies(spark, sf), answer=I.response_text("body"))
@@ -379,7 +436,7 @@ def _(spark, sf):
         # both runs find the files of the first half; only new files are read
         half = lines.where(F.floor(F.col("line_no") / 2) % 2 == part)
         half.select(F.col("line").alias("value")).write.mode("append").text(f"{base}/in")
-        run = incremental_ingest(spark, f"{base}/in", known, f"{base}/out", f"{base}/errors", f"{base}/state", F.expr(HAS_TITLE), **SETTINGS)
+        run = incremental_ingest(spark, f"{base}/in", known, f"{base}/out", f"{base}/errors", f"{base}/state", answer_schema(), **SETTINGS)
         run.awaitTermination()
     written = spark.read.parquet(f"{base}/out").agg(F.count("*").alias("written"))
     errors = spark.read.parquet(f"{base}/errors").agg(F.count("*").alias("errors"))

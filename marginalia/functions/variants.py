@@ -105,6 +105,51 @@ def schema_valid(value: str, node: Node) -> Column:
     return F.expr(f"coalesce({bind(typed, 't', f'({values}) AND {same_shape}')}, false)")
 
 
+def _problems(v: str, node: Node, names: Names, at: str) -> list[str]:
+    """SQL texts that name a broken rule of a present value, or are null; own rules before those below."""
+    said = lambda keyword, where=at: quote(f"{keyword} at {where or '/'}")
+    kind, text, number = names(), as_text(v), f"try_variant_get({v}, '$', 'double')"
+    allowed = [node.kind] + ["integer"] * (node.kind == "number") + ["null"] * node.nullable
+    tests = [(f"{kind} NOT IN ({', '.join(map(quote, allowed))})", "type")]
+    if node.enum:
+        tests.append((f"{kind} <> 'string' OR {text} NOT IN ({', '.join(map(quote, node.enum))})", "enum"))
+    if node.const is not None:
+        tests.append((f"{kind} <> 'string' OR {text} <> {quote(node.const)}", "const"))
+    if node.pattern:
+        tests.append((f"{kind} = 'string' AND NOT {text} RLIKE {quote(node.pattern)}", "pattern"))
+    if node.minimum is not None:
+        tests.append((f"{kind} IN ('integer', 'number') AND {number} < {node.minimum}", "minimum"))
+    if node.min_items:
+        tests.append((f"{kind} = 'array' AND size({items(v)}) < {node.min_items}", "minItems"))
+    for key in node.required:
+        tests.append((f"{kind} = 'object' AND {member(v, key)} IS NULL", f"required {key}"))
+    if node.closed:
+        known = f"array({', '.join(map(quote, node.props))})" if node.props else "CAST(array() AS ARRAY<STRING>)"
+        tests.append((f"{kind} = 'object' AND size(array_except(map_keys({entries(v)}), {known})) > 0", "additionalProperties"))
+    own = "CASE " + " ".join(f"WHEN {test} THEN {said(keyword)}" for test, keyword in tests) + " END"
+    below = []
+    for key, child in node.props.items():
+        c = names()
+        inner = f"coalesce({', '.join(_problems(c, child, names, f'{at}/{key}'))})"
+        below.append(bind(member(v, key), c, f"CASE WHEN {c} IS NOT NULL THEN {inner} END"))
+    if node.item is not None:
+        x = names()
+        inner = f"coalesce({', '.join(_problems(x, node.item, names, f'{at}/*'))})"
+        below.append(f"get(array_compact(transform({items(v)}, {x} -> {inner})), 0)")
+    return [bind(json_type(v), kind, own), *below]
+
+
+def schema_problem(value: str, node: Node) -> Column:
+    """The first broken rule of a VARIANT column, as ``keyword at /path``, or null if it satisfies the schema.
+
+    Unlike ``schema_valid`` this takes open schemas: keys without a rule may be there, and a
+    declared key may be missing where it is not required. A value's own rules come before those
+    of its parts, keys in declared order, list items in list order. SQL NULL breaks the type.
+    """
+    found = f"coalesce({', '.join(_problems(value, node, Names('q'), ''))})"
+    return F.expr(f"CASE WHEN {value} IS NULL THEN 'type at /' ELSE {found} END")
+
+
 # --- projection onto a schema -------------------------------------------------------
 
 

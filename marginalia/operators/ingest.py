@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from marginalia.functions.sqltext import quote
 from marginalia.functions.text import input_text, norm_date
-from marginalia.functions.variants import entries, is_object, items
+from marginalia.functions.variants import entries, is_object, items, schema_problem
 from marginalia.schema import SD, Node
 from marginalia.session import once
 from marginalia.sources.readers import last_per_key
@@ -180,14 +180,15 @@ def stamp_note(
 
 
 def classify(
-    lines: DataFrame, manifest: DataFrame, valid: Column | None = None, model: str = "model", prompt_version: str = "v1",
+    lines: DataFrame, manifest: DataFrame, schema: Node | None = None, model: str = "model", prompt_version: str = "v1",
     remarks: str = "", store_text: bool = False, day: str | None = None,
 ) -> DataFrame:
     """Envelope lines (``line_no, v``) as ``custom_id, line_no, error_type, error, record, usage, row_index``.
 
     The first failing check of a line names its error: JSON, known id, remote error, HTTP
     status, response text, inner JSON, object root, full text (if it is to be stored and the
-    manifest has none), schema. ``valid`` is a boolean column over ``record``. The one shuffle is the join with the manifest.
+    manifest has none), schema. ``schema`` may be open; the error names the first rule that the
+    stamped record breaks. The one shuffle is the join with the manifest.
     """
     known = manifest.select(
         F.col("custom_id").alias("__id"), "row_index", "txt_file", norm_date(F.col("fecha")).alias("__date"), "texto"
@@ -223,8 +224,9 @@ def classify(
     ]
     if store_text:
         checks.append((F.coalesce("texto", F.lit("")) == "", FAILED, F.lit("full text wanted but the manifest stores none")))
-    if valid is not None:
-        checks.append((~F.coalesce(valid, F.lit(False)), INVALID, F.lit("record breaks the schema")))
+    if schema is not None:
+        stamped = once(stamped, broken=F.when(F.col("record").isNotNull(), schema_problem("record", schema)))
+        checks.append((F.col("broken").isNotNull(), INVALID, F.concat(F.lit("record breaks the schema: "), "broken")))
     problem = None
     for test, kind, message in checks:
         found = F.struct(F.lit(kind).alias("error_type"), message.alias("error"))
@@ -234,9 +236,10 @@ def classify(
     )
 
 
-def successes(classified: DataFrame) -> DataFrame:
-    """Successful lines, last line per id."""
-    return last_per_key(classified.where(F.col("error_type").isNull()), "custom_id", "line_no").drop("error_type", "error")
+def successes(classified: DataFrame, first: bool = False) -> DataFrame:
+    """Successful lines: the last line per id, or the first as the incremental run keeps it."""
+    good = classified.where(F.col("error_type").isNull())
+    return last_per_key(good, "custom_id", "line_no", first).drop("error_type", "error")
 
 
 def line_errors(classified: DataFrame) -> DataFrame:
@@ -271,6 +274,11 @@ def usage_totals(good: DataFrame) -> DataFrame:
     )
 
 
+def usage_per_id(good: DataFrame) -> DataFrame:
+    """Usage of every answered id, in manifest order."""
+    return good.select("custom_id", "row_index", *[F.col(f"usage.{u}").alias(u) for u in USAGE]).orderBy("row_index")
+
+
 def ingest_counts(good: DataFrame, errors: DataFrame) -> DataFrame:
     """One row: ``ok, errors, exit_code``."""
     ok = good.agg(F.count("*").alias("ok"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marginalia.functions.text import normalize_cell
-from marginalia.session import broadcast_if_small
+from marginalia.session import broadcast_if_small, materialize
 
 SHORT_LIST = 1000
+#: Rows that one task may sort for a top-k.
+TOP = 10_000
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -20,26 +22,59 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
+def nth_key(df: DataFrame, order: str, n: int) -> tuple[object, int] | None:
+    """The ``n``-th smallest value of ``order`` and how many of the values equal to it are among the first ``n``.
+
+    None if there are fewer than ``n`` rows. For a small ``n`` this is a top-k. Beyond, the keys
+    alone are sorted into ranges; counts per range tell which one holds the place, and only
+    that range is ranked, so no task holds ``n`` keys. Null keys come first, as they sort.
+    """
+    keys = df.select(F.col(order).alias("k"))
+    if n <= TOP:
+        found = keys.orderBy("k").limit(n).groupBy("k").agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()
+        return (found[0].k, found[0].n) if sum(r.n for r in found) == n else None
+    ranges = materialize(keys.groupBy("k").agg(F.count("*").alias("n")).repartitionByRange("k").sortWithinPartitions("k")
+                         .withColumn("range", F.spark_partition_id()))
+    sizes = sorted((r["range"], r.n) for r in ranges.groupBy("range").agg(F.sum("n").alias("n")).collect())  # one row per range
+    before = 0
+    for part, size in sizes:
+        if before + size >= n:
+            break
+        before += size
+    else:
+        return None
+    upto = F.sum("n").over(Window.partitionBy("range").orderBy("k"))
+    held = ranges.where(F.col("range") == part).withColumn("upto", upto + before)
+    row = held.where((F.col("upto") >= n) & (F.col("upto") - F.col("n") < n)).first()
+    return row.k, n - (row.upto - row.n)
+
+
 def slice_offset(df: DataFrame, order: str, start: int, dense: bool = False) -> DataFrame:
     """Rows after the first ``start`` in ``order``.
 
     Where ``order`` is a dense row index (as the readers number rows) this is a plain
-    filter. For any other unique key only the keys of the skipped head are ranked, by a
-    top-k of ``start`` keys; the table itself is neither sorted nor gathered.
+    filter. Any other key must be unique; its ``start``-th value is found and the table itself
+    is neither sorted nor gathered.
     """
     if start <= 0:
         return df
     if dense:
         return df.where(F.col(order) >= start)
-    head = df.select(order).orderBy(order).limit(start)
-    # null, and so no row, where the table has no more than the skipped head
-    last_skipped = head.agg(F.when(F.count("*") == start, F.max(order)))
-    return df.where(F.col(order) > last_skipped.scalar())
+    found = nth_key(df, order, start)
+    return df.limit(0) if found is None else df.where(F.col(order) > F.lit(found[0]).cast(df.schema[order].dataType))
 
 
 def limit_rows(df: DataFrame, order: str, n: int) -> DataFrame:
-    """First ``n`` rows in ``order``."""
-    return df.orderBy(order).limit(n)
+    """First ``n`` rows in ``order``, as a set; of rows that share the last key as many as fit."""
+    if n <= TOP:
+        return df.orderBy(order).limit(n)
+    found = nth_key(df, order, n)
+    if found is None:
+        return df
+    key, fitting = F.lit(found[0]).cast(df.schema[order].dataType), found[1]
+    last = df.where(F.col(order).eqNullSafe(key))
+    below = df.where(F.col(order).isNull() if found[0] is None else F.col(order).isNull() | (F.col(order) < key))
+    return (df.limit(0) if found[0] is None else below).unionByName(last.limit(fitting))
 
 
 def filter_ids(df: DataFrame, key: str, ids: Sequence[str] | DataFrame) -> DataFrame:
@@ -60,10 +95,10 @@ def skip_processed(df: DataFrame, key: str, done: DataFrame, done_key: str) -> D
 
 def select_rows(
     df: DataFrame, key: str, order: str, start: int = 0, ids: Sequence[str] | DataFrame | None = None,
-    done: DataFrame | None = None, done_key: str = "nota_id", limit: int | None = None,
+    done: DataFrame | None = None, done_key: str = "nota_id", limit: int | None = None, dense: bool = False,
 ) -> DataFrame:
-    """Offset, id list, resume filter and limit, in this order."""
-    df = slice_offset(df, order, start)
+    """Offset, id list, resume filter and limit, in this order; ``dense`` tells that ``order`` is a dense row index."""
+    df = slice_offset(df, order, start, dense)
     if ids is not None:
         df = filter_ids(df, key, ids)
     if done is not None:

@@ -6,7 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marginalia.session import broadcast_if_small
+from marginalia.session import broadcast_if_small, materialize
 
 # Request file limit and the columns of the error tables.
 MAX_SHARD_BYTES = 200 * 1024 * 1024
@@ -46,35 +46,49 @@ def sink_wide_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "err
     writer.format(fmt).save(path)
 
 
-def shard_ids(lines: DataFrame, line: str, order: str, cap: int = MAX_SHARD_BYTES) -> DataFrame:
-    """Adds ``shard`` so that no shard file exceeds ``cap`` bytes, in row order.
+def _block(order: str) -> Column:
+    return F.floor(F.col(order) / BLOCK_ROWS).cast("long")
+
+
+def shard_borders(lines: DataFrame, line: str, order: str, cap: int) -> DataFrame:
+    """``__block, __cuts``: per block of rows, where in ``order`` each of its shards begins.
 
-    A row's shard follows from the bytes before it: with shards of ``cap`` minus the largest
-    row, the row that crosses a border still fits. ``order`` is the dense row index. Byte
-    counts are summed per block of rows first, so the running sums never run over the whole
-    table in one task. A single row above the cap fails the job.
+    Sums run on two levels, over blocks and inside a block, and only over row numbers and byte
+    counts. A row's shard follows from the bytes before it: with shards of ``cap`` minus the
+    largest row, the row that crosses a border still fits.
     """
-    sized = lines.withColumn("__bytes", (F.octet_length(line) + 1).cast("long")).withColumn(
-        "__block", F.floor(F.col(order) / BLOCK_ROWS).cast("long")
-    )
-    blocks = sized.groupBy("__block").agg(F.sum("__bytes").alias("__sum"), F.max("__bytes").alias("__max"))
+    sized = lines.select(_block(order).alias("__block"), F.col(order).alias("__at"), (F.octet_length(line) + 1).cast("long").alias("__bytes"))
+    blocks = materialize(sized.groupBy("__block").agg(F.sum("__bytes").alias("__sum"), F.max("__bytes").alias("__max")))
+    largest = blocks.agg(F.max("__max")).first()[0] or 0
+    if largest > cap:
+        raise ValueError(f"a single row exceeds {cap} bytes")
     earlier = Window.partitionBy(F.lit(0)).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        "__block", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"),
-        F.max("__max").over(Window.partitionBy(F.lit(0))).alias("__largest"),
-    )
-    inside = Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    room = F.lit(cap) - F.col("__largest")
+    offsets = blocks.select("__block", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("__before") + F.coalesce(F.sum("__bytes").over(inside), F.lit(0))
-    too_big = F.raise_error(F.lit(f"a single row exceeds {cap} bytes")).cast("long")
-    shard = F.when(F.col("__largest") > cap, too_big).otherwise(F.floor(start / F.greatest(room, F.lit(1))).cast("long"))
-    return sized.join(broadcast_if_small(offsets, MAX_BLOCKS), "__block").withColumn("shard", shard).drop(
-        "__block", "__before", "__largest"
-    ).withColumnRenamed("__bytes", "bytes")
+    placed = sized.join(broadcast_if_small(offsets, MAX_BLOCKS), "__block").withColumn("shard", F.floor(start / max(cap - largest, 1)).cast("long"))
+    cuts = placed.groupBy("__block", "shard").agg(F.min("__at").alias("low"))
+    return cuts.groupBy("__block").agg(F.sort_array(F.collect_list(F.struct("low", "shard"))).alias("__cuts"))
+
+
+def shard_ids(lines: DataFrame, line: str, order: str, cap: int = MAX_SHARD_BYTES) -> DataFrame:
+    """Adds ``shard`` and ``bytes`` so that no shard file exceeds ``cap`` bytes, in row order.
+
+    ``order`` is the dense row index. The lines themselves are not shuffled: each looks its
+    shard up among the few that its block of rows has. A single row above the cap is an error.
+    """
+    borders = broadcast_if_small(materialize(shard_borders(lines, line, order, cap)), MAX_BLOCKS)
+    shard = F.expr(f"element_at(filter(__cuts, c -> c.low <= `{order}`), -1).shard")
+    return lines.withColumn("__block", _block(order)).join(borders, "__block").withColumns(
+        {"shard": shard, "bytes": (F.octet_length(line) + 1).cast("long")}).drop("__block", "__cuts")
+
+
+def ordered_shards(lines: DataFrame, line: str, order: str, cap: int = MAX_SHARD_BYTES) -> DataFrame:
+    """``shard, value``, each shard in one partition in row order: the one shuffle of the lines."""
+    sharded = shard_ids(lines, line, order, cap).select("shard", order, F.col(line).alias("value"))
+    return sharded.repartition("shard").sortWithinPartitions("shard", order).select("shard", "value")
 
 
 def sink_request_shards(lines: DataFrame, path: str, line: str, order: str, cap: int = MAX_SHARD_BYTES) -> None:
     """One folder per shard; each shard is written by one task in row order."""
-    sharded = shard_ids(lines, line, order, cap).select("shard", order, F.col(line).alias("value"))
-    ordered = sharded.repartition("shard").sortWithinPartitions("shard", order)
-    ordered.select("shard", "value").write.partitionBy("shard").text(path)
+    ordered_shards(lines, line, order, cap).write.partitionBy("shard").text(path)

@@ -1,11 +1,15 @@
 """Readers, writers, chat contract, ingest and incremental runs on small files."""
 
+import csv
+import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import chat, ingest as I, select as SEL
+from marginalia.schema import Node, record, text, whole
 from marginalia.sources import readers as R, writers as W
 from marginalia.streaming.incremental import incremental_ingest, remaining
 
@@ -31,6 +35,48 @@ def test_csv_encodings_and_row_index(spark, tmp_path):
             (0, "a", "1990-01-05", 'línea "uno"\ndos'), (1, "b", "", "x")]
 
 
+def csv_rows(rng, n):
+    """Rows with quotes, line ends and blank lines inside cells, one of them longer than many splits."""
+    cell = lambda: "".join(rng.choice(["a", "ñ", '"', '""', "\n", "\n\n", "\r\n", ",", " ", ""]) for _ in range(rng.randrange(12)))
+    rows = [[f"id{k}", cell(), cell()] for k in range(n)]
+    rows[n // 2][1] = "long\n" * 400 + '"quoted"\n\n' * 90
+    return rows
+
+
+@pytest.mark.parametrize("line_end,split", [("\n", "300"), ("\r\n", "211"), ("\n", "64m")])
+def test_one_large_csv_is_read_by_many_tasks(spark, tmp_path, line_end, split):
+    rng = random.Random(3)
+    want = []
+    for name, n in (("a.csv", 150), ("b.csv", 1), ("c.csv", 40)):
+        rows = csv_rows(rng, n)
+        text = io.StringIO()
+        writer = csv.writer(text, lineterminator=line_end, quoting=csv.QUOTE_ALL)
+        writer.writerow(["key", "one, two", "th\nree"])
+        for row in rows:
+            text.write(line_end * (rng.random() < 0.1))
+            writer.writerow(row)
+        (tmp_path / name).write_bytes(text.getvalue().encode())
+        want += rows
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        df = R.scan_csv(spark, str(tmp_path))
+        got = df.orderBy("row_index").collect()
+        tasks = df.select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert df.columns == ["key", "one, two", "th\nree", "row_index"]
+    # an empty cell is null, quoted or not
+    assert [(r.row_index, *r[:3]) for r in got] == [(k, *[c or None for c in row]) for k, row in enumerate(want)]
+    assert tasks > 10 or split == "64m"
+
+
+def test_csv_without_rows(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("a,b\n\n")
+    (tmp_path / "e.csv").write_text("")
+    assert R.scan_csv(spark, str(tmp_path / "h.csv")).collect() == []
+    assert R.scan_csv(spark, str(tmp_path / "e.csv")).collect() == []
+
+
 def test_row_contract(spark):
     rows = [("a", "d", "t"), (" a", "d", "t"), ("", "d", "t"), ("b", None, " "), ("c", "d", "t")]
     df = SEL.row_contract(spark.createDataFrame(rows, "id string, fecha string, texto string"), "id", "fecha", "texto")
@@ -43,6 +89,28 @@ def test_row_contract(spark):
         SEL.require_columns(df, ["id", "nope"])
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "date"])
+def test_offset_and_limit_beyond_a_top_k(spark, monkeypatch, kind):
+    monkeypatch.setattr(SEL, "TOP", 5)
+    df = spark.range(300).selectExpr("id", f"CAST(CASE '{kind}' WHEN 'date' THEN CAST(date_add(DATE '1990-01-01', CAST(id * 7 % 300 AS INT)) AS STRING) ELSE CAST(id * 7 % 300 AS STRING) END AS {kind}) AS k")
+    keys = sorted(r.k for r in df.collect())
+    for n in (1, 5, 6, 150, 299, 300, 301):
+        assert sorted(r.k for r in SEL.slice_offset(df, "k", n).collect()) == keys[n:]
+        assert sorted(r.k for r in SEL.limit_rows(df, "k", n).collect()) == keys[:n]
+    repeated = df.select(F.when(F.col("id") % 3 > 0, F.col("id") % 10).alias("k"))
+    values = sorted((r.k for r in repeated.collect()), key=lambda k: (k is not None, k))
+    for n in (20, 100, 101, 130, 299, 300, 900):
+        assert sorted((r.k for r in SEL.limit_rows(repeated, "k", n).collect()), key=lambda k: (k is not None, k)) == values[:n]
+    assert SEL.limit_rows(df.limit(0), "k", 50).count() == 0 and SEL.slice_offset(df.limit(0), "k", 50).count() == 0
+
+
+def test_lines_of_shards_are_shuffled_once(spark):
+    df = spark.range(2000).select(F.col("id").alias("row_index"), F.expr("repeat('x', CAST(id % 37 AS INT))").alias("line"))
+    plan = W.ordered_shards(df, "line", "row_index", 500)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "hashpartitioning" not in W.shard_ids(df, "line", "row_index", 500)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_manifest_defaults_and_last_line(spark, tmp_path):
     lines = ['{"custom_id":"a"}', "", '{"custom_id":"b","row_index":9,"fecha":"x","texto":"t"}', '{"custom_id":"a","fecha":"z"}']
     (tmp_path / "m.jsonl").write_text("\n".join(lines))
@@ -99,6 +167,7 @@ def answer(text, **more):
     return {"status": "completed", "output_text": text, **more}
 
 
+TITLED = Node("object", props={"nota": Node("object", props={"titulo": text()}, required=("titulo",))}, required=("nota",))
 RECORD = json.dumps({"nota": {"titulo": "t", "keep": 1}, "extraccion": {"eventos_protesta": [{"x": 1}, "odd", {"evento_id": "wrong"}]}, "own": True})
 
 
@@ -113,7 +182,7 @@ def test_ingest_rewrites_and_errors(spark):
     ]
     df = R.parse_lines(spark.createDataFrame([(i + 1, x) for i, x in enumerate(lines)], "line_no long, line string"))
     manifest = spark.createDataFrame([(c, i, c, "1990-01-05", "") for i, c in enumerate("abcd")], "custom_id string, row_index long, txt_file string, fecha string, texto string")
-    rows = I.classify(df, manifest, F.expr("try_variant_get(record, '$.nota.titulo', 'string') IS NOT NULL"), day="2026-01-02")
+    rows = I.classify(df, manifest, TITLED, day="2026-01-02")
     errors = {r.line_no: (r.custom_id, r.error_type, r.error.split(":")[0]) for r in I.line_errors(rows).collect()}
     assert errors == {
         3: ("S/D", "JSONDecodeError", "line is not JSON"), 4: ("zz", "RuntimeError", "custom_id not in manifest"), 5: ("c", "RuntimeError", "remote error"),
@@ -147,16 +216,53 @@ def test_missing_full_text_is_an_error_row(spark):
     assert sorted((r.custom_id, r.error_type) for r in I.line_errors(rows).collect()) == [("b", "RuntimeError"), ("c", "RuntimeError")]
 
 
-def test_incremental_run_takes_the_last_line_of_a_batch(spark, tmp_path):
-    manifest = spark.createDataFrame([("a", 0, "a", "1990-01-05", "")], "custom_id string, row_index long, txt_file string, fecha string, texto string")
-    where = [str(tmp_path / n) for n in ("out", "errors", "state")]
+def test_incremental_run_keeps_the_first_answer(spark, tmp_path):
+    """By file path and line within a batch, by the state between batches and after a restart, without the earlier output."""
+    ids = [f"n{k}" for k in range(6)]
+    manifest = spark.createDataFrame([(c, i, c, "1990-01-05", "") for i, c in enumerate(ids)], "custom_id string, row_index long, txt_file string, fecha string, texto string")
+    titled = lambda c, t: envelope(c, answer(json.dumps({"nota": {"titulo": t}})))
+    steps = [
+        {"b.jsonl": [titled("n0", "late")] + [titled("n1", f"x{k}") for k in range(40)], "a.jsonl": ["", titled("n0", "one"), "{", titled("n0", "two")]},
+        {"0.jsonl": [titled("n0", "again"), titled("n2", "first"), titled("zz", "unknown"), titled("n2", "second"), envelope("n3", {}, 500)]},
+        {"c.jsonl": [titled("n3", "at last"), titled("n1", "again"), titled("n2", "again"), envelope("n4", answer("[]"))]},
+    ]
     (tmp_path / "in").mkdir()
-    # the longer file is read first, but its name comes first as well: the line of the other file wins
-    for name, titles in (("0.jsonl", ["one"] * 50), ("1.jsonl", ["two", "three"])):
-        lines = [envelope("a", answer(json.dumps({"nota": {"titulo": t}}))) for t in titles]
-        (tmp_path / "in" / name).write_text("\n\n".join(lines))
-    incremental_ingest(spark, str(tmp_path / "in"), manifest, *where).awaitTermination()
-    assert [json.loads(r.record)["nota"]["titulo"] for r in spark.read.parquet(where[0]).collect()] == ["three"]
+    found, errors = {}, 0
+    for step, files in enumerate(steps):
+        for name, lines in files.items():
+            (tmp_path / "in" / name).write_text("\n".join(lines))
+        out, bad = str(tmp_path / f"out{step}"), str(tmp_path / f"errors{step}")  # each run sees none of the output before it
+        incremental_ingest(spark, str(tmp_path / "in"), manifest, out, bad, str(tmp_path / "state"), TITLED).awaitTermination()
+        for r in spark.read.parquet(out).collect():
+            assert r.custom_id not in found
+            found[r.custom_id] = json.loads(r.record)["nota"]["titulo"]
+        errors += spark.read.parquet(bad).count()
+    assert found == {"n0": "one", "n1": "x0", "n2": "first", "n3": "at last"} and errors == 4
+    # the same rule over one table of the same lines
+    order = [line for files in steps for name in sorted(files) for line in files[name] if line]
+    table = R.parse_lines(spark.createDataFrame(list(enumerate(order)), "line_no long, line string"))
+    batch = I.successes(I.classify(table, manifest, TITLED), first=True).select("custom_id", F.to_json("record").alias("r")).collect()
+    assert {r.custom_id: json.loads(r.r)["nota"]["titulo"] for r in batch} == found
+
+
+OPEN = Node("object", required=("a", "l"), props={
+    "a": text("^x"), "n": Node("number", minimum=2), "e": Node("string", enum=("p", "q"), nullable=True), "c": Node("string", const="k"),
+    "l": Node("array", min_items=1, item=Node("object", required=("i",), props={"i": whole(1), "deep": record(s=text())}))})
+
+
+@pytest.mark.parametrize("doc,problem", [
+    ({"a": "x", "l": [{"i": 1, "more": {"y": [1]}}], "unknown": None}, None), ({"a": "x", "l": [{"i": 1}], "n": 2.5, "c": "k", "e": "p"}, None),
+    ([], "type at /"), ({"l": [{"i": 1}]}, "required a at /"), ({"a": 1, "l": []}, "type at /a"), ({"a": "y", "l": [{"i": 1}]}, "pattern at /a"),
+    ({"a": "x", "l": [{"i": 1}], "n": 1}, "minimum at /n"), ({"a": "x", "l": [{"i": 1}], "e": "z"}, "enum at /e"),
+    ({"a": "x", "l": [{"i": 1}], "c": "j"}, "const at /c"), ({"a": "x", "l": []}, "minItems at /l"), ({"a": "x", "l": [{"i": 3}, {}]}, "required i at /l/*"),
+    ({"a": "x", "l": [{"i": 1}, {"i": 0}]}, "minimum at /l/*/i"), ({"a": "x", "l": [{"i": 1.5}]}, "type at /l/*/i"), ({"a": "x", "l": {"i": 1}}, "type at /l"),
+    ({"a": "x", "l": [{"i": 1, "deep": {"s": "t", "u": 1}}]}, "additionalProperties at /l/*/deep"), ({"a": None, "l": [{"i": 1}]}, "type at /a"),
+])
+def test_first_broken_rule_of_an_open_schema(spark, doc, problem):
+    from marginalia.functions.variants import schema_problem
+
+    df = spark.createDataFrame([(json.dumps(doc),)], "j string").select(F.try_parse_json("j").alias("v"))
+    assert df.select(schema_problem("v", OPEN)).first()[0] == problem
 
 
 def test_incremental_run_skips_done_ids(spark, tmp_path):
