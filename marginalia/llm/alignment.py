@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,9 @@ BYTES = 1 << 18
 #: Tokens of one side from which a window is cut at all its shared ends.
 LONG = 32
 #: Windows kept; beyond it all are forgotten and learnt anew.
-WINDOWS = 200_000
+WINDOWS = 300_000
+#: Stands between the ids of A and of B in a window's tuple; no id is as large.
+MARK = 0xFFFF
 
 SPEC = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<int>, times array<int>"
 
@@ -50,32 +51,35 @@ def piece_vocabulary(model) -> list[bytes]:
     return [one(number) for number in range(model.vocab_size())]
 
 
-def align(a_ids: tuple[int, ...], b_ids: tuple[int, ...], a_len: list[int], b_len: list[int]) -> str:
-    """Groups of a window as text: ids of A and of B that cover the same bytes; lengths in bytes by id."""
-    out, a_from, b_from, i, j, ahead = [], 0, 0, 0, 0, 0  # ahead: bytes by which A's ids so far exceed B's
-    while i < len(a_ids):
-        if ahead <= 0:
-            ahead += a_len[a_ids[i]]
-            i += 1
-        while ahead > 0 and j < len(b_ids):
-            ahead -= b_len[b_ids[j]]
-            j += 1
-        if not ahead:
-            out.append(",".join([str(a) for a in a_ids[a_from:i]]) + "|" + ",".join([str(b) for b in b_ids[b_from:j]]))
-            a_from, b_from = i, j
-    return ";".join(out)
+class Vocabulary:
+    """Bytes of the ids of one tokenizer."""
 
-
-class Windows(dict):
-    """Alignments of windows by their id tuples."""
-
-    def __init__(self, a_len: list[int], b_len: list[int]) -> None:
-        super().__init__()
-        self.a_len, self.b_len = a_len, b_len
-
-    def __missing__(self, window: tuple[tuple[int, ...], tuple[int, ...]]) -> str:
-        text = self[window] = align(*window, self.a_len, self.b_len)
-        return text
+    def __init__(self, tokens: list[bytes]) -> None:
+        if len(tokens) >= 1 << 16:
+            raise ValueError("ids of more than 16 bits: a pair would need a wider column")
+        self.length = np.array([len(t) for t in tokens], np.int64)
+        self.space = np.array([t[:1] == b" " for t in tokens])
+        self._bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self._start = np.cumsum(self.length) - self.length
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """All bytes of some ids, one after the other."""
+        length = self.length[ids]
+        ends = np.cumsum(length)
+        return self._bytes[np.repeat(self._start[ids] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def faithful(texts: list[bytes], ids: list[np.ndarray], vocabulary: Vocabulary) -> np.ndarray:
+    """Whether the ids of each text spell it."""
+    same = np.array([vocabulary.length[i].sum() == len(t) for t, i in zip(texts, ids)], bool)
+    at = np.flatnonzero(same)
+    if len(at):
+        spelt = vocabulary.spell(np.concatenate([ids[k] for k in at]))
+        differs = spelt != np.frombuffer(b"".join([texts[k] for k in at]), np.uint8)
+        ends = np.cumsum([len(texts[k]) for k in at])
+        wrong = np.diff(np.concatenate([[0], np.cumsum(differs)])[ends], prepend=0)
+        same[at[wrong > 0]] = False
+    return same
 
 
 def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,57 +104,87 @@ def window_ends(a_after: np.ndarray, b_after: np.ndarray, a_space: np.ndarray, b
     return anchor | (lengths > long)[window]
 
 
+def interleave(a: np.ndarray, b: np.ndarray, a_stop: np.ndarray, b_stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretch by stretch what A has up to ``a_stop`` and B up to ``b_stop``, and where each stretch ends."""
+    out = np.empty(len(a) + len(b), np.result_type(a, b))
+    a_n, b_n = np.diff(a_stop, prepend=0), np.diff(b_stop, prepend=0)
+    out[np.arange(len(a)) + np.repeat(b_stop - b_n, a_n)] = a
+    out[np.arange(len(b)) + np.repeat(a_stop, b_n)] = b
+    return out, a_stop + b_stop
+
+
+def group_pieces(a: np.ndarray, b: np.ndarray, a_stop: np.ndarray, b_stop: np.ndarray) -> np.ndarray:
+    """Numbers of the pieces of the groups' text in order: two of each id of A, it closes its side of a group or not, then those of B."""
+    pieces = [2 * a.astype(np.int64), 2 * b.astype(np.int64) + (2 << 16)]
+    for piece, stop in zip(pieces, (a_stop, b_stop)):
+        piece[stop - 1] += 1
+    return interleave(*pieces, a_stop, b_stop)[0]
+
+
+def piece_texts() -> list[str]:
+    """Texts of the numbers of ``group_pieces``."""
+    return [f"{number}{mark}" for closing in "|;" for number in range(1 << 16) for mark in (",", closing)]
+
+
 def _aligned(a_ranks: str, pattern: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
         encoding = load_encoding(a_ranks, pattern, {})
         model = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        a_bytes = [encoding.decode_single_token_bytes(number) for number in range(encoding.n_vocab)]
-        b_bytes = piece_vocabulary(model)
-        if max(len(a_bytes), len(b_bytes)) > 1 << 16:
-            raise ValueError("ids of more than 16 bits: a pair would need a wider column")
-        a_len, b_len = (np.array([len(t) for t in table], np.int32) for table in (a_bytes, b_bytes))
-        a_space, b_space = (np.array([t[:1] == b" " for t in table]) for table in (a_bytes, b_bytes))
-        windows = Windows(a_len.tolist(), b_len.tolist())
+        a_words = Vocabulary([encoding.decode_single_token_bytes(number) for number in range(encoding.n_vocab)])
+        b_words = Vocabulary(piece_vocabulary(model))
+        shown = piece_texts()
+        windows: dict[bytes, str] = {}  # alignment of a window by its ids of A, a mark and its ids of B, 16 bits each
 
         def one(rows: list[tuple]) -> pa.RecordBatch:
             out = [[doc_id, 0, 0, 0, 0, "", None, None] for doc_id, _ in rows]
             at = [k for k, (_, text) in enumerate(rows) if text]
-            texts = [" " + rows[k][1] for k in at]
-            a_all = [encoding.encode_ordinary(t) for t in texts]
-            b_all = model.encode([t[1:] for t in texts], num_threads=1) if texts else []
-            good, n_bytes = [], []
-            for k, text, a, b in zip(at, texts, a_all, b_all):
-                whole = text.encode("utf-8")
-                if b"".join([a_bytes[i] for i in a]) == whole == b"".join([b_bytes[i] for i in b]):
-                    good.append((k, a, b))
-                    n_bytes.append(len(whole))
+            if not at:
+                return _batch(out)
+            texts = [(" " + rows[k][1]).encode("utf-8") for k in at]
+            a_all = [np.array(encoding.encode_ordinary(" " + rows[k][1]), np.int64) for k in at]
+            b_all = [np.array(ids, np.int64) for ids in model.encode([rows[k][1] for k in at], num_threads=1)]
+            good = np.flatnonzero(faithful(texts, a_all, a_words) & faithful(texts, b_all, b_words)).tolist()
             if not good:
                 return _batch(out)
             # one after the other the documents are one long text: each ends at a shared end
-            a_ids, b_ids = (tuple(chain.from_iterable([g[side] for g in good])) for side in (1, 2))
-            a, b = np.array(a_ids, np.int32), np.array(b_ids, np.int32)
-            a_ends, b_ends = np.cumsum(a_len[a]), np.cumsum(b_len[b])
+            a, b = np.concatenate([a_all[k] for k in good]), np.concatenate([b_all[k] for k in good])
+            a_ends, b_ends, doc_ends = np.cumsum(a_words.length[a]), np.cumsum(b_words.length[b]), np.cumsum([len(texts[k]) for k in good])
             in_a, in_b, shared = overlaps(a_ends, b_ends)
             pairs = a[in_a].astype(np.uint32) << 16 | b[in_b].astype(np.uint32)
-            a_after, b_after, doc_ends = in_a[shared] + 1, in_b[shared] + 1, np.cumsum(n_bytes)
-            shared_ends = a_ends[a_after - 1]
-            cut = window_ends(a_after, b_after, a_space[a], b_space[b], np.isin(shared_ends, doc_ends))
-            a_cut, b_cut = a_after[cut].tolist(), b_after[cut].tolist()
-            texts = [windows[a_ids[s:e], b_ids[u:v]] for s, e, u, v in zip([0, *a_cut], a_cut, [0, *b_cut], b_cut)]
+            a_stop, b_stop = in_a[shared] + 1, in_b[shared] + 1
+            shared_ends = a_ends[a_stop - 1]
+            cut = window_ends(a_stop, b_stop, a_words.space[a], b_words.space[b], np.isin(shared_ends, doc_ends))
+
+            # id tuples of the windows: their ids of A, a mark, their ids of B
+            a_cut, b_cut = a_stop[cut], b_stop[cut]
+            marked = np.insert(a, a_cut, MARK)
+            keys, stops = interleave(marked, b, a_cut + np.arange(1, len(a_cut) + 1), b_cut)
+            raw, ends = keys.astype(np.uint16).tobytes(), (2 * stops).tolist()
+            tuples = [raw[s:e] for s, e in zip([0, *ends], ends)]
+            aligned = list(map(windows.get, tuples))
+            fresh = {tuples[w]: w for w, text in enumerate(aligned) if text is None}
+            if fresh:
+                pieces = group_pieces(a, b, a_stop, b_stop)
+                ends = (a_cut + b_cut).tolist()
+                for window, w in fresh.items():
+                    numbers = pieces[ends[w - 1] if w else 0 : ends[w]].tolist()
+                    windows[window] = "".join([shown[n] for n in numbers])[:-1]
+                aligned = list(map(windows.get, tuples))
+
             stops = {  # per document, how many of each end up to its end
                 "groups": np.searchsorted(shared_ends, doc_ends, side="right"),
                 "windows": np.searchsorted(shared_ends[cut], doc_ends, side="right"),
                 "links": np.flatnonzero(shared)[np.searchsorted(shared_ends, doc_ends)] + 1,
             }
             starts = {name: [0, *stop[:-1].tolist()] for name, stop in stops.items()}
-            for n, (k, a_own, b_own) in enumerate(good):
+            for n, k in enumerate(good):
                 (groups, windowed, links) = (slice(starts[name][n], int(stop[n])) for name, stop in stops.items())
                 found, times = np.unique(pairs[links], return_counts=True)
-                digest = hashlib.sha256(";".join(texts[windowed]).encode("ascii")).hexdigest()
-                out[k][1:] = [len(a_own), len(b_own), groups.stop - groups.start, links.stop - links.start, digest,
-                              found.view(np.int32), times.astype(np.int32)]
+                digest = hashlib.sha256(";".join(aligned[windowed]).encode("ascii")).hexdigest()
+                out[at[k]][1:] = [len(a_all[k]), len(b_all[k]), groups.stop - groups.start, links.stop - links.start, digest,
+                                  found.view(np.int32), times.astype(np.int32)]
             if len(windows) > WINDOWS:
                 windows.clear()
             return _batch(out)
