@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from marginalia.catalog import corpus as C
 from marginalia.catalog.registry import query
-from marginalia.catalog.walk_queries import gold
+from marginalia.catalog.walk_queries import FINDINGS_SQL, RULED, _broken_sql, gold
 from marginalia.functions import text as X
 from marginalia.operators import coverage as CV, chat, select as SEL, split as SP, stats
 from marginalia.operators.project import typed
-from marginalia.session import once
+from marginalia.schema import FORBIDDEN_KEYS
+from marginalia.session import materialize, once
 
 PROXY_SQL = "greatest(1, CAST(round_even(length({t}) / 4.0, 0) AS BIGINT))"
 
@@ -197,11 +198,15 @@ audit AS (SELECT split, count(*) AS rows, count(*) FILTER (NOT missing) AS writt
     count(*) FILTER (NOT missing) AS assistant_forbidden_paths, count(*) FILTER (NOT missing AND broken) AS assistant_false_event_detail_violations FROM rows GROUP BY split)"""
 
 
-def _audit(spark, sf):
+def _findings(spark, sf):
     records = once(C.source_notes(spark, sf), v=F.try_parse_json("source_json")).drop("source_json")
     records = records.withColumn("split", F.when(F.col("doc_id") % 10 == 0, "eval").otherwise("train"))
     joined = chat.join_user_text(records, texts(spark, sf), "nota_id", "text", "line")
-    return chat.chat_audit(chat.chat_findings(joined, "v", "text"), "v", "nota_id")
+    return chat.chat_findings(joined, "v", "text")
+
+
+def _audit(spark, sf):
+    return chat.chat_audit(_findings(spark, sf), "v", "nota_id")
 
 
 @query("chat_audit", AUDIT_SQL + " SELECT * FROM audit")
@@ -215,6 +220,26 @@ def _(spark, sf):
     return chat.audit_verdict(_audit(spark, sf))
 
 
+@query("chat_audit_details", RULED + "found AS (" + FINDINGS_SQL + "), " + _broken_sql("source", "source_json").strip() + """,
+joined AS (SELECT nota_id, CASE WHEN doc_id % 10 = 0 THEN 'eval' ELSE 'train' END AS split, doc_id % 6 = 0 AS missing, doc_id % 6 <> 1 AS risk FROM source),
+keyed AS (SELECT *, CASE WHEN path = '<root>' THEN [''] ELSE list_transform(string_split(path, '/'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN printf('%010d', CAST(p AS BIGINT)) ELSE p END) END AS o
+  FROM (SELECT nota_id, 'assistant_schema_invalid' AS finding, CASE WHEN path = '' THEN '<root>' ELSE replace(replace(replace(path, '[', '/'), ']', ''), '.', '/') END AS path FROM found
+    UNION ALL SELECT nota_id, 'assistant_forbidden_paths', '/' || replace(replace(replace(path, '[', '/'), ']', ''), '.', '/') FROM nodes
+      WHERE NOT ends_with(path, ']') AND (key IN (""" + ", ".join(f"'{k}'" for k in FORBIDDEN_KEYS) + """) OR starts_with(key, 'razonamiento_')))),
+listed AS (SELECT nota_id, finding, string_agg(path, ',' ORDER BY r) AS details FROM (SELECT *, row_number() OVER (PARTITION BY nota_id, finding ORDER BY o) AS r FROM keyed)
+    WHERE r <= CASE finding WHEN 'assistant_schema_invalid' THEN 10 ELSE 20 END GROUP BY nota_id, finding
+  UNION ALL SELECT nota_id, 'assistant_false_event_detail_violations', string_agg('eventos_protesta[' || event_index || ']/' || field, ',' ORDER BY event_index, field) FROM (
+    SELECT *, row_number() OVER (PARTITION BY nota_id ORDER BY event_index, field) AS r FROM broken) WHERE r <= 20 GROUP BY nota_id)
+    SELECT split, finding, nota_id, details FROM listed JOIN joined USING (nota_id) WHERE NOT missing
+    UNION ALL SELECT split, 'missing_user_messages', nota_id, '' FROM joined WHERE missing
+    UNION ALL SELECT split, 'duplicate_user_message_risks', nota_id, '' FROM joined WHERE NOT missing AND risk""")
+def _(spark, sf):
+    details = chat.audit_details(materialize(_findings(spark, sf)), "v", "nota_id")
+    # of a schema message only its path is compared; the wording is the library's own
+    shown = F.transform("details", lambda d: F.when(F.col("finding") == "assistant_schema_invalid", F.split(d, ": ")[0]).otherwise(d))
+    return details.select("split", "finding", "nota_id", F.array_join(shown, ",").alias("details"))
+
+
 @query("note_id_fallback", """SELECT CASE doc_id % 3 WHEN 0 THEN 'g' || doc_id WHEN 1 THEN '1/1/' || (1990 + doc_id % 5) ELSE 'line_' || doc_id END AS id, count(*) AS n FROM documents GROUP BY 1""")
 def _(spark, sf):
     rule = F.col("doc_id") % 3

@@ -136,8 +136,9 @@ def event_json(x: str, mode: str = "target") -> str:
     nothing = "".join(f',"{key}":null' for key in DETAILS)
     not_event = f"'{nothing}'"
     if raw:
-        # a tenth of the notes carry an empty list where null is due
-        not_event = f"CASE WHEN e.d % 10 = 8 THEN ',\"sujetos\":[],\"accion\":null' ELSE '{nothing}' END"
+        # a tenth of the notes carry a list where null is due, empty or not
+        filled = '[{"sujeto_id":"s9","otros":["x",null,{"a":1,"b":["y",false,"z","w","v"]}]}]'
+        not_event = f"CASE WHEN e.d % 10 = 8 THEN concat(',\"sujetos\":', CASE WHEN e.d % 20 = 8 THEN '[]' ELSE '{filled}' END, ',\"accion\":null') ELSE '{nothing}' END"
     number = q("e.i")
     if raw or want:
         # a few notes carry a number as text, which no coercion repairs

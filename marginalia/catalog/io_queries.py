@@ -460,7 +460,7 @@ WIDE_COLUMNS = [n for n, _ in export.NOTE_COLUMNS] + ["estado_validacion_humana"
 
 
 #: Levels of the corpus below these lists; others hold records of texts, or texts.
-LEVELS = {"sujetos": 4, "demandas": 3}
+LEVELS = {"sujetos": 5, "demandas": 3}
 
 
 def flat_sql(x: str, depth: int) -> str:

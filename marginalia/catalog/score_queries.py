@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from marginalia.catalog import corpus as C
 from marginalia.catalog.registry import query
-from marginalia.catalog.walk_queries import LEAF, tree
-from marginalia.operators import errors as E, leafjoin, score as S
+from marginalia.catalog.walk_queries import LEAF, pred as parsed_pred, tree
+from marginalia.operators import contract, errors as E, leafjoin, score as S
 from marginalia.operators.advice import DEFAULT_REASON, REASONS, ACTIONS
 from marginalia.schema import HEADLINE_PATH, SCORED_PATHS, TOTAL_PATH
 from marginalia.session import materialize
@@ -321,6 +321,20 @@ def _(spark, sf):
     return S.delta_vs_run(_metrics(spark, sf), "run", "r0", "r1")
 
 
+@query("largest_delta", HEADLINE_SQL + """ SELECT metric, max(value) FILTER (run = 'r0') AS baseline, max(value) FILTER (run = 'r2') AS other,
+    round_even(max(value) FILTER (run = 'r2') - max(value) FILTER (run = 'r0'), 4) AS delta FROM metrics GROUP BY metric HAVING delta IS NOT NULL ORDER BY delta DESC, metric LIMIT 1""")
+def _(spark, sf):
+    return E.largest_delta(S.delta_vs_run(_metrics(spark, sf), "run", "r0", "r2"))
+
+
+@query("path_delta_vs_run", HEADLINE_SQL + ", shares AS (SELECT run, path, " + ratio_sql("sum(good)", "sum(support)") + """ AS a FROM acc GROUP BY run, path)
+    SELECT b.path, b.a AS baseline, o.a AS other, round_even(o.a - b.a, 4) AS delta FROM shares b LEFT JOIN shares o ON o.path = b.path AND o.run = 'r3' WHERE b.run = 'r0'""")
+def _(spark, sf):
+    scored = notes(spark, sf).where("scored").select("run", "paths")
+    per_path = S.path_accuracy(scored, ["run"])
+    return S.delta_vs_run(per_path, "run", "r0", "r3", key="path", value="accuracy")
+
+
 ACCEPT_SQL = HEADLINE_SQL + """,
 accepted AS (SELECT run, schema_validity, categorical_accuracy_aggregate, f1_global, array_to_string(list_filter([
     CASE WHEN schema_validity >= 0.95 THEN NULL ELSE 'schema_validity' END, CASE WHEN categorical_accuracy_aggregate >= 0.80 THEN NULL ELSE 'categorical_accuracy_aggregate' END,
@@ -522,14 +536,22 @@ def _(spark, sf):
 top AS (SELECT p.*, row_number() OVER (ORDER BY error_rate DESC, support DESC, no) AS r FROM per_path p JOIN pno USING (path) WHERE path <> '__aggregate__'),
 cells AS (SELECT count(*) FILTER (pred_tiene AND NOT gold_tiene) AS fp, count(*) FILTER (gold_tiene AND NOT pred_tiene) AS fn, count(*) AS n,
     sum(gold_total)::BIGINT AS g, sum(pred_total)::BIGINT AS p, count(*) FILTER (pred_total > gold_total) AS more, count(*) FILTER (pred_total < gold_total) AS less FROM scored)
-    SELECT 1 AS place, 'Notes without events (`tiene_eventos_protesta`)' AS target, format('{} of the yes and {} of the no answers are wrong, in {} notes.', fp, fn, n) AS evidence FROM cells
-    UNION ALL SELECT 2, 'Number of events', format('{} events in gold, {} predicted, difference {}; too many in {} notes, too few in {}.', g, p, p - g, more, less) FROM cells
-    UNION ALL SELECT r + 2, format('Definition of `{}`', path), format('right {:.4f}, wrong {:.4f} of {}; fp {}, fn {}.', accuracy, error_rate, support, fp, fn) FROM top WHERE r <= 5""")
+    SELECT 1 AS place, 'Notes without events (`tiene_eventos_protesta`)' AS target, format('{} of the yes and {} of the no answers are wrong, in {} notes.', fp, fn, n) AS evidence,
+      'Collect notes that resemble protests, and leave details null where there is no event.' AS action FROM cells
+    UNION ALL SELECT 2, 'Number of events', format('{} events in gold, {} predicted, difference {}; too many in {} notes, too few in {}.', g, p, p - g, more, less),
+      'Annotate single events beside events with side actions, and check the stated totals.' FROM cells
+    UNION ALL SELECT r + 2, format('Definition of `{}`', path), format('right {:.4f}, wrong {:.4f} of {}; fp {}, fn {}.', accuracy, error_rate, support, fp, fn),
+      coalesce(a.action, 'Sharpen the definition and annotate more contrasting cases.') FROM top LEFT JOIN (VALUES """ + ", ".join(
+          "('{}', '{}')".format(path, text.replace("'", "''")) for path, text in ACTIONS) + """) a(label, action) ON a.label = path WHERE r <= 5
+    UNION ALL SELECT 8, 'Details of events that are none', format('{} details are filled where `es_evento_protesta` is false; {} of them say `S/D`.', n, sd),
+      'Give examples where such events have null details, not `S/D`.' FROM (SELECT count(*) AS n, count(*) FILTER (j.atom ->> '$' = 'S/D') AS sd
+        FROM (SELECT unnest(json_extract(raw_text, '$.extraccion.eventos_protesta[*]')) AS e FROM pred WHERE parse_valid) f, json_tree(f.e) j
+        WHERE json_extract_string(f.e, '$.es_evento_protesta') = 'false' AND j.type NOT IN ('OBJECT', 'ARRAY', 'NULL') AND j.fullkey <> '$.es_evento_protesta') WHERE n > 0""")
 def _(spark, sf):
     # three report parts read the slim per-note table
     scored = materialize(notes(spark, sf).where("scored").select("run", "scored", "paths", "gold_tiene", "pred_tiene", "gold_total", "pred_total"))
     per_path = S.path_accuracy_total(S.path_accuracy(scored))
     confusion = S.confusion_counts(scored, F.col("gold_tiene"), F.col("pred_tiene"))
-    none = spark.range(0).selectExpr("id AS violation_count", "id AS sd_violation_count")
-    rows = E.advice_targets(per_path, confusion, S.count_delta_summary(scored), none)
-    return rows.select(F.col("place").cast("long").alias("place"), "target", "evidence")
+    broken = contract.false_event_leaf_check(parsed_pred(spark, sf), "v")
+    rows = E.advice_targets(per_path, confusion, S.count_delta_summary(scored), broken)
+    return rows.select(F.col("place").cast("long").alias("place"), "target", "evidence", "action")

@@ -169,13 +169,16 @@ def _(spark, sf):
     )
 
 
+FINDINGS_SQL = " UNION ALL ".join(
+    [f"SELECT nota_id, path, '{kw}' AS keyword FROM ruled WHERE {cond}" for kw, cond in FINDING_SQL.items()]
+    + ["SELECT nota_id, path, 'required' AS keyword FROM (SELECT nota_id, path, unnest(list_filter(required, "
+       "lambda k: NOT list_contains(keys, k))) FROM ruled WHERE type = 'object')"]
+)
+
+
 @query(
     "schema_validity_detail",
-    RULED + "found AS (" + " UNION ALL ".join(
-        [f"SELECT nota_id, path, '{kw}' AS keyword FROM ruled WHERE {cond}" for kw, cond in FINDING_SQL.items()]
-        + ["SELECT nota_id, path, 'required' AS keyword FROM (SELECT nota_id, path, unnest(list_filter(required, "
-           "lambda k: NOT list_contains(keys, k))) FROM ruled WHERE type = 'object')"]
-    ) + """),
+    RULED + "found AS (" + FINDINGS_SQL + """),
     named AS (SELECT nota_id, CASE WHEN path = '' THEN '<root>' ELSE replace(replace(replace(path, '[', '/'), ']', ''), '.', '/') END AS path FROM found),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY nota_id ORDER BY CASE WHEN path = '<root>' THEN [''] ELSE
       list_transform(string_split(path, '/'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN printf('%010d', CAST(p AS BIGINT)) ELSE p END) END) AS r FROM named)
@@ -233,7 +236,9 @@ broken AS (SELECT nota_id, CAST(ev.i - 1 AS BIGINT) AS event_index, k AS field,
 @query(
     "false_event_violations",
     C.with_notes(C.SOURCE_SQL, _broken_sql("source", "source_json")) + """
-    SELECT nota_id, event_index, field, '/' || field AS pointer, '' AS leaves FROM broken""",
+    SELECT nota_id, event_index, field, '/' || field AS pointer, coalesce(leaves, '') AS leaves FROM broken LEFT JOIN (
+      SELECT nota_id, event_index, field, array_to_string(list_sort(list('/' || field || replace(replace(replace(substr(j.fullkey, 2), '[', '/'), ']', ''), '.', '/')))[1:5], ',') AS leaves
+      FROM broken b, json_tree(b.v) j WHERE j.type NOT IN ('OBJECT', 'ARRAY', 'NULL') GROUP BY nota_id, event_index, field) USING (nota_id, event_index, field)""",
 )
 def _(spark, sf):
     found = contract.false_event_violations(source(spark, sf), "v", ["nota_id"])
@@ -277,6 +282,19 @@ def _(spark, sf):
     return contract.null_contract_files(rows)
 
 
+@query(
+    "contract_holds",
+    C.with_notes(C.SOURCE_SQL, C.GOLD_SQL, _broken_sql("source", "source_json"), _broken_sql("gold", "gold_json").replace("broken AS", "gold_broken AS")) + """
+    SELECT 'source' AS input, (SELECT count(*) FROM source) > 0 AND (SELECT count(*) FROM broken) = 0 AS pass
+    UNION ALL SELECT 'gold', (SELECT count(*) FROM gold) > 0 AND (SELECT count(*) FROM gold_broken) = 0 UNION ALL SELECT 'nothing', false""",
+)
+def _(spark, sf):
+    inputs = {"source": source(spark, sf), "gold": gold(spark, sf), "nothing": gold(spark, sf).where("doc_id < 0")}
+    verdicts = [contract.contract_holds(contract.null_contract_files(rows.select(F.lit("f").alias("file"), "v"))).withColumn("input", F.lit(name))
+                for name, rows in inputs.items()]
+    return verdicts[0].unionByName(verdicts[1]).unionByName(verdicts[2])
+
+
 # --- projection ---------------------------------------------------------------------
 
 

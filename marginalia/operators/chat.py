@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from typing import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from marginalia.functions.text import MAX_SEQ_LENGTH, header_count, token_proxy
 from marginalia.functions.variants import schema_valid
 from marginalia.operators import contract
+from marginalia.operators.rules import path_order, validity_detail
 from marginalia.operators.walk import forbidden_paths
 from marginalia.schema import TARGET, Node
 
 ROLES = ("system", "user", "assistant")
+SHOWN_MESSAGES, SHOWN_PATHS = 10, 20
 CRITICAL = (
     "missing_user_messages", "duplicate_user_message_risks", "assistant_schema_invalid",
     "assistant_forbidden_paths", "assistant_false_event_detail_violations",
@@ -150,6 +152,39 @@ def chat_audit(findings: DataFrame, record: str, key: str, split: str = "split")
     return counted.join(forbidden, split, "left").na.fill(0, ["assistant_forbidden_paths"])
 
 
+def audit_details(findings: DataFrame, record: str, key: str, split: str = "split", node: Node = TARGET) -> DataFrame:
+    """``split, finding, key, details``: the notes behind every count of the audit.
+
+    ``details`` holds the first ``SHOWN_MESSAGES`` schema messages, the first ``SHOWN_PATHS``
+    forbidden or broken places of a note, and is empty for the other findings. Only notes with
+    a finding are walked; what goes beyond the first ones of a note is dropped before the shuffle.
+    """
+    text = ~F.col("missing_user_messages")
+    nothing = F.expr("CAST(array() AS ARRAY<STRING>)")
+
+    def of(rows: DataFrame, finding: str, details: Column = nothing) -> DataFrame:
+        return rows.select(split, F.lit(finding).alias("finding"), key, details.alias("details"))
+
+    loose = findings.where(text & F.col("assistant_schema_invalid")).select(split, key, record)
+    invalid = validity_detail(loose, record, node, key, SHOWN_MESSAGES)
+    order = Window.partitionBy(split, key).orderBy(path_order("pointer"))
+    forbidden = forbidden_paths(loose, record, [split, key]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SHOWN_PATHS)
+    forbidden = forbidden.groupBy(split, key).agg(F.sort_array(F.collect_list(F.struct("rank", "pointer"))).alias("f"))
+    broken = findings.where(text & F.col("assistant_false_event_detail_violations"))
+    parts = [
+        of(findings.where(~text), "missing_user_messages"),
+        of(findings.where(text & F.col("duplicate_user_message_risks")), "duplicate_user_message_risks"),
+        of(invalid.join(loose.select(split, key), key).where(~F.col("valid")), "assistant_schema_invalid",
+           F.transform("errors", lambda e: F.concat(e["path"], F.lit(": "), e["message"]))),
+        of(forbidden, "assistant_forbidden_paths", F.col("f.pointer")),
+        of(broken, "assistant_false_event_detail_violations", F.slice(contract.violation_places(record), 1, SHOWN_PATHS)),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def audit_verdict(audit: DataFrame, split: str = "split") -> DataFrame:
     """``split, finding, n``: every non-empty critical list."""
     return audit.unpivot([split], list(CRITICAL), "finding", "n").where(F.col("n") > 0)

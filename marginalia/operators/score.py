@@ -330,9 +330,9 @@ def headline_metrics(notes: DataFrame, by: Sequence[str]) -> DataFrame:
     return wide.unpivot(keys, [c for c in wide.columns if c not in keys], "metric", "value")
 
 
-def delta_vs_run(metrics: DataFrame, run: str, baseline: str, other: str, key: str = "metric") -> DataFrame:
-    """``key, baseline, other, delta``; the delta is null when either side is missing."""
-    pick = lambda name, alias: metrics.where(F.col(run) == name).select(key, F.col("value").alias(alias))
+def delta_vs_run(metrics: DataFrame, run: str, baseline: str, other: str, key: str = "metric", value: str = "value") -> DataFrame:
+    """``key, baseline, other, delta``; the delta is null when either side is missing. ``key`` is a metric or a path."""
+    pick = lambda name, alias: metrics.where(F.col(run) == name).select(key, F.col(value).alias(alias))
     both = pick(baseline, "baseline").join(pick(other, "other"), key, "left")
     return both.withColumn("delta", rounded(F.col("other") - F.col("baseline")))
 
