@@ -134,16 +134,17 @@ def _(spark, sf):
 
 @query(
     "norm_date",
-    r"""SELECT norm, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 9 IN (7, 8) THEN 'S/D'
+    r"""SELECT norm, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 13 IN (7, 8) THEN 'S/D'
         ELSE strftime(o_orderdate, '%d/%m/%Y') END AS norm FROM orders) GROUP BY norm""",
 )
 def _(spark, sf):
     written = F.expr(
-        "CASE o_orderkey % 9 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') "
+        "CASE o_orderkey % 13 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') "
         "WHEN 1 THEN date_format(o_orderdate, 'yyyy_M_d') WHEN 2 THEN date_format(o_orderdate, 'dd/MM/yyyy') "
         "WHEN 3 THEN concat(' ', date_format(o_orderdate, 'd-M-yyyy')) WHEN 4 THEN date_format(o_orderdate, 'yyyy/MM/dd') "
         "WHEN 5 THEN date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') WHEN 6 THEN date_format(o_orderdate, 'yyyyMMdd') "
-        "WHEN 7 THEN 'sin fecha' ELSE '' END"
+        "WHEN 7 THEN 'sin fecha' WHEN 9 THEN date_format(o_orderdate, 'MMMM d, yyyy') WHEN 10 THEN date_format(o_orderdate, 'EEE dd MMM yyyy') "
+        "WHEN 11 THEN date_format(o_orderdate, 'yyyy.MM.dd HH:mm') WHEN 12 THEN date_format(o_orderdate, 'MMM-dd-yy') ELSE '' END"
     )
     return table(spark, sf, "orders").select(X.norm_date(written).alias("norm")).groupBy("norm").agg(F.count("*").alias("n"))
 

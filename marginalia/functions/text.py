@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+import warnings
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
 from marginalia.schema import SD
 
+# workers then need no copy of this module on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Header marker, date forms, token limits.
 HEADER = "FECHA DE EDICIÓN DE LA NOTA:"
 DATE_FORMS = ("yyyy-M-d", "yyyy_M_d", "d/M/yyyy", "d-M-yyyy", "yyyy/M/d")
-# Further explicit forms; any other free text is unknown.
+# Further forms that need no Python.
 LATER_DATE_FORMS = (
     "yyyyMMdd", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy",
     "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s", "yyyy-M-d H:m",
@@ -37,14 +45,22 @@ def input_text(date: Column, body: Column) -> Column:
     return F.concat(F.lit(HEADER + " "), date, F.lit("\n\n"), body)
 
 
+def read_dates(cells: pd.Series) -> pd.Series:
+    """Dates in any other writing as ``dd/MM/yyyy``, month before day where both could be; null where none is read."""
+    warnings.simplefilter("ignore")  # about forms that are read one by one
+    known = {cell: pd.to_datetime(cell, errors="coerce", dayfirst=False) for cell in cells.dropna().unique()}
+    return cells.map(lambda cell: None if cell is None or pd.isna(known[cell]) else known[cell].strftime("%d/%m/%Y"))
+
+
 def norm_date(value: Column) -> Column:
-    """Any known date form as ``dd/MM/yyyy``, otherwise unknown."""
+    """Any date form as ``dd/MM/yyyy``, otherwise unknown. Only cells in none of the listed forms are read in Python."""
     cell = normalize_cell(value)
     head = F.substring(cell, 1, 10)
     tried = [F.try_to_date(head, form) for form in DATE_FORMS]
     tried += [F.try_to_timestamp(cell, F.lit(form)).cast("date") for form in LATER_DATE_FORMS]
-    day = F.coalesce(*tried)
-    return F.coalesce(F.date_format(day, "dd/MM/yyyy"), F.lit(SD))
+    listed = F.date_format(F.coalesce(*tried), "dd/MM/yyyy")
+    other = F.pandas_udf(read_dates, "string")(F.when(listed.isNull() & (cell != ""), cell))
+    return F.coalesce(listed, other, F.lit(SD))
 
 
 def date_to_iso(value: Column) -> Column:

@@ -349,37 +349,33 @@ def target_schema() -> Node:
 
 TARGET = target_schema()
 
-# Scored paths, in report order. A path starting at an event field is written from the event.
 HEADLINE_PATH = "extraccion.tiene_eventos_protesta"
 TOTAL_PATH = "extraccion.total_eventos_protesta"
 EVENTS = "extraccion.eventos_protesta[]."
-EVENT_PATHS = (
-    ("evento.es_evento_protesta", "es_evento_protesta"),
-    ("delimitacion.criterio_delimitacion", "delimitacion_evento.criterio_delimitacion"),
-    (
-        "delimitacion.es_accion_principal_con_complementarias",
-        "delimitacion_evento.es_accion_principal_con_complementarias",
-    ),
-    ("temporalidad.tipo_temporal", "temporalidad.tipo_temporal"),
-    ("temporalidad.tempo_verbal", "temporalidad.tempo_verbal"),
-    ("temporalidad.fecha_inicio.certeza", "temporalidad.fecha_inicio.certeza"),
-    ("temporalidad.fecha_fin.certeza", "temporalidad.fecha_fin.certeza"),
-    ("accion.formato_principal.categoria", "accion.formato_principal.categoria"),
-    ("sujetos[].categoria", "sujetos[].categoria"),
-    ("sujetos[].organizaciones[].categoria", "sujetos[].organizaciones[].categoria"),
-    ("demandas[].categoria", "demandas[].categoria"),
-    ("contra_quien[].categoria", "contra_quien[].categoria"),
-    ("contra_quien[].nivel_institucional", "contra_quien[].nivel_institucional"),
-    ("lugares[].categoria", "lugares[].categoria"),
-    ("lugares[].rol_en_evento", "lugares[].rol_en_evento"),
-    ("alcance.categoria", "alcance.categoria"),
-    ("cantidad_participantes.hay_cantidad_mencionada", "cantidad_participantes.hay_cantidad_mencionada"),
-    ("cantidad_participantes.es_aproximada", "cantidad_participantes.es_aproximada"),
-    ("incidentes.represion.presencia", "incidentes.represion.presencia"),
-    ("incidentes.enfrentamiento.presencia", "incidentes.enfrentamiento.presencia"),
-    ("incidentes.detenidos.presencia", "incidentes.detenidos.presencia"),
-    ("incidentes.heridos.presencia", "incidentes.heridos.presencia"),
-    ("incidentes.muertos.presencia", "incidentes.muertos.presencia"),
-    ("incidentes.danios_materiales.presencia", "incidentes.danios_materiales.presencia"),
+# Scored paths of an event in report order, as label and path.
+SCORED_PATHS = (
+    ("evento.es_evento_protesta", "extraccion.eventos_protesta[].es_evento_protesta"),
+    ("delimitacion.criterio_delimitacion", "extraccion.eventos_protesta[].delimitacion_evento.criterio_delimitacion"),
+    ("delimitacion.es_accion_principal_con_complementarias", "extraccion.eventos_protesta[].delimitacion_evento.es_accion_principal_con_complementarias"),
+    ("temporalidad.tipo_temporal", "extraccion.eventos_protesta[].temporalidad.tipo_temporal"),
+    ("temporalidad.tempo_verbal", "extraccion.eventos_protesta[].temporalidad.tempo_verbal"),
+    ("temporalidad.fecha_inicio.certeza", "extraccion.eventos_protesta[].temporalidad.fecha_inicio.certeza"),
+    ("temporalidad.fecha_fin.certeza", "extraccion.eventos_protesta[].temporalidad.fecha_fin.certeza"),
+    ("accion.formato_principal.categoria", "extraccion.eventos_protesta[].accion.formato_principal.categoria"),
+    ("sujetos[].categoria", "extraccion.eventos_protesta[].sujetos[].categoria"),
+    ("sujetos[].organizaciones[].categoria", "extraccion.eventos_protesta[].sujetos[].organizaciones[].categoria"),
+    ("demandas[].categoria", "extraccion.eventos_protesta[].demandas[].categoria"),
+    ("contra_quien[].categoria", "extraccion.eventos_protesta[].contra_quien[].categoria"),
+    ("contra_quien[].nivel_institucional", "extraccion.eventos_protesta[].contra_quien[].nivel_institucional"),
+    ("lugares[].categoria", "extraccion.eventos_protesta[].lugares[].categoria"),
+    ("lugares[].rol_en_evento", "extraccion.eventos_protesta[].lugares[].rol_en_evento"),
+    ("alcance.categoria", "extraccion.eventos_protesta[].alcance.categoria"),
+    ("cantidad_participantes.hay_cantidad_mencionada", "extraccion.eventos_protesta[].cantidad_participantes.hay_cantidad_mencionada"),
+    ("cantidad_participantes.es_aproximada", "extraccion.eventos_protesta[].cantidad_participantes.es_aproximada"),
+    ("incidentes.represion.presencia", "extraccion.eventos_protesta[].incidentes.represion.presencia"),
+    ("incidentes.enfrentamiento.presencia", "extraccion.eventos_protesta[].incidentes.enfrentamiento.presencia"),
+    ("incidentes.detenidos.presencia", "extraccion.eventos_protesta[].incidentes.detenidos.presencia"),
+    ("incidentes.heridos.presencia", "extraccion.eventos_protesta[].incidentes.heridos.presencia"),
+    ("incidentes.muertos.presencia", "extraccion.eventos_protesta[].incidentes.muertos.presencia"),
+    ("incidentes.danios_materiales.presencia", "extraccion.eventos_protesta[].incidentes.danios_materiales.presencia"),
 )
-SCORED_PATHS = tuple((label, EVENTS + rest) for label, rest in EVENT_PATHS)

@@ -14,7 +14,7 @@ def spark():
 
     session = build_session(
         "tests", "local[4]",
-        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false"},
+        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -200,3 +200,16 @@ def test_row_errors_name_each_contract_once(spark):
     assert len(first) == 10 and first == sorted(first, key=lambda p: int(p.split("[")[1].split("]")[0]))
     assert sum("detail must be null" in r.error for r in rows) == 1
     assert rows[1].error.startswith("total_eventos_protesta=7")
+
+
+def test_dates_in_any_writing(spark):
+    import pandas as pd
+
+    cells = ["1990-01-05", "5/1/1990", "05-01-1990 x", "Jan 5th, 1990", "1990.01.05", "Fri 05 Jan 1990 10:00", "1990-01-05T10:00:00Z", "12/31/1990", "5.1.90",
+             "January 1990", "13.13.1990", "no date", "", " 1990/1/5 ", "19900105", "10", None]
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(cells)], "k int, c string")
+    got = [r.d for r in rows.select("k", X.norm_date(F.col("c")).alias("d")).orderBy("k").collect()]
+    assert got[:3] == ["05/01/1990"] * 3 and got[-4:-1] == ["05/01/1990", "05/01/1990", got[-2]] and got[-1] == "S/D"
+    for cell, day in zip(cells[3:-4], got[3:-4]):
+        want = pd.to_datetime(cell, errors="coerce", dayfirst=False) if cell else pd.NaT
+        assert day == ("S/D" if pd.isna(want) else want.strftime("%d/%m/%Y")), cell
