@@ -49,15 +49,49 @@ HOLDS = 0.9
 
 
 class Node:
-    """``mark`` says why the element itself may be a side part; ``side`` is settled once the whole page is read."""
+    """``mark`` says why the element itself may be a side part; ``side`` is settled once the whole page is read.
+    ``path`` is the number of its tag path on the page."""
 
-    __slots__ = ("tag", "parent", "path", "mark", "side", "article", "size", "clean")
+    __slots__ = ("tag", "parent", "path", "depth", "mark", "side", "article", "size", "clean", "held", "inside")
 
-    def __init__(self, tag: str, parent: "Node | None", mark: str) -> None:
-        self.tag, self.parent, self.mark = tag, parent, mark
-        self.path = f"{parent.path}/{tag}" if parent else tag
+    def __init__(self, tag: str, parent: "Node | None", mark: str, path: int) -> None:
+        self.tag, self.parent, self.mark, self.path = tag, parent, mark, path
+        self.depth = parent.depth + 1 if parent else 0
         self.article = tag in ARTICLES or bool(parent and parent.article)
-        self.side, self.size, self.clean = False, 0, 0
+        self.side, self.size, self.clean, self.held, self.inside = False, 0, 0, 0, False
+
+
+class OpenElements:
+    """The open elements, and where the last one of each tag, the last block and the last container stand."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.at = [root], {}
+        self.blocks, self.containers = [0], [0]
+        self.paths: dict[tuple[int, str], int] = {}
+
+    def open(self, tag: str, mark: str) -> Node:
+        above, place = self.nodes[-1], len(self.nodes)
+        node = Node(tag, above, mark, self.paths.setdefault((above.path, tag), len(self.paths) + 1))
+        self.nodes.append(node)
+        self.at.setdefault(tag, []).append(place)
+        if tag in BLOCKS:
+            self.blocks.append(place)
+        if tag in _CONTAINERS:
+            self.containers.append(place)
+        return node
+
+    def last(self, tag: str) -> int:
+        """Place of the last open element of a tag, 0 if there is none."""
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def close_from(self, place: int) -> None:
+        while len(self.nodes) > place:
+            gone = len(self.nodes) - 1
+            self.at[self.nodes.pop().tag].pop()
+            for places in (self.blocks, self.containers):
+                if places[-1] == gone:
+                    places.pop()
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -129,10 +163,10 @@ def _settle_sides(nodes: list[Node], pieces: list[tuple[str, Node]]) -> None:
             node.side = not (holds and most or node.mark == "attribute" and enough)
 
 
-def blocks_of(page: str) -> list[tuple[str, Node]]:
-    """Text blocks in page order with their innermost block element; side parts are left out."""
-    root = Node("", None, "")
-    stack, nodes, read = [root], [root], []
+def blocks_of(page: str) -> tuple[list[Node], list[tuple[str, Node]]]:
+    """All elements, parents first, and the text blocks in page order with their innermost block element; side parts are left out."""
+    root = Node("", None, "", 0)
+    stack, nodes, read = OpenElements(root), [root], []
     pieces: list[tuple[str, Node]] = []
     home: list[Node] = [root]
 
@@ -143,12 +177,12 @@ def blocks_of(page: str) -> list[tuple[str, Node]]:
 
     def add(text: str) -> None:
         if text:
-            pieces.append((html.unescape(text), stack[-1]))
+            pieces.append((html.unescape(text), stack.nodes[-1]))
 
     def settle() -> None:
         """The block element that text belongs to from here on."""
         flush()
-        home[0] = next((n for n in reversed(stack) if n.tag in BLOCKS or n is root), root)
+        home[0] = stack.nodes[stack.blocks[-1]]
 
     at = 0
     while at < len(page):
@@ -162,13 +196,13 @@ def blocks_of(page: str) -> list[tuple[str, Node]]:
         if not tag or m.group(0)[-1] != ">":
             continue
         if closing:
-            if any(n.tag == tag for n in stack[1:]):
+            place = stack.last(tag)
+            if place:
                 # an end tag closes what it holds, but an inline one closes no block around it
-                if tag in BLOCKS or not any(n.tag in BLOCKS for n in stack[len(stack) - [n.tag for n in reversed(stack)].index(tag) :]):
+                if tag in BLOCKS or stack.blocks[-1] < place:
                     if tag in BLOCKS:
                         flush()
-                    while stack.pop().tag != tag:
-                        pass
+                    stack.close_from(place)
                     if tag in BLOCKS:
                         settle()
             elif tag in ("br", "p"):
@@ -181,38 +215,32 @@ def blocks_of(page: str) -> list[tuple[str, Node]]:
             continue
         if tag in BLOCKS:
             flush()
-            for ends, until in _IMPLIED.get(tag, _PARAGRAPH):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in ends:
-                        del stack[k:]
-                        break
-                    if stack[k].tag in until:
-                        break
+            if stack.last("p") > stack.containers[-1]:
+                stack.close_from(stack.last("p"))
+            ends, until = _IMPLIED.get(tag, ((), ()))
+            place = max(map(stack.last, ends), default=0)
+            if place > max(map(stack.last, until), default=0):
+                stack.close_from(place)
         if attributes.rstrip().endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
-        stack.append(Node(tag, stack[-1], _mark(tag, attributes, stack[-1])))
-        nodes.append(stack[-1])
+        nodes.append(stack.open(tag, _mark(tag, attributes, stack.nodes[-1])))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(page, at)
             at = end.end()
-            stack.pop()
+            stack.close_from(len(stack.nodes) - 1)
         elif tag in BLOCKS:
             settle()
     flush()
     _settle_sides(nodes, [(" ".join(text.split()), node) for own, _ in read for text, node in own])
     blocks = ((" ".join("".join(text for text, node in own if not node.side).split()), node) for own, node in read)
-    return [(text, node) for text, node in blocks if text and not node.side]
+    return nodes, [(text, node) for text, node in blocks if text and not node.side]
 
 
 _CONTAINERS = BLOCKS - {"p"} - HEADINGS
-_PARAGRAPH = ((frozenset("p"), _CONTAINERS),)
+#: Elements that a start tag ends, unless one of the second kind stands between; every block ends a paragraph.
 _IMPLIED = {
-    "li": (*_PARAGRAPH, (frozenset(("li",)), frozenset(("ul", "ol", "menu")))),
-    "dt": (*_PARAGRAPH, (frozenset(("dt", "dd")), frozenset(("dl",)))),
-    "dd": (*_PARAGRAPH, (frozenset(("dt", "dd")), frozenset(("dl",)))),
-    "tr": (*_PARAGRAPH, (frozenset(("tr",)), frozenset(("table",)))),
-    "td": (*_PARAGRAPH, (frozenset(("td", "th")), frozenset(("tr", "table")))),
-    "th": (*_PARAGRAPH, (frozenset(("td", "th")), frozenset(("tr", "table")))),
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
 }
 
 
@@ -221,11 +249,9 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 2, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
-    if not blocks:
-        return ""
-    paths: dict[str, list[float]] = {}
+def path_scores(blocks: list[tuple[str, Node]]) -> dict[int, float]:
+    """Of every tag path the best score of its blocks: mean length times mean punctuation of a path, both smoothed over neighbours."""
+    paths: dict[int, list[float]] = {}
     for text, node in blocks:
         sums = paths.setdefault(node.path, [0.0, 0.0, 0.0])
         sums[0] += len(text)
@@ -233,34 +259,38 @@ def main_text(page: str | None) -> str:
         sums[2] += 1
     lengths = np.array([paths[n.path][0] / paths[n.path][2] for _, n in blocks])
     marks = np.array([(paths[n.path][1] + 1) / paths[n.path][2] for _, n in blocks])
-    score = _smooth(lengths) * _smooth(marks)
-    best: dict[str, float] = {}
-    for (_, node), s in zip(blocks, score):
+    best: dict[int, float] = {}
+    for (_, node), s in zip(blocks, _smooth(lengths) * _smooth(marks)):
         best[node.path] = max(best.get(node.path, 0.0), float(s))
+    return best
+
+
+def main_text(page: str | None) -> str:
+    nodes, blocks = blocks_of(page or "")
+    if not blocks:
+        return ""
+    best = path_scores(blocks)
     least = THRESHOLD * max(best.values())
     chosen = [best[n.path] >= least for _, n in blocks]
 
-    total = sum(len(t) for (t, _), c in zip(blocks, chosen) if c)
-    held: dict[Node, int] = {}
     for (text, node), c in zip(blocks, chosen):
-        while c and node is not None:
-            held[node] = held.get(node, 0) + len(text)
-            node = node.parent
-    depth = lambda n: n.path.count("/")
-    whole = [n for n, size in held.items() if size >= HOLDS * total and n.tag in _CONTAINERS | {""}]
-    root = max(whole, key=depth)
+        node.held += c * len(text)
+    for node in reversed(nodes[1:]):
+        node.parent.held += node.held
+    total = nodes[0].held
+    root = max((n for n in nodes if n.held >= HOLDS * total and (n.tag in _CONTAINERS or not n.parent)), key=lambda n: n.depth)
     if not root.article:
-        articles = [n for n in held if n.tag in ARTICLES and held[n] > 0.5 * total]
-        root = min(articles, key=depth) if articles else root
+        root = min((n for n in nodes if n.tag in ARTICLES and n.held > 0.5 * total), key=lambda n: n.depth, default=root)
     while root.article and root.tag not in ARTICLES:
         root = root.parent
+    for node in nodes:
+        node.inside = node is root or bool(node.parent and node.parent.inside)
 
-    def inside(node: Node) -> bool:
-        while node is not None and node is not root:
-            node = node.parent
-        return node is root
-
-    return "\n\n".join(t for (t, n), c in zip(blocks, chosen) if inside(n) and (c or root.article or n.tag in HEADINGS))
+    # a short quote or list between chosen blocks belongs to them
+    places = [k for k, (_, n) in enumerate(blocks) if chosen[k] and n.inside]
+    first, last = places[0], places[-1]
+    return "\n\n".join(t for k, (t, n) in enumerate(blocks) if n.inside and (
+        chosen[k] or root.article or n.tag in HEADINGS or first < k < last))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,9 +305,11 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` per page: blocks joined by an empty line, white space within a block as one space.
 
     Null and empty html give an empty text. Pages cut short, open tags and stray characters are
-    read as far as they go; a tag cut off at the end of the page is no text. Where no element
-    stands out, all blocks above the threshold count. Inside an ``article`` or ``main`` every
-    block stays that is no side part. One row per input row, nothing is shuffled; other
+    read as far as they go; a tag cut off at the end of the page is no text. The ratios of tag
+    paths choose the content blocks and with them the element that holds the article; blocks
+    between chosen ones and headings stay. Where that element lies in an ``article`` or ``main``,
+    all of it stays that is no side part. Work and memory grow with the page, not with how
+    deep its tags nest. One row per input row, nothing is shuffled; other
     columns are ignored and an empty table gives an empty result.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

@@ -160,8 +160,9 @@ def labelled_sample(labels: DataFrame, max_labelled: int) -> DataFrame:
 
 
 def collect_training(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """``features`` and ``quality`` of a bounded sample, in the order of the ids."""
-    found = sorted(rows.select("doc_id", "quality", "features").collect(), key=lambda r: (r.doc_id, list(r.features)))
+    """``features`` and ``quality`` of a bounded sample, in the order of the ids; of rows that share an id the least counts."""
+    once = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("features").alias("features"))
+    found = sorted(once.collect(), key=lambda r: r.doc_id)
     return np.array([r.features for r in found], float), np.array([r.quality for r in found], float)
 
 

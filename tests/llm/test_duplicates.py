@@ -1,14 +1,15 @@
 """Near and substring duplicates against brute force."""
 
 import hashlib
+import random
 import re
 
 import pytest
 
-from marginalia.llm.near_dedup import near_duplicates
+from marginalia.llm.near_dedup import near_duplicates, pivot_meetings, rest_meetings
 from marginalia.llm.substring_dedup import repeated_passages
 
-from .conftest import edge_rows
+from .conftest import edge_rows, passage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -75,13 +76,34 @@ def given(spark):
 
 @pytest.mark.parametrize("n,percent,block", [(3, 85, 10**6), (5, 80, 10**6), (3, 85, 2000)])
 def test_near_duplicates_equal_brute_force(spark, edge_docs, n, percent, block):
-    rows = [r for r in edge_rows() if r[0] != 200] + [(d + 1000, t) for d, t in given(spark)]
-    docs = edge_docs.where("doc_id <> 200 OR doc_id IS NULL").select("doc_id", "text", "component_id", "rep").unionByName(
+    rows = edge_rows() + [(d + 1000, t) for d, t in given(spark)]
+    docs = edge_docs.select("doc_id", "text", "component_id", "rep").unionByName(
         spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text", "1L AS component_id", "2L AS rep"))
     found = near_duplicates(docs, n, percent, 32 if percent == 85 else 40, block_shingles=block)
     assert sorted((tuple(r) for r in found.collect()), key=repr) == brute_near(rows, n, percent)
 
 
+def test_an_id_with_many_texts_links_by_each(spark):
+    rng = random.Random(4)
+    a, b, c = (passage(rng, 80) for _ in range(3))
+    rows = [(7, a), (7, b), (7, c), (3, a + " x"), (5, b + " y"), (9, c + " z"), (9, "another text of its own"), (8, b + " y y2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (10**6, 100):
+        assert sorted((tuple(r) for r in near_duplicates(docs, 3, 85, 32, block_shingles=block).collect()), key=repr) == brute_near(rows, 3, 85)
+
+
+def test_rows_sent_grow_with_the_members(spark):
+    """A family of near copies: one row per member and chunk for the pivot, and nothing more where the pivot links all."""
+    n, size = 4000, 300
+    for block in (60_000, 6_000, 1_500):
+        nb = -(-n * size // block)
+        groups = spark.range(n).selectExpr("0L AS pivot", "id AS node", "id AS rep", "id AS set_a", f"{size}L AS size", f"{nb}L AS nb")
+        assert pivot_meetings(groups).count() == n + nb
+        linked = spark.range(1, n).selectExpr("0L AS a", "id AS b")
+        assert rest_meetings(groups, linked, block).count() == 0
+        assert rest_meetings(groups, linked.where("b > 3"), block).count() == n + 3 * nb
+
+
 def test_one_id_with_two_texts_keeps_both_results(spark, edge_docs):
     found = near_duplicates(edge_docs, 3, 85, 32).where("doc_id = 200").collect()
     own = sorted(n for _, n, _, _ in brute_near([r for r in edge_rows() if r[0] == 200], 3, 85))

@@ -2,7 +2,12 @@
 
 import html
 import re
+import time
+import tracemalloc
 
+import pytest
+
+from marginalia.llm import html_extraction
 from marginalia.llm.html_extraction import extract_main_text, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style></head><body>
@@ -91,3 +96,35 @@ def test_stray_quotes_in_mid_page():
     assert main_text(f"<article><p>{LONG}</p><p title=it's>It's, here.</p><p>{LONG}</p><p x=don't>Don't, go.</p></article>") == f"{LONG}\n\nIt's, here.\n\n{LONG}\n\nDon't, go."
     assert main_text(f"<article><p>{LONG}</p><p class='a' title=\"cut off") == LONG
     assert main_text("<article>" + "<p '>b, c.</p>" * 2000 + "<p>b, c.").count("b, c.") == 2001
+
+
+def test_flat_scores_would_change_the_text(monkeypatch):
+    """Without article, class or side tag only the ratios tell content from menus and imprint."""
+    item = "".join(f"<div><a href=x{k}>Link {k}</a></div>" for k in range(12))
+    page = (f"<body><div><div>{item}</div></div><div><div><h2>Title</h2><p>{LONG * 3}</p><p>{LONG * 2}</p><blockquote><p>Short quote</p></blockquote>"
+            f"<ul><li>One</li><li>Two</li></ul><p>{LONG * 4}</p></div></div><table><tr><td>Imprint</td><td>Contact</td></tr></table>")
+    want = "\n\n".join(["Title", LONG_TEXT(3), LONG_TEXT(2), "Short quote", "One", "Two", LONG_TEXT(4)])
+    assert main_text(page) == want
+    monkeypatch.setattr(html_extraction, "path_scores", lambda blocks: {n.path: 1.0 for _, n in blocks})
+    flat = main_text(page)
+    assert flat != want and "Link 3" in flat and "Imprint" in flat
+
+
+def LONG_TEXT(n):
+    return (LONG * n).strip()
+
+
+def test_short_quotes_and_lists_stay():
+    page = f"<div><h1>Title</h1><p>{LONG * 4}</p><blockquote><p>Short quote</p></blockquote><p>{LONG * 3}</p><ol><li>a</li></ol><p>{LONG}</p></div>"
+    assert main_text(page) == "\n\n".join(["Title", LONG * 4, "Short quote", LONG * 3, "a", LONG])
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "p"])
+def test_deeply_nested_tags(tag):
+    n = 100_000
+    tracemalloc.start()
+    started = time.process_time()
+    page = f"<{tag}>" * n + f"<p>{LONG}</p>" + f"x</{tag}>" * 1000 + f"</{tag}>" * n + "<i>" * 500 + "</b></p><p>" * 1000 + LONG
+    assert LONG in main_text(page)
+    assert time.process_time() - started < 60 and tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
