@@ -25,36 +25,42 @@ from marginalia.session import ensure_checkpoint_dir  # noqa: E402
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labels, does not reject."""
+    """Documents that the classifier, learnt from the labels, does not reject, with all their columns. Without labels all stay."""
     return accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each near-duplicate group (five words, similarity 0.8); rows without doc_id stay."""
+    """The smallest doc_id of each near-duplicate group (five words, similarity 0.8) stays; a group of copies keeps one row.
+
+    Rows without doc_id stay, and empty texts, which are near nothing. Of rows that share a
+    doc_id and a text one stays. Other columns may have any name.
+    """
+    kept_id = f"kept_{uuid.uuid4().hex}"  # no column of the documents has it
     kept = near_duplicates(docs, words=5, percent=80).where("kept AND doc_id IS NOT NULL")
-    kept = kept.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("copies"))
-    rows = docs.join(kept.select("kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    again = kept.where("copies > 1").select("kept_id")
-    if not again.isEmpty():  # rows that share a doc_id: one of each text stays
-        once = rows.join(again, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-        rows = rows.join(again, F.col("doc_id") == F.col("kept_id"), "left_anti").unionByName(once)
+    kept = kept.groupBy(F.col("doc_id").alias(kept_id)).agg(F.count("*").alias("copies"))
+    same = F.col("doc_id") == F.col(kept_id)
+    rows = docs.join(kept.select(kept_id), same, "left_semi")
+    again = kept.where("copies > 1").select(kept_id)
+    if not again.isEmpty():
+        once = rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+        rows = rows.join(again, same, "left_anti").unionByName(once)
     return rows.unionByName(docs.where("doc_id IS NULL"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 50 words that a document of a smaller doc_id has; emptied documents go."""
+    """Texts without passages of 50 words that a document of a smaller doc_id has; emptied documents go, those without words stay."""
     found = repeated_passages(docs, window=50, with_rows=True).where("n_removed = 0 OR n_removed < n_words")
     changed = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("row.n_chars")).cast("long")}
     return found.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found, with all their columns; null and empty texts stay."""
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of 1024 ids, with their ids."""
+    """Pieces of the remaining documents in sequences of 1024 ids, with their ids; null and empty texts give one piece."""
     import public_tokenizers
 
     added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
