@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +95,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filter_texts(docs: DataFrame, test: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
+    """The rows whose texts pass, with all columns, whatever their names; ``test`` is made once per task and gets the texts of a batch."""
+    at = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = test()
+        for batch in batches:
+            yield batch.filter(pa.array(passes(batch.column(at).to_pylist()), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def parts(rows: Iterable[tuple], size: Callable[[tuple], int], most: int) -> Iterator[list[tuple]]:
     """Lists of consecutive rows of at most ``most`` in size together; a larger row is a list of its own."""
     held, total = [], 0

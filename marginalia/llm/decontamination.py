@@ -12,7 +12,7 @@ half of them if the item's end, its answer, is there as well: so paraphrases cou
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from marginalia.llm.common import filter_texts
+
 #: Items that are searched for in one pass over the corpus; more are taken in turns.
 BLOCK_ITEMS = 512
 #: Words that are in more documents than this share are left to the order check,
@@ -297,15 +299,6 @@ def _pairs(space: Space, cosine: float):
     return run
 
 
-def _clean(spaces: list[Space], cosine: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finders = [Finder(s, cosine) for s in spaces]
-        for batch in batches:
-            yield batch.filter(pa.array([not any(f(t) for f in finders) for t in batch.column("text").to_pylist()], pa.bool_()))
-
-    return run
-
-
 def build_spaces(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, rank: int = RANK, block: int = BLOCK) -> list[Space]:
     """A latent space per ``block_items`` benchmark items; each is of the items' size, whatever the corpus.
 
@@ -367,6 +360,18 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, block_items: int =
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, rank: int = RANK, block: int = BLOCK,
                     cosine: float = COSINE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no benchmark item is found."""
+    """The rows of ``docs``, with all their columns, in which no benchmark item is found.
+
+    Null and empty texts hold none and stay; without benchmark items all rows stay. The spaces,
+    of the benchmark's size, are broadcast once to each executor.
+    """
     spaces = build_spaces(docs, benchmark, block_items, rank, block)
-    return docs.mapInArrow(_clean(spaces, cosine), docs.schema) if spaces else docs
+    if not spaces:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(spaces)
+
+    def test() -> Callable[[list[str | None]], list[bool]]:
+        finders = [Finder(s, cosine) for s in held.value]
+        return lambda texts: [not any(f(t) for f in finders) for t in texts]
+
+    return filter_texts(docs, test)

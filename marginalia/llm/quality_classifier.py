@@ -10,14 +10,14 @@ network did not see, calibrates the probability.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from marginalia.llm.common import WordCodes, hash_words, mix
+from marginalia.llm.common import WordCodes, filter_texts, hash_words, mix
 from marginalia.llm.quality_rules import collect_training, labelled_sample
 
 #: Rows for words and for shapes, and the length of a vector: the size of what is sent to each task.
@@ -220,15 +220,6 @@ def _score(model: Classifier, threshold: float):
     return run
 
 
-def _accepted(model: Classifier, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Coder()
-        for batch in batches:
-            yield batch.filter(pa.array(model.scores(batch.column("text").to_pylist(), codes) >= threshold))
-
-    return run
-
-
 def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` per row of ``docs``.
 
@@ -247,5 +238,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
 
 
 def accepted(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the classifier does not reject."""
-    return docs.mapInArrow(_accepted(fit_classifier(docs, labels, max_labelled), threshold), docs.schema)
+    """The rows of ``docs``, with all their columns, that the classifier does not reject. Null and empty texts are
+    scored like any other; without labels, or with one kind only, every score is 0.5. An empty table stays empty."""
+    model = fit_classifier(docs, labels, max_labelled)
+
+    def test() -> Callable[[list[str | None]], list[bool]]:
+        codes = Coder()
+        return lambda texts: (model.scores(texts, codes) >= threshold).tolist()
+
+    return filter_texts(docs, test)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.llm import license_scan, sharding, url_filter
 
@@ -46,6 +47,57 @@ def test_overflow_goes_on_clockwise():
         sharding.fill([5], [0], [3])
 
 
+def test_every_virtual_node_owns_an_arc():
+    places = sharding.ring_places(40, 64)
+    positions = [at for at, _ in places]
+    assert len(set(positions)) == 2560 and positions == sorted(positions) and set(places) <= set(sharding.ring_places(41, 64))
+    ring = sharding.segments(positions)
+    size = 1 << sharding.RING_BITS
+    assert {s["arc"] for s in ring} == set(range(2560)) and [s["turn"] for s in ring] == list(range(len(ring)))
+    by_first = sorted(ring, key=lambda s: s["first"])
+    assert by_first[0]["first"] == 0 and by_first[-1]["end"] == size and all(a["end"] == b["first"] for a, b in zip(by_first, by_first[1:]))
+    for s in ring:
+        for at in (s["first"], s["end"] - 1):
+            assert s["cell"] == at >> sharding.RING_BITS - sharding.CELL_BITS
+            assert positions[s["arc"]] == min((p for p in positions if p >= at), default=positions[0])
+
+
+@pytest.mark.parametrize("slack", [0.0, 0.1])
+def test_rows_walk_the_ring(spark, slack):
+    """Rows of each arc by shard as a plain walk leaves them: all arcs in turn offer their rest to the next place."""
+    docs = spark.range(3000).selectExpr("CASE WHEN id < 1000 THEN 7 WHEN id < 1200 THEN NULL ELSE id END AS doc_id", "CAST(id % 3 AS STRING) AS text")
+    shards, vnodes = 12, 16
+    rows = sharding.shard_rows(docs, shards, vnodes, slack).collect()
+    key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.crc32(F.encode("text", "UTF-8"))))
+    ring = [(r.doc_id, r.text, r.ring) for r in docs.withColumn("ring", F.shiftrightunsigned(key, 64 - sharding.RING_BITS)).collect()]
+    places = sharding.ring_places(shards, vnodes)
+    arc_of = lambda at: next((k for k, (p, _) in enumerate(places) if p >= at), 0)
+    arcs = {(d, t): arc_of(at) for d, t, at in ring}
+    left = Counter(arc_of(at) for _, _, at in ring)
+    room = [3000 // shards] * shards if not slack else [-(-int(1.1 * 3000) // shards)] * shards
+    want, step = Counter(), 0
+    while +left:
+        for arc in sorted(left):
+            shard = places[(arc + step) % len(places)][1]
+            take = min(left[arc], room[shard])
+            want[arc, shard] += take
+            room[shard] -= take
+            left[arc] -= take
+        step += 1
+    assert Counter((arcs[r.doc_id, str(r.doc_id % 3) if r.doc_id not in (None, 7) else t], r.shard) for r in rows for t in [text_of(r)]) == +want
+
+
+def text_of(row):
+    return next(t for t in "012" if zlib.crc32(t.encode()) == row.text_crc32)
+
+
+def test_rows_stay_where_they_are_when_the_table_doubles(spark):
+    docs = lambda n: spark.range(n).selectExpr("id AS doc_id", "'t' AS text")
+    place = lambda n: {r.doc_id: r.shard for r in sharding.shard_rows(docs(n), 40, slack=0.25).collect()}
+    small, large = place(6000), place(12000)
+    assert sum(small[k] != large[k] for k in small) < 0.1 * len(small)
+
+
 def test_few_rows_move_when_a_shard_is_added(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "'t' AS text")
     place = lambda n: {r.doc_id: r.shard for r in sharding.shard_rows(docs, n, slack=0.25).collect()}

@@ -5,6 +5,8 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 import corpus_pipeline  # noqa: E402
 from marginalia.llm.decontamination import contaminated_pairs  # noqa: E402
 from marginalia.llm.packing import SPEC  # noqa: E402
@@ -46,3 +48,16 @@ def test_edge_rows(spark, edge_docs):
     assert 1 in ids and 2 in ids and ids.count(20) == 1 and 21 not in ids and ids.count(None) == 2 and len(edge_rows()) > len(ids)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, edge_docs.limit(0), SF).count() == 0
+
+
+INNER = ("kept_id copies row kept kept_text n_words n_removed kept_sha256 component_id n_shingles rep node set_a set_b sig meets pivot chunk block role mark "
+         "shingles key score predicted held_out quality features digest places marks wides item_id passage ids sequence_id piece start length offset a.b").split()
+
+
+def test_columns_named_like_inner_ones(spark, edge_docs):
+    docs = edge_docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"own {name}").alias(name) for name in INNER])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *INNER]
+        assert all(r[k + 5] == f"own {name}" for r in docs.collect() for k, name in enumerate(INNER))
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
