@@ -22,6 +22,20 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge"),
     ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    ("gpl-3", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "gnu general public license as published by the free software foundation either version 3"),
+    ("gpl-2", "it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", "gnu general public license as published by the free software foundation either version 2"),
+    ("lgpl", "it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license as published"),
+    ("agpl-3", "it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license as published"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "for any purpose with or without fee"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "nor the names of its contributors"),
+    ("mit", "spdx license identifier mit", "license identifier mit"),
+    ("apache-2", "spdx license identifier apache 2 0", "license identifier apache 2 0"),
+    ("gpl-3", "spdx license identifier gpl 3 0", "license identifier gpl 3 0"),
+    ("gpl-2", "spdx license identifier gpl 2 0", "license identifier gpl 2 0"),
+    ("agpl-3", "spdx license identifier agpl 3 0", "license identifier agpl 3 0"),
+    ("bsd", "spdx license identifier bsd 3 clause", "license identifier bsd"),
+    ("isc", "spdx license identifier isc", "license identifier isc"),
+    ("mpl-2", "spdx license identifier mpl 2 0", "license identifier mpl 2 0"),
     ("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
     ("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
     ("agpl-3", "licensed under the gnu affero general public license version 3", "gnu affero general public license"),

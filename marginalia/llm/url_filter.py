@@ -2,7 +2,8 @@
 
 Rules decide what they cover. Hosts that they mostly allow are trusted seeds, hosts that they
 mostly block are blocked seeds. Trust spreads along links by personalised PageRank from the
-trusted seeds; distrust spreads against them, from a blocked host to those that link to it.
+trusted seeds; distrust spreads against them, from a blocked host to those that link to it,
+each by the share of its own links.
 A host whose distrust passes a threshold and its trust is blocked where no rule says more.
 """
 
@@ -39,48 +40,51 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return rule, verdict
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, by: str = "a") -> DataFrame:
-    """Personalised PageRank: ``edges (a, b, w)`` and ``seeds (host)`` to ``(host, rank)``, the seeds' mass being one each.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """Seed mass spread over ``edges (a, b, share)`` from ``seeds (host)`` to ``(host, rank)``, each seed's own being ``1 - damping``.
 
-    Ranks come in units of one seed, so a threshold means the same for few and many seeds. Weights
-    are shares of all that leave ``a``: what a host has is split among those it goes to. With ``by``
-    ``b`` they are shares of all that reach ``b``, which gets their mean, however many others get it too.
+    In every round ``b`` gets ``damping * share`` of what ``a`` has. Ranks come in units of one
+    seed, so a threshold means the same for few and many seeds.
     """
-    out = edges.groupBy(by).agg(F.sum("w").alias("total"))
-    shares = materialize(edges.join(out, by).select("a", "b", (F.col("w") / F.col("total")).alias("share")))
+    edges = materialize(edges)
     start = seeds.select("host", F.lit(1 - damping).alias("rank"))
     rank = seeds.select("host", F.lit(1.0).alias("rank"))
     for _ in range(rounds):
-        moved = rank.join(shares, rank.host == shares.a).groupBy(F.col("b").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank"))
+        moved = rank.join(edges, rank.host == edges.a).groupBy(F.col("b").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank"))
         rank = materialize(moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank")))
     return rank
 
 
-def blocked_hosts(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD,
-                  own_links: bool = False) -> DataFrame:
+def blocked_hosts(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """Hosts that distrust reaches: ``hosts (host, n, allowed, blocked)`` with page counts, ``edges (a, b, w)``.
 
-    A blocked host's distrust is split among the hosts that link to it; with ``own_links`` each of
-    these gets it by the share of its own links instead, so that many linkers are blocked like few.
+    Both spread by the share that a link has of all links of the host it stands on. Trust goes
+    along it: personalised PageRank from the trusted hosts. Distrust goes against it: a linker
+    gets the damped mean of the distrust of all it links to, which is the discounted chance that
+    a reader who follows its links meets a blocked host. So what a host is blamed for follows from
+    its own links, however many others link to the same blocked host. Trusted hosts take no
+    distrust and so pass none on.
     """
     trusted = materialize(hosts.where("2 * allowed > n").select("host"))
     blocked = materialize(hosts.where("2 * blocked > n").select("host"))
     if edges.isEmpty():
         return blocked
-    trust = propagate(edges, trusted, damping, rounds)
-    distrust = propagate(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"), blocked, damping, rounds, "b" if own_links else "a")
+    out = edges.groupBy("a").agg(F.sum("w").alias("total"))
+    shares = materialize(edges.join(out, "a").select("a", "b", (F.col("w") / F.col("total")).alias("share")))
+    trust = propagate(shares, trusted, damping, rounds)
+    blamed = shares.join(trusted, shares.a == trusted.host, "left_anti").select(F.col("b").alias("a"), F.col("a").alias("b"), "share")
+    distrust = propagate(blamed, blocked, damping, rounds)
     both = distrust.join(trust.withColumnRenamed("rank", "trust"), "host", "left")
     return both.where((F.col("rank") >= threshold) & (F.col("rank") > F.coalesce("trust", F.lit(0.0)))).select("host")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: float = DAMPING, rounds: int = ROUNDS,
-               threshold: float = THRESHOLD, own_links: bool = False) -> DataFrame:
+               threshold: float = THRESHOLD) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` per page.
 
     Links are those of ``html`` that name a host; links within a host do not count and links
     between two hosts are added up before they are shuffled. A page without a rule gets its
-    host's verdict, which is ``allow`` where distrust does not reach; ``own_links`` as in ``blocked_hosts``. Null urls and those
-    without ``://`` have an empty host and path, no rule and are allowed; their links count for
+    host's verdict, which is ``allow`` where distrust does not reach. Null urls and those without ``://`` have an empty host and path, no rule and are allowed; their links count for
     nobody. Null or empty html has no links. Repeated pages are judged each and count each. An
     empty table gives an empty result; other columns are ignored.
     """
@@ -94,6 +98,6 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, dampi
     target, _ = host_and_path(F.concat(F.lit("x:"), F.regexp_extract("link", r"(//(?s:.*))", 1)))
     edges = materialize(links.select(F.col("host").alias("a"), target.alias("b")).where("a <> b AND b <> ''")
                         .groupBy("a", "b").agg(F.count("*").cast("double").alias("w")))
-    bad = blocked_hosts(hosts, edges, damping, rounds, threshold, own_links).select("host", F.lit("block").alias("reached"))
+    bad = blocked_hosts(hosts, edges, damping, rounds, threshold).select("host", F.lit("block").alias("reached"))
     return judged.join(bad, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", "reached", F.lit("allow")).alias("verdict"))

@@ -185,16 +185,32 @@ def brute_rule(host, path):
     return best or (None, None)
 
 
+NOTICE = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {name} General Public License as published by
+the Free Software Foundation, either version {n} of the License, or
+(at your option) any later version."""
+
+
+def test_common_notices_get_their_label(spark):
+    texts = {
+        "gpl-3": NOTICE.format(name="", n=3), "gpl-2": NOTICE.format(name="", n=2), "agpl-3": NOTICE.format(name="Affero", n=3), "lgpl": NOTICE.format(name="Lesser", n=3),
+        "isc": "Copyright (c) x\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided",
+        "apache-2": "// SPDX-License-Identifier: Apache-2.0\n", "mit": "# SPDX-License-Identifier: MIT", "mpl-2": "SPDX-License-Identifier: MPL-2.0",
+        "bsd": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived", "": "free software, and a license of its own",
+    }
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts.values())], "doc_id long, text string")
+    found = {r.doc_id: r.labels for r in license_scan.scan_licenses(docs).collect()}
+    assert [found[k] for k in range(len(texts))] == list(texts)
+
+
 def brute_rank(edges, seeds):
-    rank = dict.fromkeys(seeds, 1.0)
-    out = Counter()
-    for (a, _), w in edges.items():
-        out[a] += w
+    """``edges``: shares by giver and taker."""
+    rank = {s: 1.0 for s in seeds}
     for _ in range(url_filter.ROUNDS):
         new = defaultdict(float)
-        for (a, b), w in edges.items():
+        for (a, b), share in edges.items():
             if a in rank:
-                new[b] += url_filter.DAMPING * rank[a] * w / out[a]
+                new[b] += url_filter.DAMPING * rank[a] * share
         for s in seeds:
             new[s] += 1 - url_filter.DAMPING
         rank = new
@@ -214,7 +230,11 @@ def brute_judge(pages):
                     edges[host, target] += 1
     good = [h for h, k in hosts.items() if 2 * k.count("allow") > len(k)]
     bad = [h for h, k in hosts.items() if 2 * k.count("block") > len(k)]
-    trust, distrust = brute_rank(edges, good), brute_rank({(b, a): w for (a, b), w in edges.items()}, bad)
+    out = Counter()
+    for (a, _), w in edges.items():
+        out[a] += w
+    trust = brute_rank({(a, b): w / out[a] for (a, b), w in edges.items()}, good)
+    distrust = brute_rank({(b, a): w / out[a] for (a, b), w in edges.items() if a not in good}, bad)
     blocked = {h for h, d in distrust.items() if d >= url_filter.THRESHOLD and d > trust.get(h, 0.0)} if edges else set(bad)
     return sorted(((p, h, path, rule, kind or ("block" if h in blocked else "allow")) for (p, h, path, _), (rule, kind) in zip(parsed, ruled)), key=repr)
 
