@@ -102,12 +102,13 @@ def test_empty_tables(spark, no_docs, edge_docs):
     assert found(ls.ranked_search(no_docs, asked)) == [] and found(ls.ranked_search(edge_docs, asked.limit(0))) == []
 
 
-def test_registered_query_equals_sql(spark):
+@pytest.mark.parametrize("name", ["op1_near_dedup", "op4_substring_dedup", "op13_ranked_search"])
+def test_registered_query_equals_sql(spark, name):
     sys.path.insert(0, str(Path(__file__).parents[2] / "tools"))
     from check_queries import check, connect
 
     from marginalia.llm.queries import ORACLES, QUERIES
 
     folder = "/root/testdata/sf0.001"
-    same, message, _, _ = check(spark, connect(folder), folder, "op13", QUERIES["op13_ranked_search"], ORACLES["op13_ranked_search"])
+    same, message, _, _ = check(spark, connect(folder), folder, name, QUERIES[name], ORACLES[name])
     assert same, message
