@@ -129,13 +129,19 @@ def _(spark, sf):
     return rows.select(F.explode(chat.malformed_reasons("v")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("token_gate", """SELECT max(t) AS max_tokens, count(*) FILTER (t > 4096) AS over_limit_count, sum(m)::BIGINT AS malformed_count, false AS pass FROM (
-    SELECT CASE doc_id % 7 WHEN 5 THEN NULL ELSE greatest(1, CAST(round_even(length(text) / 4.0, 0) AS BIGINT)) END AS t,
-      CASE WHEN doc_id % 7 IN (1, 5, 6) THEN 1 ELSE 0 END AS m FROM documents)""")
+@query("token_gate", """SELECT part, max_tokens, over_limit_count, malformed_count, max_tokens <= cap AND over_limit_count = 0 AND malformed_count = 0 AS pass FROM (
+    SELECT part, cap, max(t) AS max_tokens, count(*) FILTER (t > cap) AS over_limit_count, sum(m)::BIGINT AS malformed_count FROM (
+      SELECT doc_id, CASE doc_id % 7 WHEN 5 THEN NULL ELSE greatest(1, CAST(round_even(length(text) / 4.0, 0) AS BIGINT)) END AS t,
+        CASE WHEN doc_id % 7 IN (1, 5, 6) THEN 1 ELSE 0 END AS m FROM documents),
+      (VALUES ('all', 4096), ('sound', 4096), ('sound, roomy', 1000000)) p(part, cap) WHERE part = 'all' OR m = 0 GROUP BY part, cap)""")
 def _(spark, sf):
     rows = once(chat_rows(spark, sf), v=F.try_parse_json("line"))
     user = F.when(F.col("doc_id") % 7 != 5, X.token_proxy(F.filter("messages", lambda m: m["role"] == "user")[0]["content"]))
-    return chat.token_gate(rows.select(user.alias("tokens"), chat.malformed_reasons("v").alias("bad")), "tokens", "bad", 4096)
+    measured = rows.select(user.alias("tokens"), chat.malformed_reasons("v").alias("bad"))
+    sound = measured.where(F.size("bad") == 0)
+    gates = [chat.token_gate(part, "tokens", "bad", cap).withColumn("part", F.lit(name))
+             for name, part, cap in (("all", measured, 4096), ("sound", sound, 4096), ("sound, roomy", sound, 1_000_000))]
+    return reduce(lambda a, b: a.unionByName(b), gates)
 
 
 @query("prompt_completion", """SELECT doc_id % 7 AS rule, count(*) AS n, count(*) FILTER (doc_id % 7 NOT IN (1, 2)) AS usable,

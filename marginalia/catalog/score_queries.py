@@ -169,9 +169,14 @@ def _(spark, sf):
     return E.example_summaries(notes(spark, sf), KEY).select(KEY, "f1")
 
 
-@query("align_gold_pred", BASE_SQL + " SELECT (SELECT count(*) FROM ran) AS paired, (SELECT count(*) FROM gold) - (SELECT count(*) FROM ran) AS gold_only, 0 AS pred_only, 0 AS copied")
+@query("align_gold_pred", BASE_SQL + """, sides AS (SELECT nota_id, g, p FROM (SELECT nota_id, CASE WHEN doc_id % 9 = 2 THEN 2 ELSE 1 END AS g FROM gold WHERE doc_id % 6 <> 0)
+    FULL JOIN (SELECT nota_id, count(*) * CASE WHEN any_value(doc_id) % 11 = 5 THEN 2 ELSE 1 END AS p FROM ran GROUP BY nota_id) USING (nota_id))
+    SELECT count(*) FILTER (g = 1 AND p = 1) AS paired, count(*) FILTER (p IS NULL) AS gold_only, count(*) FILTER (g IS NULL) AS pred_only, count(*) FILTER (g > 1 OR p > 1) AS copied FROM sides""")
 def _(spark, sf):
-    return S.alignment_check(C.gold_notes(spark, sf), S.runnable(preds(spark, sf)), KEY)
+    # some notes lack their gold, some stand twice on a side
+    gold, ran = C.gold_notes(spark, sf).where("doc_id % 6 <> 0"), S.runnable(preds(spark, sf))
+    twice = lambda rows, rule: rows.unionByName(rows.where(rule))
+    return S.alignment_check(twice(gold, "doc_id % 9 = 2"), twice(ran, "doc_id % 11 = 5"), KEY)
 
 
 # --- metrics ------------------------------------------------------------------------
@@ -465,7 +470,7 @@ WORST_SQL = ", worst AS (SELECT nota_id FROM scored ORDER BY f1, fp + fn DESC, n
 @query("worst_lookup", PAIRS_SQL + WORST_SQL + " SELECT nota_id, run, raw_text FROM ran WHERE nota_id IN (SELECT nota_id FROM worst)")
 def _(spark, sf):
     worst = E.worst_k(_examples(spark, sf), KEY)
-    return preds(spark, sf).join(F.broadcast(worst.select(KEY)), KEY, "left_semi").select(KEY, "run", "raw_text")
+    return E.of_notes(preds(spark, sf), worst, KEY).select(KEY, "run", "raw_text")
 
 
 @query("diffs_per_note", PAIRS_SQL + WORST_SQL + "," + _slots_sql(E.NOTE_DIFF_PATHS) + f""" SELECT {SLOT_TEXT}, strict_kind,

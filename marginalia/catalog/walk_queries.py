@@ -382,9 +382,9 @@ verdict AS (SELECT s.doc_id, s.nota_id,
     s.doc_id % 10 = 9 AS total_off,
     json_extract_string(source_json, '$.extraccion.tiene_eventos_protesta') = 'true' AS has,
     CAST(json_extract_string(source_json, '$.extraccion.total_eventos_protesta') AS BIGINT) AS total,
-    s.doc_id % 17 = 5 AND json_array_length(source_json, '$.extraccion.eventos_protesta') > 0 AS bad_number
+    s.doc_id % 17 = 5 AND json_array_length(source_json, '$.extraccion.eventos_protesta') > 0 AS bad_number, s.doc_id % 23 = 6 AS bad_date
   FROM source s),
-judged AS (SELECT *, has <> (total > 0) AS flag_off, NOT (contract OR total_off OR bad_number) AS valid FROM verdict)"""
+judged AS (SELECT *, has <> (total > 0) AS flag_off, NOT (contract OR total_off OR bad_number OR bad_date) AS valid FROM verdict)"""
 
 
 @query(
@@ -398,7 +398,7 @@ def _(spark, sf):
 
 @query(
     "row_verdict",
-    _VERDICT_SQL + """ SELECT nota_id, valid, contract, total_off OR flag_off AS invariant, bad_number AS schema FROM judged""",
+    _VERDICT_SQL + """ SELECT nota_id, valid, contract, total_off OR flag_off AS invariant, bad_number OR bad_date AS schema FROM judged""",
 )
 def _(spark, sf):
     judged = P.judge(source(spark, sf), "v")
@@ -413,8 +413,8 @@ def _(spark, sf):
     _VERDICT_SQL + """,
     n AS (SELECT j.nota_id, json_array_length(source_json, '$.extraccion.eventos_protesta') AS events,
         (SELECT count(*) FROM broken b WHERE b.nota_id = j.nota_id) AS c, CAST(total_off AS INTEGER) + CAST(flag_off AS INTEGER) AS i,
-        bad_number FROM judged j JOIN source USING (nota_id) WHERE NOT valid)
-    SELECT nota_id, least(20, CAST(c > 0 AS INTEGER) + i + CASE WHEN bad_number THEN events ELSE 0 END) AS errors,
+        bad_number, CAST(bad_date AS INTEGER) AS d FROM judged j JOIN source USING (nota_id) WHERE NOT valid)
+    SELECT nota_id, least(20, CAST(c > 0 AS INTEGER) + i + d + CASE WHEN bad_number THEN events ELSE 0 END) AS errors,
       coalesce((SELECT 'source detail must be null: ' || string_agg('eventos_protesta[' || event_index || ']/' || field, ', ' ORDER BY event_index, field)
         FROM (SELECT * FROM broken b WHERE b.nota_id = n.nota_id ORDER BY event_index, field LIMIT 10)), '') AS contract,
       array_to_string(list_transform(range(CAST(CASE WHEN bad_number THEN least(events, 20 - CAST(c > 0 AS INTEGER) - i) ELSE 0 END AS BIGINT)),
