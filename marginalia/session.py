@@ -11,6 +11,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # checkpoints that nothing refers to any more are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
