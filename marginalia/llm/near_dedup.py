@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from marginalia.llm.common import hash_words, lower_words, mix, ngram_hashes, signed
+from marginalia.llm.common import hash_words, lower_words, mix, ngram_hashes
 from marginalia.llm.components import connected_components
 from marginalia.session import materialize
 
