@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from marginalia.catalog import corpus as C
 from marginalia.catalog.registry import query
-from marginalia.catalog.walk_queries import gold, source, tree
+from marginalia.catalog.walk_queries import gold, source
 from marginalia.functions import render
 from marginalia.functions.paths import leaf_node
 from marginalia.operators import export, ingest as I, select as SEL

@@ -11,9 +11,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marginalia.functions.sqltext import quote
-from marginalia.functions.variants import entries, items
+from marginalia.functions.variants import entries
 from marginalia.operators.walk import is_leaf, walk
-from marginalia.schema import CORE_EVENT_FIELDS, SD, Node, escape_pointer
+from marginalia.schema import CORE_EVENT_FIELDS, SD, Node
 
 EVENT_FLAG = "es_evento_protesta"
 EVENTS_PATH = "$.extraccion.eventos_protesta"

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from typing import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marginalia.functions.sqltext import quote
 from marginalia.functions.text import input_text, norm_date
-from marginalia.functions.variants import entries, is_object, items, schema_problem
+from marginalia.functions.variants import entries, is_object, schema_problem
 from marginalia.schema import SD, Node
 from marginalia.session import once
 from marginalia.sources.readers import last_per_key

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from typing import Sequence
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marginalia.functions.text import event_bucket
