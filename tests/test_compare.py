@@ -146,3 +146,17 @@ def test_path_counts_and_slot_kinds(spark):
     assert kinds[("tag", 1)] == ("extra", "fp_extra_pred")
     # values align in the flattened list: the second reference meets the next item's first
     assert kinds[("refs", 1)] == ("mismatch", "mismatch")
+
+
+def test_records_are_shuffled_not_their_paths(spark):
+    rows = spark.createDataFrame([("n", '{"a":[1,2]}', '{"a":[1]}')], "k string, g string, p string")
+    both = rows.select("k", F.try_parse_json("g").alias("g"), F.try_parse_json("p").alias("p"))
+    plan = leaf_pairs(both, "g", both, "p", "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_records_of_a_repeated_key_all_meet(spark):
+    rows = spark.createDataFrame([("n", '{"a":1}', '{"a":1}'), ("n", '{"a":2}', None), (None, '{"a":1}', '{"a":1}')], "k string, g string, p string")
+    both = rows.select("k", F.try_parse_json("g").alias("g"), F.try_parse_json("p").alias("p"))
+    found = [(r.k, r.path, r.gold_value, r.pred_value) for r in leaf_pairs(both, "g", both, "p", "k").where("path = 'a'").collect()]
+    assert sorted(found, key=str) == sorted(2 * [("n", "a", "1", "1"), ("n", "a", "2", "1")] + [(None, "a", "1", None), (None, "a", None, "1")], key=str)
