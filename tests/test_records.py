@@ -213,3 +213,17 @@ def test_dates_in_any_writing(spark):
     for cell, day in zip(cells[3:-4], got[3:-4]):
         want = pd.to_datetime(cell, errors="coerce", dayfirst=False) if cell else pd.NaT
         assert day == ("S/D" if pd.isna(want) else want.strftime("%d/%m/%Y")), cell
+
+
+def test_detail_reads_its_input_once(spark):
+    plan = R.validity_detail(frame(spark, note(event())), "v", TARGET, "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "Window" not in plan
+
+
+def test_validity_sees_what_the_types_of_a_list_hide(spark):
+    crowd = {"hay_cantidad_mencionada": "S/D", "valor_textual": "S/D", "es_aproximada": "S/D"}
+    whole, lacking = event(cantidad_participantes={**crowd, "valor": None}), event(cantidad_participantes=crowd)
+    docs = [note(event(), whole), note(event(), {k: v for k, v in event().items() if k != "alcance"}), note(whole, lacking),
+            note(event(evento_numero=1.0)), note(event(evento_numero=1.5)), note(event(evento_numero="1"))]
+    got = [r.ok for r in frame(spark, *docs).select("k", schema_valid("v", TARGET).alias("ok")).orderBy("k").collect()]
+    assert got == [True, False, False, True, False, False]
