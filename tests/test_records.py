@@ -227,3 +227,14 @@ def test_validity_sees_what_the_types_of_a_list_hide(spark):
             note(event(evento_numero=1.0)), note(event(evento_numero=1.5)), note(event(evento_numero="1"))]
     got = [r.ok for r in frame(spark, *docs).select("k", schema_valid("v", TARGET).alias("ok")).orderBy("k").collect()]
     assert got == [True, False, False, True, False, False]
+
+
+def test_null_contract_reads_its_lines_once(spark):
+    from marginalia.operators import contract
+
+    broken = note(event(es_evento_protesta=False, sujetos=[]))
+    chat = {"messages": [{"role": "user", "content": "x"}, *({"role": "assistant", "content": json.dumps(broken)} for _ in range(2))]}
+    lines = frame(spark, broken, note(event()), chat, {"messages": []}).withColumn("file", F.lit("f"))
+    files = contract.null_contract_files(lines)
+    assert "Join" not in files._jdf.queryExecution().executedPlan().toString()
+    assert [(r.file, r.rows, r.violating, r.status) for r in files.collect()] == [("f", 4, 3, "FAIL")]
