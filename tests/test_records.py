@@ -238,3 +238,11 @@ def test_null_contract_reads_its_lines_once(spark):
     files = contract.null_contract_files(lines)
     assert "Join" not in files._jdf.queryExecution().executedPlan().toString()
     assert [(r.file, r.rows, r.violating, r.status) for r in files.collect()] == [("f", 4, 3, "FAIL")]
+
+
+def test_strip_looks_at_the_ends_alone(spark):
+    space = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000"
+    texts = [space + "a" + space + "é" + space, space, "", "x", "\u200b y\u1680", "a" + " " * 300_000 + "b", "y\n\u2028", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", X.strip(F.col("t")).alias("s"))
+    assert [r.s for r in rows.orderBy("k").collect()] == ["a" + space + "é", "", "", "x", "\u200b y\u1680", texts[5], "y", None]
+    assert "regexp_replace" not in rows._jdf.queryExecution().optimizedPlan().toString()
