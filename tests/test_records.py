@@ -240,6 +240,29 @@ def test_null_contract_reads_its_lines_once(spark):
     assert [(r.file, r.rows, r.violating, r.status) for r in files.collect()] == [("f", 4, 3, "FAIL")]
 
 
+def test_events_in_python_equal_the_sql_templates(spark, tmp_path):
+    from marginalia.catalog import corpus as C
+
+    texts = {-12: [f"l {i}" for i in range(40)], 8: ["a", "b\tc\"q\\", " ", "x\x01\x1f\x7f é 😀", ""], 18: [f"m {i}" for i in range(40)],
+             28: ["one", "two\r", "three", "\u3000k", "four"], 22: [f"n {i}" for i in range(1100)], 5: None, None: ["q"], 35: ["", " "]}
+    rows = [(d, None if t is None else "\n".join(t)) for d, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    dated = C._dated(spark, tmp_path)
+    shown = lambda t: F.substring(F.to_json(F.array(t)), F.lit(3), F.length(F.to_json(F.array(t))) - 4)
+    kept = F.filter(F.split("text", "\n"), C.is_event_line)
+    listed = F.transform(kept, lambda x, j: F.struct(F.col("doc_id").alias("d"), (j + 1).alias("i"), F.col("fecha").alias("f"), shown(x).alias("t"), F.md5(x).alias("h")))
+    for mode, redrawn in (("target", False), ("target", True), ("source", False)):
+        lines = dated.withColumn("l", listed)
+        if redrawn:
+            lines = lines.withColumn("l", F.expr(f"transform(l, e -> struct(e.d, e.i, e.f, e.t, {C.MUTATED} AS h))")).withColumn("l", F.expr(
+                "CASE WHEN doc_id % 5 = 0 AND size(l) > 0 THEN slice(l, 1, size(l) - 1) WHEN doc_id % 7 = 0 AND size(l) > 0 THEN concat(l, slice(l, 1, 1)) ELSE l END"))
+        body = F.array_join(F.expr(f"transform(l, e -> {C.event_json(mode)})"), ",")
+        prose = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~C.is_event_line(x)), "\n")
+        want = lines.select("doc_id", "fecha", F.size("l").alias("n"), shown(prose).alias("prose"), body.alias("body")).select("doc_id", F.expr(C.note_json(mode)).alias("j"))
+        assert sorted(map(str, C._render(dated, mode, "j", redrawn).collect())) == sorted(map(str, want.collect())), (mode, redrawn)
+    assert "MapInArrow" in C.gold_notes(spark, tmp_path)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_strip_looks_at_the_ends_alone(spark):
     space = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000"
     texts = [space + "a" + space + "é" + space, space, "", "x", "\u200b y\u1680", "a" + " " * 300_000 + "b", "y\n\u2028", None]
