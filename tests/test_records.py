@@ -1,6 +1,7 @@
 """Walk, schema findings, null contract, projection and the flat export."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -240,6 +241,25 @@ def test_null_contract_reads_its_lines_once(spark):
     assert [(r.file, r.rows, r.violating, r.status) for r in files.collect()] == [("f", 4, 3, "FAIL")]
 
 
+def test_typed_records_equal_the_cast_and_are_made_once(spark):
+    from marginalia.functions.variants import read_record, valid_record
+    from marginalia.operators import score
+
+    fine, odd = note(event(), event(lugares=None)), note(event(evento_numero="1", lugares=None))
+    broken = [note(event(evento_numero=0)), {**fine, "x": 1}, note({k: v for k, v in event().items() if k != "lugares"})]
+    texts = [json.dumps(d) for d in (fine, odd, {"nota": fine["nota"]}, [], None, *broken)] + ["{", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").withColumn("v", F.try_parse_json("t"))
+    got = rows.select("k", valid_record("v", TARGET).alias("p"), read_record("t", TARGET).alias("g"), P.typed("v").alias("cast")).orderBy("k").collect()
+    assert [r.k for r in got if r.p is not None] == [0] and got[0].p == got[0].cast
+    assert [r.g for r in got] == [r.cast for r in got] and got[1].g.extraccion.eventos_protesta[0].evento_numero == 1
+    pred = rows.select("k", F.col("t").alias("raw_text"))
+    both = score.comparable(rows.select("k", F.col("t").alias("gold_json")), pred, "k")
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"try_variant_get\(pv#\d+, \$, StructField", plan)) == 1
+    flags = {r.k: (r.parse_valid, r.schema_valid, r.p is not None) for r in both.select("k", "parse_valid", "schema_valid", "p").collect()}
+    assert flags[0] == (True, True, True) and flags[1] == (True, False, False) and flags[8] == flags[10] == (False, False, False)
+
+
 def test_events_in_python_equal_the_sql_templates(spark, tmp_path):
     from marginalia.catalog import corpus as C
 
