@@ -135,3 +135,20 @@ def test_length_statistics(spark, n):
     mean = sum(values) / n
     assert linear.stdev == round(math.sqrt(sum((v - mean) ** 2 for v in values) / n), 2)
     assert linear.median == int((values[(n - 1) // 2] + values[n // 2]) / 2)
+
+
+def test_spread_deals_rows_whose_file_has_more_splits_than_row_groups(spark, tmp_path):
+    from marginalia.session import spread
+
+    path = str(tmp_path / "one_group.parquet")
+    spark.range(400).selectExpr("id", "repeat(md5(CAST(id AS STRING)), 20) AS text").coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        dealt = spread(spark.read.parquet(path))
+        sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in sizes) == 400 and max(r["count"] for r in sizes) <= 150
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
