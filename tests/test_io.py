@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import chat, ingest as I, select as SEL
-from marginalia.schema import Node, record, text, whole
+from marginalia.schema import Node, listing, record, text, whole
 from marginalia.sources import readers as R, writers as W
 from marginalia.streaming.incremental import incremental_ingest, remaining
 
@@ -265,6 +265,28 @@ def test_first_broken_rule_of_an_open_schema(spark, doc, problem):
     assert df.select(schema_problem("v", OPEN)).first()[0] == problem
 
 
+def test_closed_lists_that_keep_all_rules_are_not_listed(spark, monkeypatch):
+    from marginalia.functions import variants as V
+
+    closed = listing(record(i=whole(1), s=Node("string", enum=("p", "q")), o=record(nullable=True, t=text("^x"))), 1, nullable=True)
+    schema = Node("object", required=("l",), props={"l": closed})
+    good = [{"i": 1, "s": "p", "o": None}, {"i": 2, "s": "q", "o": {"t": "xy"}}]
+    first, last = good
+    cases = [
+        (good, None), (None, None), ([], "minItems at /l"), (good + [None], "type at /l/*"), ([{**first, "i": 0}], "minimum at /l/*/i"),
+        ([last, {"i": 1, "s": "p"}], "required o at /l/*"), ([last, {**first, "z": 1}], "additionalProperties at /l/*"), ([{**first, "i": "1"}], "type at /l/*/i"),
+        ([first, {**first, "s": "r"}], "enum at /l/*/s"), ([{**first, "o": {"t": "y"}}], "pattern at /l/*/o/t"), ([{**first, "i": 1.0}], None), ({"i": 1}, "type at /l"),
+    ]
+    df = spark.createDataFrame([(k, json.dumps({"l": l, "more": 1})) for k, (l, _) in enumerate(cases)], "k int, j string")
+    df = df.withColumn("v", F.try_parse_json("j"))
+    got = [r.p for r in df.select("k", V.schema_problem("v", schema).alias("p")).orderBy("k").collect()]
+    assert got == [problem for _, problem in cases]
+    listed = V._problems
+    fail = "CAST(raise_error('listed') AS STRING)"
+    monkeypatch.setattr(V, "_problems", lambda v, node, *more: [fail] if node.kind == "array" else listed(v, node, *more))
+    assert [r.p for r in df.where("k = 0").select(V.schema_problem("v", schema).alias("p")).collect()] == [None]
+
+
 def test_incremental_run_skips_done_ids(spark, tmp_path):
     manifest = spark.createDataFrame([(c, i, c, "1990-01-05", "") for i, c in enumerate("abc")], "custom_id string, row_index long, txt_file string, fecha string, texto string")
     where = [str(tmp_path / n) for n in ("out", "errors", "state")]
