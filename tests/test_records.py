@@ -289,3 +289,20 @@ def test_strip_looks_at_the_ends_alone(spark):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", X.strip(F.col("t")).alias("s"))
     assert [r.s for r in rows.orderBy("k").collect()] == ["a" + space + "é", "", "", "x", "\u200b y\u1680", texts[5], "y", None]
     assert "regexp_replace" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_walk_enters_only_what_leads_to_a_wanted_pattern():
+    from marginalia.operators.walk import ARROW_TYPES, leads, visit
+
+    class Unwanted:
+        def __str__(self):
+            raise AssertionError("this part leads nowhere")
+
+    wanted = frozenset(["/a/*/b", "/c~1d/*", "/e"])
+    doc = {"a": [{"b": 1, "x": Unwanted()}, {"x": {"y": Unwanted()}, "b": 2}, 3], "c/d": [4, 5], "f": [Unwanted()], "e": {"g": Unwanted()}}
+    out = [[] for _ in ARROW_TYPES]
+    visit(doc, {"pointer", "pattern"}, wanted, out, leads(wanted))
+    found = list(zip(out[1], out[2], out[6], out[7], out[8]))
+    assert found == [
+        ("/a/0/b", "/a/*/b", "integer", "1", None), ("/a/1/b", "/a/*/b", "integer", "2", None),
+        ("/c~1d/0", "/c~1d/*", "integer", "4", None), ("/c~1d/1", "/c~1d/*", "integer", "5", None), ("/e", "/e", "object", None, ["g"])]
