@@ -65,6 +65,42 @@ def test_doubles_are_written_as_java_writes_them(number, text):
     assert B.double_text(number) == text
 
 
+def test_summed_leaves_are_the_sums_of_the_leaves(spark):
+    rows = W.flatten_leaves(frame(spark), "v", []).withColumn("path", F.regexp_replace("path", r"\[\d+\]", "[]")).collect()
+    want = defaultdict(list)
+    for r in rows:
+        want[r.path, r.type].append(r.value)
+    summed = W.flatten_leaves(frame(spark), "v", [], summed=True).groupBy("path", "type").agg(
+        F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
+    assert {(r.path, r.type): (r.n, r.chars, r.low, r.high) for r in summed} == {
+        key: (len(v), sum(len(x or "") for x in v), min((x for x in v if x is not None), default=None), max((x for x in v if x is not None), default=None))
+        for key, v in want.items()}
+    some = ["a[]", "x[][]", "<root>", "x[]"]
+    values = W.flatten_leaves(frame(spark), "v", [], summed=True, paths=some).groupBy("path", "value").agg(F.sum("n").alias("n")).collect()
+    assert {(r.path, r.value): r.n for r in values} == Counter((r.path, r.value) for r in rows if r.path in some)
+
+
+def test_sums_are_given_out_when_many_are_held(spark, monkeypatch):
+    texts = [json.dumps({f"k{i}{j}": f"v{i}" for j in range(50)}) for i in range(40)]
+    monkeypatch.setattr(W, "HELD_SUMS", 100)
+    monkeypatch.setattr(W, "KNOWN_PATTERNS", 100)
+    rows = frame(spark, texts).coalesce(1)
+    summed = W.flatten_leaves(rows, "v", [], summed=True).collect()
+    pointers = W.pointer_leaves(rows, "v", [], summed=True).collect()
+    counts = W.node_counts(rows, "v").collect()
+    assert sum(r.n for r in summed) == sum(r.n for r in pointers) == 2000
+    assert sum(r.n for r in counts) == 2040 and len([r for r in counts if r.pattern == ""]) > 1
+
+
+def test_pointer_sums_are_the_sums_of_the_leaves(spark):
+    want = defaultdict(lambda: [0, 0])
+    for r in W.pointer_leaves(frame(spark), "v", []).collect():
+        want[r.pointer][0] += 1
+        want[r.pointer][1] += len(r.value or "")
+    summed = W.pointer_leaves(frame(spark), "v", [], summed=True).groupBy("pointer").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    assert {r.pointer: [r.n, r.chars] for r in summed.collect()} == want
+
+
 def test_leaves_of_odd_documents(spark):
     plain = [t for t in ODD[1:3] + ODD[4:]]
     want = Counter(leaf for doc, t in zip(parsed(spark, plain), plain) if t is not None for leaf in leaves(doc))
