@@ -120,6 +120,15 @@ def test_forbidden_keys_at_any_depth_without_json_text(spark):
     assert {r.k for r in flags if r.f} == {1} and len(flags) == len(ODD)
 
 
+def test_rule_coverage_and_dropped_keys_count_without_rows_per_node(spark):
+    node = S.record(a=S.listing(S.record(b=S.text())), c=S.text())
+    rows = frame(spark, ['{"a":[{"b":"x","z":{"q":1}},{"b":1},3],"c":{"d":1},"e":null}', '{"a":{"b":1}}', None])
+    assert {r.path: r.nodes for r in R.rule_coverage(rows, "v", node, []).collect()} == {"": 2, "/a": 2, "/a/*": 3, "/a/*/b": 2, "/c": 1}
+    dropped = P.dropped_paths(rows, "v", node)
+    assert {r.path: r.dropped for r in dropped.collect()} == {"/a/*/z": 1, "/e": 1}
+    assert "to_json" not in dropped._jdf.queryExecution().toString()
+
+
 RULED = S.record(
     t=S.choice("a", "b"), p=S.text(r"^(S/D|\d{2})$"), n=S.whole(1, nullable=True), x=S.Node("number"), c=S.Node("string", const="1"),
     l=S.listing(S.record(k=S.flag()), 1))
