@@ -178,3 +178,20 @@ def test_extra_root_keys_show_without_json_text(spark):
     rows = frame(spark, [json.dumps(c) for c, _ in cases] + [json.dumps(good).replace('"n": 1', '"n": 1.0')])
     found = [r.ok for r in rows.orderBy("k").select(schema_valid("v", node).alias("ok")).collect()]
     assert found == [ok for _, ok in cases] + [True]
+
+
+def test_projection_of_missing_and_wrong_parts(spark):
+    node = S.record(
+        s=S.record(a=S.choice("Sí", "No", "S/D"), n=S.whole()), o=S.record(nullable=True, a=S.text()), l=S.listing(S.record(a=S.text(), b=S.listing(S.text()))),
+        i=S.record(presencia=S.choice("Sí", "No", "S/D"), valor_booleano=S.flag(nullable=True)), t=S.listing(S.text(), nullable=True))
+    empty = {"s": {"a": "S/D", "n": 0}, "o": None, "l": [], "i": {"presencia": "S/D", "valor_booleano": None}, "t": None}
+    cases = [
+        ({}, empty), ([1], empty), ({"s": None, "o": 5, "l": 7, "i": [], "t": {}}, empty | {"l": 7, "t": {}}),
+        ({"s": {"a": " SI ", "n": "x"}, "o": {"z": 1}, "l": [{"a": None, "b": ["y", None, 3], "z": 0}, None, "q"], "i": {"presencia": True}, "t": None},
+         {"s": {"a": "Sí", "n": "x"}, "o": {"a": "S/D"}, "l": [{"a": "S/D", "b": ["y", "S/D", 3]}, {"a": "S/D", "b": []}, {"a": "S/D", "b": []}],
+          "i": {"presencia": "Sí", "valor_booleano": True}, "t": None}),
+    ]
+    rows = frame(spark, [json.dumps(c) for c, _ in cases]).select("k", F.to_json(projected("v", node)).alias("p"))
+    assert [json.loads(r.p) for r in rows.orderBy("k").collect()] == [want for _, want in cases]
+    # each level is taken apart in one cast: a part is not taken out by itself
+    assert "$.s" not in rows._jdf.queryExecution().optimizedPlan().toString()
