@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
 import uuid
 
-from pyspark.sql import Window, functions as F
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Window, functions as F, types as T
 
 from marginalia.catalog import corpus as C
 from marginalia.catalog.registry import query
@@ -18,6 +22,9 @@ from marginalia.session import ensure_checkpoint_dir, materialize, once
 from marginalia.sources import readers as R, writers as W
 from marginalia.streaming.incremental import incremental_ingest, remaining
 
+# workers then need no copy of this module on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def scratch(spark) -> str:
     """A fresh folder beside the checkpoints, which all executors share."""
@@ -500,13 +507,33 @@ cells AS (SELECT * FROM (UNPIVOT notes ON COLUMNS(* EXCLUDE (w)) INTO NAME name
       sum(w * CAST('0x' || substr(md5(cell), 1, 8) AS BIGINT))::BIGINT AS digests FROM cells GROUP BY name"""
 
 
+def _summed_cells(batches):
+    """Batches of text columns as ``name, rows, filled, chars, high, digests``; what equal cells give is worked out once per batch."""
+    for batch in batches:
+        summed = []
+        for name, column in zip(batch.schema.names, batch.columns):
+            counted = [(c["values"], c["counts"]) for c in column.value_counts().to_pylist() if c["values"] is not None]
+            summed.append((
+                name, batch.num_rows, sum(n for cell, n in counted if cell), sum(n * len(cell) for cell, n in counted) if counted else None,
+                max((cell for cell, _ in counted), default=None),
+                sum(n * int(hashlib.md5(cell.encode(), usedforsecurity=False).hexdigest()[:8], 16) for cell, n in counted) if counted else None))
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*summed), types)], names=SUMMARY.names)
+
+
+SUMMARY = T.StructType([T.StructField(c, T.StringType() if c in ("name", "high") else T.LongType())
+                        for c in ("name", "rows", "filled", "chars", "high", "digests")])
+
+
 def cell_summary(flat):
-    """Per column: rows, filled cells, their length, greatest cell, and a sum over digests of all cells."""
-    cells = flat.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("cell")) for n in flat.columns])).alias("c"))
-    return cells.groupBy("c.name").agg(
-        F.count("*").alias("rows"), F.count_if(F.col("c.cell") != "").alias("filled"), F.sum(F.length("c.cell")).alias("chars"),
-        F.max("c.cell").alias("high"), F.sum(F.conv(F.substring(F.md5("c.cell"), 1, 8), 16, 10).cast("long")).alias("digests"),
-    )
+    """Per column: rows, filled cells, their length, greatest cell, and a sum over digests of all cells.
+
+    A batch is summed up column by column; a row per cell, grouped by name, would be sorted for the greatest text.
+    """
+    sums = flat.mapInArrow(_summed_cells, SUMMARY).where("rows > 0")
+    return sums.groupBy("name").agg(
+        F.sum("rows").alias("rows"), F.sum("filled").alias("filled"), F.sum("chars").alias("chars"), F.max("high").alias("high"),
+        F.sum("digests").alias("digests"))
 
 
 @query("wide_projection", WIDE_SQL)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+from marginalia.functions import variant_bytes as B
 from marginalia.functions.sqltext import Names, quote
 from marginalia.schema import Node
 
@@ -95,6 +96,30 @@ def list_at(variant: str, path: str, node: Node | None = None) -> Column:
     return flatten_json(F.expr(f"CASE WHEN {listed} THEN to_json(try_variant_get({variant}, {at}, 'variant')) END"), node)
 
 
+def list_cells(variant: Column, paths: dict[str, str], nodes: dict[str, Node]) -> Column:
+    """``list_at`` of several paths, by the names of the struct they make; the VARIANT is read once and from its bytes.
+
+    ``nodes`` has the records of a path with declared keys.
+    """
+    ways = [(name, path.split("."), key_order(nodes.get(path))) for name, path in paths.items()]
+
+    def cell(data: bytes, keys: list[str], way: list[str], order: dict | None) -> str:
+        at: int | None = 0
+        for key in way:
+            at = B.member(data, at, keys, key)
+            if at is None:
+                return ""
+        return flat_text(B.decode(data, at, keys), order) if data[at] & 3 == B.ARRAY else ""
+
+    def cells(column: pd.Series) -> pd.DataFrame:
+        sys.setrecursionlimit(B.LEVELS)  # a parsed VARIANT has at most a thousand levels
+        read = [(v.value, B.keys_of(v.metadata)) if v is not None else None for v in column]
+        return pd.DataFrame({
+            name: pd.Series([cell(*v, way, order) if v else "" for v in read], dtype=object) for name, way, order in ways})
+
+    return F.pandas_udf(cells, ", ".join(f"`{name}` string" for name in paths))(variant)
+
+
 def _review(variant: str, field: str, kind: str) -> Column:
     return F.expr(f"try_variant_get({variant}, '$.validacion_humana.{field}', '{kind}')")
 

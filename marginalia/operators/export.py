@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marginalia.functions.render import list_at, review_editor, review_status, review_tags, scalar_at
+from marginalia.functions.render import list_at, list_cells, review_editor, review_status, review_tags, scalar_at
 from marginalia.schema import Node, listing, text
 from marginalia.session import once
 
@@ -116,4 +116,7 @@ def wide_projection(notes: DataFrame, value: str) -> DataFrame:
     """The flat table of parsed notes; the note part is rendered once, before the events multiply it."""
     note_part = wide_columns(value, "event")[: len(NOTE_COLUMNS) + 3 + len(REVIEW_COLUMNS)]
     rendered = once(notes.select(value), head=F.struct(*note_part))
-    return explode_events(rendered, value).select("head.*", *[_cell("event", p).alias(n) for n, p in EVENT_COLUMNS])
+    listed = {name: path[:-2] for name, path in EVENT_COLUMNS if path.endswith("[]")}
+    events = explode_events(rendered, value).select("head", "event")
+    events = once(events, lists=list_cells(F.col("event"), listed, LISTS))
+    return events.select("head.*", *[F.col(f"lists.{n}") if n in listed else _cell("event", p).alias(n) for n, p in EVENT_COLUMNS])

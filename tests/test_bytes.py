@@ -195,3 +195,15 @@ def test_projection_of_missing_and_wrong_parts(spark):
     assert [json.loads(r.p) for r in rows.orderBy("k").collect()] == [want for _, want in cases]
     # each level is taken apart in one cast: a part is not taken out by itself
     assert "$.s" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_of_the_wide_table_are_read_without_json_text(spark):
+    event = {"sujetos": [{"z": 1.50, "sujeto_id": "s", "organizaciones": [{"categoria": True, "organizacion_id": None}]}], "motivos": {}, "accion": {
+        "formatos_complementarios": ["a", ["b", 2]]}}
+    notes = frame(spark, [json.dumps({"extraccion": {"eventos_protesta": [event, 3]}}), "{}", None])
+    flat = export.wide_projection(notes, "v")
+    cells = [(r.sujetos, r.motivos, r.accion_formatos_complementarios) for r in flat.collect()]
+    empty = ("", "", "")
+    assert sorted(cells) == sorted([
+        ("sujeto_id=s | organizaciones=organizacion_id= | categoria=true | z=1.5", "", "a ; b ; 2"), empty, empty, empty])
+    assert "to_json" not in flat._jdf.queryExecution().toString()
