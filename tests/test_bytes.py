@@ -207,3 +207,13 @@ def test_lists_of_the_wide_table_are_read_without_json_text(spark):
     assert sorted(cells) == sorted([
         ("sujeto_id=s | organizaciones=organizacion_id= | categoria=true | z=1.5", "", "a ; b ; 2"), empty, empty, empty])
     assert "to_json" not in flat._jdf.queryExecution().toString()
+
+
+def test_audit_reads_rows_once_and_joins_no_records(spark):
+    texts = ["{}", '{"fuente":1}', '{"fuente":2}', '{"a":[{"texto_original":1}]}', None, '{"fuente":3}']
+    rows = frame(spark, texts).withColumns({
+        "key": F.expr("CASE WHEN k < 3 THEN 'a' WHEN k < 5 THEN 'b' END"), "split": F.when(F.col("k") != 5, "train"), "user": F.when(F.col("k") != 3, "x")})
+    want = {"train": (5, 4, 1, 5 - 1, 1), None: (1, 1, 0, 1, 0)}
+    for found in (chat.chat_findings(rows, "v", "user"), chat.chat_findings(chat.record_findings(rows, "v").drop("v"), "v", "user")):
+        audit = chat.chat_audit(found, "v", "key")
+        assert {r.split: (r.rows, r.written, r.missing_user_messages, r.assistant_schema_invalid, r.assistant_forbidden_paths) for r in audit.collect()} == want
