@@ -217,3 +217,16 @@ def test_audit_reads_rows_once_and_joins_no_records(spark):
     for found in (chat.chat_findings(rows, "v", "user"), chat.chat_findings(chat.record_findings(rows, "v").drop("v"), "v", "user")):
         audit = chat.chat_audit(found, "v", "key")
         assert {r.split: (r.rows, r.written, r.missing_user_messages, r.assistant_schema_invalid, r.assistant_forbidden_paths) for r in audit.collect()} == want
+
+
+def test_row_errors_keep_records_only_where_they_are_walked(spark):
+    node = {"schema_version": "1.0.0", "nota": {"nota_id": "n", "fecha_publicacion": "S/D", "titulo": "t"},
+            "extraccion": {"tiene_eventos_protesta": False, "total_eventos_protesta": 1, "eventos_protesta": []}}
+    bad = json.loads(json.dumps(node))
+    bad["nota"]["fecha_publicacion"] = "1990-01-05"
+    errors = P.row_errors(P.judge(frame(spark, [json.dumps(node), json.dumps(bad)]), "v"), "v", "k")
+    found = defaultdict(list)
+    for r in errors.orderBy("k", "rank").collect():
+        found[r.k].append(r.error.split(" ")[0])
+    assert [len(found[0]), len(found[1])] == [2, 3] and found[1][-1] == "nota/fecha_publicacion:"
+    assert TARGET.props["nota"].props["fecha_publicacion"].pattern
